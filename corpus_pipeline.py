@@ -1,14 +1,70 @@
-"""A corpus cleaned and encoded in stages, each one of the operators of ``marginalia.llm``."""
+"""A corpus cleaned and encoded in stages, each one of the operators of ``marginalia.llm``.
+
+Every stage but the last returns the columns of ``documents``.  Each result is written to
+the cluster's shared directory and read back, so a later stage or a lost task starts there.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marginalia.llm import bpe, decontaminate, line_dedup, ngram_join, toxicity
+from marginalia.llm.queries import BYTE_BPE
+from marginalia.llm.shared import stored
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model, learned on the labelled among them, does not reject."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = docs.withColumn("_score", toxicity.score_column(docs["text"], model))
+    return scored.where("_score < 0.5").select(*COLUMNS)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that an earlier one has; those that lose all their words go."""
+    left = line_dedup.dedup(docs.select(*COLUMNS))
+    gone = (F.col("n_removed") > 0) & (F.length(F.regexp_replace("text", r"[ \t\n\x0B\f\r]", "")) == 0)
+    return left.where(~F.coalesce(gone, F.lit(False))).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near copies; documents without words or id are no copies."""
+    found = ngram_join.components(docs)
+    others = found.where("n_shingles > 0 and doc_id <> component_id").select("doc_id")
+    return docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no test item."""
+    found = decontaminate.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every document and of the text decoded from them."""
+    return bpe.digests(docs, BYTE_BPE)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_repeated_lines),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("BPE encoding and decoding", encode),
+]
+
+#: Learned thresholds, edit neighbourhoods and BPE have no SQL; tests hold the stages against plain models.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stored(docs)
     return docs

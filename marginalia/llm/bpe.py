@@ -29,6 +29,7 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 NEVER = 1 << 60
+START = 1 << 17  # stands before every pre-token; above all ids
 
 
 def byte_of_char() -> dict[str, int]:
@@ -64,47 +65,55 @@ class PrefixEncoder:
             self.rank[left, right] = r
             self.halves.setdefault(whole, (left, right, r))
         self.size = {i: len(b) for i, b in self.token.items()}
-        self._automaton(ids)
         self.pattern = regex.compile(PRE_TOKEN)
         self.whole = lru_cache(None)(self._whole)
         self.broken = frozenset(t for t in ids.values() if not self.whole(t))
         self.one = {b: [i] for b, i in ids.items() if i not in self.broken}
-        self.seams = UnitCache(lambda pair: self._seam_holds(self._spine(pair >> 32, 1), self._spine(pair & 0xFFFFFFFF, 0)))
-        self.pieces = UnitCache(self.encode_piece, 200_000)
+        self._automaton(ids)
+        self.seams = UnitCache(self._compatible, 400_000)
+        self.pieces = UnitCache(self.encode_piece, 250_000)
 
     def _automaton(self, ids: dict[bytes, int]) -> None:
-        """Trie with failure links; each state knows its longest token that is a suffix, each token the next shorter one."""
-        self.step: dict[int, int] = {}
-        depth_first, fail, self.ends = [0], [0], [-1]
+        """Trie of the tokens with failure links; for each state the tokens that end there, longest first."""
+        step: dict[int, int] = {}
+        fail, own = [0], [-1]
         for word, i in ids.items():
+            if i in self.broken:
+                continue
             at = 0
             for b in word:
                 key = at << 8 | b
-                nxt = self.step.get(key)
+                nxt = step.get(key)
                 if nxt is None:
-                    nxt = self.step[key] = len(fail)
+                    nxt = step[key] = len(fail)
                     fail.append(0)
-                    self.ends.append(-1)
+                    own.append(-1)
                 at = nxt
-            self.ends[at] = i
+            own[at] = i
         children: dict[int, list[int]] = {}
-        for key in self.step:
+        for key in step:
             children.setdefault(key >> 8, []).append(key)
-        self.shorter = {i: -1 for i in ids.values()}
-        for at in depth_first:  # grows: breadth first
+        order = [0]
+        self.ending: list[tuple[tuple[int, int], ...]] = [()] * len(fail)
+        for at in order:  # grows: breadth first, so shorter suffixes are complete
             for key in children.get(at, ()):
-                child, back = self.step[key], fail[at]
+                child, back = step[key], fail[at]
                 if at:
-                    while back and (back << 8 | key & 255) not in self.step:
+                    while back and (back << 8 | key & 255) not in step:
                         back = fail[back]
-                    fail[child] = self.step.get(back << 8 | key & 255, 0)
-                below = self.ends[fail[child]]
-                if self.ends[child] < 0:
-                    self.ends[child] = below
-                else:
-                    self.shorter[self.ends[child]] = below
-                depth_first.append(child)
-        self.fail = fail
+                    fail[child] = step.get(back << 8 | key & 255, 0)
+                below = self.ending[fail[child]]
+                self.ending[child] = ((own[child], self.size[own[child]]), *below) if own[child] >= 0 else below
+                order.append(child)
+
+        def follow(key: int) -> int:
+            at, b = key >> 8, key & 255
+            while at and (at << 8 | b) not in step:
+                at = fail[at]
+            return step.get(at << 8 | b, 0)
+
+        self.moves = UnitCache(follow, 1 << 20)
+        self.moves.update(step)
 
     def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
         """Pieces of ``token`` at its edge (0 left, 1 right), each with the rank of the merge that uses it up."""
@@ -118,7 +127,17 @@ class PrefixEncoder:
 
     def _seam_holds(self, left: list[tuple[int, int]], right: list[tuple[int, int]]) -> bool:
         # of two equal merges the left one is applied first
-        return not any((r := self.rank.get((x, y), NEVER)) < a and r <= b and r < NEVER for x, a in left for y, b in right)
+        rank = self.rank
+        for x, a in left:
+            for y, b in right:
+                r = rank.get((x, y))
+                if r is not None and r < a and r <= b:
+                    return False
+        return True
+
+    def _compatible(self, pair: int) -> bool:
+        left, right = pair >> 17, pair & START - 1
+        return left == START or self._seam_holds(self._spine(left, 1), self._spine(right, 0))
 
     def _whole(self, token: int) -> bool:
         """Whether the token's own bytes are encoded as this one token."""
@@ -132,21 +151,16 @@ class PrefixEncoder:
         """Ids of one pre-token: the last token of every prefix, then back-pointers."""
         if piece in self.one:
             return self.one[piece]
-        step, fail, ends, shorter, size, seams, broken = self.step, self.fail, self.ends, self.shorter, self.size, self.seams, self.broken
-        last, at, n = [-1], 0, 0
+        moves, ending, seams = self.moves, self.ending, self.seams
+        last, at, n = [START], 0, 0
         for b in piece:
             n += 1
-            while at and (at << 8 | b) not in step:
-                at = fail[at]
-            at = step.get(at << 8 | b, 0)
-            t = ends[at]
-            while t >= 0:
-                before = n - size[t]
-                if t not in broken and (before == 0 or (last[before] >= 0 and seams[last[before] << 32 | t])):
+            at = moves[at << 8 | b]
+            for t, size in ending[at]:
+                if seams[last[n - size] << 17 | t]:
                     break
-                t = shorter[t]
             last.append(t)
-        out = []
+        out, size = [], self.size
         while n:
             out.append(last[n])
             n -= size[last[n]]

@@ -30,9 +30,9 @@ class LibraryEncoder:
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
-        # the first unit of a text has no space before it: it is kept under its own name, others under " " + name
-        self.ids = UnitCache(lambda u: self._ask([u])[0])
-        self.ends = UnitCache(lambda u: self._ends([u])[0])
+        # the first unit of a text has no space before it; all others have one and are kept without it
+        self.first_ids, self.ids = (UnitCache(lambda u, s=s: self._ask([s + u])[0]) for s in ("", " "))
+        self.first_ends, self.ends = (UnitCache(lambda u, s=s: self._ends([s + u])[0]) for s in ("", " "))
 
     def _ask(self, units: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch_fast(units, add_special_tokens=False)]
@@ -44,36 +44,46 @@ class LibraryEncoder:
         """
         return [np.array(e.offsets, "<i4").reshape(-1, 2).tobytes() for e in self.lib.encode_batch(units, add_special_tokens=False)]
 
-    def _units(self, text: str) -> list[str]:
-        out = []
-        for piece, special in marked(text, self.special):
-            if special:
-                out.append(piece)
-            else:
-                head, *rest = cut(piece)
-                if head:
-                    out.append(head)
-                out.extend([" " + u for u in rest])
-        return out
-
-    def _look_up(self, cache: UnitCache, ask, texts: list[str | None]) -> list[tuple[list[str], list[bytes]]]:
-        units = [self._units(t or "") for t in texts]
-        new = cache.absent(u for x in units for u in x)
+    def _units(self, text: str | None) -> list[list[str]]:
+        """Units of each stretch between special tokens, which are stretches of their own."""
+        return [[piece] if special else cut(piece) for piece, special in marked(text or "", self.special)]
+
+    def _look_up(self, first: UnitCache, cache: UnitCache, ask, texts: list[str | None]) -> list[tuple[list[list[str]], list[bytes]]]:
+        cuts = [self._units(t) for t in texts]
+        missing: set[str] = set()
+        looked = []
+        for x in cuts:
+            parts = [list(map(cache.get, units[1:])) for units in x]
+            for units, got in zip(x, parts, strict=True):
+                if None in got:
+                    missing.update(u for u, p in zip(units[1:], got, strict=True) if p is None)
+            looked.append(parts)
+        answers = {u: cache.old[u] for u in missing if u in cache.old}
+        new = [u for u in missing if u not in answers]
         for k in range(0, len(new), 20_000):
             part = new[k : k + 20_000]
-            cache.update(zip(part, ask(part), strict=True))
-        return [(x, list(map(cache.__getitem__, x))) for x in units]
+            answers.update(zip(part, ask([" " + u for u in part]), strict=True))
+        out = []
+        for x, parts in zip(cuts, looked, strict=True):
+            flat = []
+            for units, got in zip(x, parts, strict=True):
+                flat.append(first[units[0]])
+                flat.extend(got if None not in got else [answers[u] if p is None else p for u, p in zip(units[1:], got, strict=True)])
+            out.append((x, flat))
+        cache.add(answers)
+        return out
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text; a null text has none."""
-        return [b"".join(parts) for _, parts in self._look_up(self.ids, self._ask, texts)]
+        return [b"".join(parts) for _, parts in self._look_up(self.first_ids, self.ids, self._ask, texts)]
 
     def spans_all(self, texts: list[str | None]) -> list[np.ndarray]:
         """Character spans of all tokens of each text: one (start, end) row for each."""
         out = []
-        for units, parts in self._look_up(self.ends, self._ends, texts):
+        for cuts, parts in self._look_up(self.first_ends, self.ends, self._ends, texts):
             spans = np.frombuffer(b"".join(parts), "<i4").reshape(-1, 2).astype(np.int64)
-            starts = np.cumsum([0, *map(len, units)])[:-1]
+            sizes = [len(u) + (k > 0) for units in cuts for k, u in enumerate(units)]
+            starts = np.cumsum([0, *sizes])[:-1]
             out.append(spans + np.repeat(starts, [len(p) // 8 for p in parts])[:, None])
         return out
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import bpe, html_text, quality, section_tokens, suffix_tree_lm, toxicity, wavelet
+from marginalia.llm import bpe, decontaminate, html_text, line_dedup, ngram_join, quality, section_tokens, suffix_tree_lm, toxicity, wavelet
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -28,6 +28,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -36,6 +40,10 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree_lm.score_documents(_table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -44,8 +52,12 @@ def op9_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_table(_table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_html_text, op2_section_tokens, op3_toxicity, op5_bpe, op6_lm_score, op8_quality, op9_wavelet)
+    found = (op1_html_text, op2_section_tokens, op3_toxicity, op4_decontaminate, op5_bpe, op6_lm_score, op7_line_dedup, op8_quality, op9_wavelet, op10_ngram_join)
     return {f.__name__: f for f in found}
 
 

@@ -10,7 +10,7 @@ The cache is bounded and only saves time; results do not depend on what it holds
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 #: A space that may start a unit: only clearly printing characters beside it.
 _CUT = re.compile(r"(?<=[^\s\x1c-\x1f\x85]) (?=[^\s\x1c-\x1f\x85])")
@@ -42,9 +42,12 @@ class UnitCache(dict):
         self[unit] = found
         return found
 
-    def absent(self, units: Iterable[str]) -> list[str]:
-        """Distinct units that are in neither half, in order of first sight."""
-        return [u for u in dict.fromkeys(units) if u not in self and u not in self.old]
+    def add(self, found: dict) -> None:
+        """Take up encodings that were made in one go."""
+        if len(self) + len(found) > self.limit:
+            self.old = dict(self)
+            self.clear()
+        self.update(found)
 
 
 def marked(text: str, special: re.Pattern | None) -> list[tuple[str, bool]]:
