@@ -1,8 +1,9 @@
 """Operator 4: documents that hold test items, by rare seeds and local alignment.
 
 Items and documents are sequences of lower-cased words without outer punctuation.  The
-n-grams of the items are counted over all documents; the rarer half of each item's n-grams
-are its seeds.  Where a document has a seed, its words around the seed's diagonal are
+n-grams of the items are counted over all documents; an item's seeds are those that few
+documents have (a share of ``RARE``, or ``FEW``), and the rarer half of its n-grams in any
+case, as copies of an item make all of them frequent.  Where a document has a seed, its words around the seed's diagonal are
 aligned with the item (Smith-Waterman on words: ``MATCH``, ``MISMATCH``, ``GAP``).  The
 alignment's score over that of the whole item is 1 for an exact copy and falls with every
 edit; a document holds an item from ``SIMILAR`` on.
@@ -27,6 +28,7 @@ from marginalia.llm.units import UnitCache
 N = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 SIMILAR = 0.5
+RARE, FEW = 0.001, 50
 LEAST_WORDS = 5  # items with fewer words are not looked for
 BLOCK = 20_000  # items
 _EDGE = ".,;:!?\"'()[]{}«»“”„‘’…–—-".encode()
@@ -54,12 +56,13 @@ class Items:
         self.known = np.array(sorted(self.places), np.int64)
 
     def keep_rare(self, frequency: dict[int, int]) -> None:
-        """Keep the rarer half of each item's n-grams; ties in the order of the item."""
+        """Keep n-grams of few documents and the rarer half of each item's; ``frequency[0]`` is the number of documents."""
+        few = max(FEW, RARE * frequency.get(0, 0))
         kept: set[tuple[int, int]] = set()
         for k, (_, seq) in enumerate(self.items):
             own = codes(seq).tolist()
             order = sorted(range(len(own)), key=lambda i: (frequency.get(own[i], 0), i))
-            kept.update((k, at) for at in order[: (len(own) + 1) // 2])
+            kept.update((k, at) for n, at in enumerate(order) if 2 * n <= len(own) or frequency.get(own[at], 0) <= few)
         self.places = {c: left for c, p in self.places.items() if (left := [x for x in p if x in kept])}
         self.known = np.array(sorted(self.places), np.int64)
 
@@ -163,6 +166,7 @@ def _find_block(spark, docs: DataFrame, tests: list[tuple[int, str]]) -> DataFra
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, n = _numbers(sent.value), defaultdict(int)
         for batch in batches:
+            n[0] += batch.num_rows
             for at in range(0, batch.num_rows, 1000):
                 for seq in _sequences(batch.slice(at, 1000), 0, cache):
                     for code in np.unique(codes(seq)[hits(seq, sent.value)]).tolist():

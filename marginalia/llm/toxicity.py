@@ -33,7 +33,7 @@ FUZZY_FROM = 5  # letters from which a term also matches with one edit
 STEMS = (4, 5, 6, 7)  # lengths of stems
 CROWD = 3  # innocent neighbours from which a term matches without edits only
 WINDOW = 4  # tokens beside a find
-W_FUZZY, W_QUOTED = 0.6, 0.25
+W_FUZZY, W_QUOTED = 0.8, 0.25
 
 _PIECE = re.compile(r"[^\W_]+")
 _OPEN, _CLOSE = re.compile(r"^[\"“«„‘'‹(\[]*[\"“«„‘'‹]"), re.compile(r"[\"”»“’'›][.,;:!?)\]]*$")
