@@ -70,8 +70,8 @@ class PrefixEncoder:
         self.broken = frozenset(t for t in ids.values() if not self.whole(t))
         self.one = {b: [i] for b, i in ids.items() if i not in self.broken}
         self._automaton(ids)
-        self.seams = UnitCache(self._compatible, 400_000)
-        self.pieces = UnitCache(self.encode_piece, 250_000)
+        self.seams = UnitCache(self._compatible, 150_000)
+        self.pieces = UnitCache(self.encode_piece, 100_000)
 
     def _automaton(self, ids: dict[bytes, int]) -> None:
         """Trie of the tokens with failure links; for each state the tokens that end there, longest first."""
@@ -112,7 +112,7 @@ class PrefixEncoder:
                 at = fail[at]
             return step.get(at << 8 | b, 0)
 
-        self.moves = UnitCache(follow, 1 << 20)
+        self.moves = UnitCache(follow, 400_000)
         self.moves.update(step)
 
     def _spine(self, token: int, side: int) -> list[tuple[int, int]]:

@@ -142,7 +142,7 @@ def _numbers(items: Items) -> UnitCache:
         w = token.strip(_EDGE)
         return items.number.get(w, 0) if w else -1
 
-    return UnitCache(number, 200_000)
+    return UnitCache(number, 80_000)
 
 
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

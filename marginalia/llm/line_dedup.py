@@ -137,7 +137,7 @@ def _signed(h: np.ndarray) -> pa.Array:
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cache = UnitCache(xxhash.xxh3_64_digest, 300_000)
+    cache = UnitCache(xxhash.xxh3_64_digest, 80_000)
     for batch in batches:
         for at, x in _lines(batch, 1, cache):
             ids = batch.column(0).take(pa.array(np.array(x.doc, np.int64) + at))
@@ -146,11 +146,11 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _coarse_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, line); key null: the line goes on to the next step in any case."""
-    cache, seen = UnitCache(xxhash.xxh3_64_digest, 300_000), set()
+    cache, seen = UnitCache(xxhash.xxh3_64_digest, 80_000), set()
     for batch in batches:
         for _, x in _lines(batch, 0, cache):
             new = np.array([n >= FUZZY and h not in seen for n, h in zip(x.size.tolist(), x.line.tolist(), strict=True)], bool)
-            if len(seen) > 500_000:
+            if len(seen) > 200_000:
                 seen = set()
             seen.update(x.line[new].tolist())
             owner, keys, empty = x.coarse(new)
@@ -217,12 +217,12 @@ def _near_lines(rows: DataFrame, first: DataFrame) -> DataFrame:
     sent = spark.sparkContext.broadcast(_filter(dealt.mapInArrow(suspects, "line long")))
 
     def fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, seen = UnitCache(xxhash.xxh3_64_digest, 300_000), set()
+        cache, seen = UnitCache(xxhash.xxh3_64_digest, 80_000), set()
         for batch in batches:
             for _, x in _lines(batch, 0, cache):
                 new = (x.size >= FUZZY) & _passes(sent.value, x.line)
                 new &= np.array([h not in seen for h in x.line.tolist()], bool)
-                if len(seen) > 500_000:
+                if len(seen) > 200_000:
                     seen = set()
                 seen.update(x.line[new].tolist())
                 owner, key, kind = x.fine(new)
@@ -246,11 +246,11 @@ def _verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(_filter(lines))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, seen = UnitCache(xxhash.xxh3_64_digest, 300_000), set()
+        cache, seen = UnitCache(xxhash.xxh3_64_digest, 80_000), set()
         for batch in batches:
             for _, x in _lines(batch, 0, cache):
                 hit = [i for i in np.flatnonzero(_passes(sent.value, x.line)).tolist() if x.line[i] not in seen]
-                if len(seen) > 500_000:
+                if len(seen) > 200_000:
                     seen = set()
                 seen.update(x.line[i] for i in hit)
                 yield pa.RecordBatch.from_arrays([_signed(x.line[hit]), pa.array([x.text[i] for i in hit], pa.string())], ["line", "words"])
