@@ -29,6 +29,7 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 NEVER = 1 << 60
+SLICE = 500  # texts that are Python objects at one time
 START = 1 << 17  # stands before every pre-token; above all ids
 
 
@@ -70,8 +71,8 @@ class PrefixEncoder:
         self.broken = frozenset(t for t in ids.values() if not self.whole(t))
         self.one = {b: [i] for b, i in ids.items() if i not in self.broken}
         self._automaton(ids)
-        self.seams = UnitCache(self._compatible, 150_000)
-        self.pieces = UnitCache(self.encode_piece, 100_000)
+        self.seams = UnitCache(self._compatible, 80_000)
+        self.pieces = UnitCache(self.encode_piece, 60_000)
 
     def _automaton(self, ids: dict[bytes, int]) -> None:
         """Trie of the tokens with failure links; for each state the tokens that end there, longest first."""
@@ -112,7 +113,7 @@ class PrefixEncoder:
                 at = fail[at]
             return step.get(at << 8 | b, 0)
 
-        self.moves = UnitCache(follow, 400_000)
+        self.moves = UnitCache(follow, 200_000)
         self.moves.update(step)
 
     def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
@@ -218,7 +219,8 @@ def encode_column(text: Column, path: str) -> Column:
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
         enc = encoder(path)
-        return list_array([enc.encode(t) for t in texts.to_pylist()])
+        parts = [list_array([enc.encode(t) for t in texts.slice(k, SLICE).to_pylist()]) for k in range(0, len(texts), SLICE)]
+        return pa.concat_arrays(parts) if parts else list_array([])
 
     return ids(text)
 
@@ -231,9 +233,12 @@ def decode_column(ids: Column, path: str) -> Column:
         enc = encoder(path)
         if isinstance(arrays, pa.ChunkedArray):
             arrays = arrays.combine_chunks()
-        values = np.asarray(arrays.values)
-        bounds, there = np.asarray(arrays.offsets), arrays.is_valid().to_pylist()
-        return pa.array([enc.decode(values[a:b].tolist()) if ok else None for a, b, ok in zip(bounds[:-1], bounds[1:], there, strict=True)], pa.string())
+        values, bounds, there = np.asarray(arrays.values), np.asarray(arrays.offsets), np.asarray(arrays.is_valid())
+        parts = []
+        for k in range(0, len(there), SLICE):
+            spans = zip(bounds[k : k + SLICE], bounds[k + 1 : k + 1 + SLICE], there[k : k + SLICE], strict=False)
+            parts.append(pa.array([enc.decode(values[a:b].tolist()) if ok else None for a, b, ok in spans], pa.string()))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     return text(ids)
 

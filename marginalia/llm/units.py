@@ -28,7 +28,7 @@ def cut(text: str) -> list[str]:
 class UnitCache(dict):
     """Unit -> encoding, at most ``2 * limit`` units: when the young half is full it becomes the old half."""
 
-    def __init__(self, encode: Callable[[str], object], limit: int = 150_000):
+    def __init__(self, encode: Callable[[str], object], limit: int = 100_000):
         super().__init__()
         self.encode, self.limit, self.old = encode, limit, {}
 
