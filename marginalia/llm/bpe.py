@@ -14,13 +14,17 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from marginalia.llm.units import UnitCache, cut, marked
 
@@ -71,7 +75,7 @@ class PrefixEncoder:
         self.broken = frozenset(t for t in ids.values() if not self.whole(t))
         self.one = {b: [i] for b, i in ids.items() if i not in self.broken}
         self._automaton(ids)
-        self.seams = UnitCache(self._compatible, 80_000)
+        self.seams = UnitCache(self._compatible, 250_000)
         self.pieces = UnitCache(self.encode_piece, 60_000)
 
     def _automaton(self, ids: dict[bytes, int]) -> None:
@@ -113,7 +117,7 @@ class PrefixEncoder:
                 at = fail[at]
             return step.get(at << 8 | b, 0)
 
-        self.moves = UnitCache(follow, 200_000)
+        self.moves = UnitCache(follow, 300_000)
         self.moves.update(step)
 
     def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
@@ -169,7 +173,10 @@ class PrefixEncoder:
 
     def encode_unit(self, unit: str) -> list[int]:
         """Ids of a text without special tokens."""
-        return [i for piece in self.pattern.findall(unit) for i in self.pieces[piece.encode()]]
+        pieces = self.pattern.findall(unit)
+        if len(pieces) == 1:  # the unit's own cache will have it
+            return self.encode_piece(unit.encode())
+        return [i for piece in pieces for i in self.pieces[piece.encode()]]
 
     def decode(self, ids) -> str:
         """Text of ids; bytes that are no UTF-8 become U+FFFD."""
@@ -181,19 +188,19 @@ class TextEncoder:
 
     def __init__(self, path: str):
         self.core = PrefixEncoder(path)
-        self.first = UnitCache(lambda u: np.array(self.core.encode_unit(u), "<u4").tobytes())
-        self.inner = UnitCache(lambda u: np.array(self.core.encode_unit(" " + u), "<u4").tobytes())
+        self.first = UnitCache(lambda u: array("I", self.core.encode_unit(u)).tobytes())
+        self.inner = UnitCache(lambda u: array("I", self.core.encode_unit(" " + u)).tobytes(), 200_000)
 
     def encode(self, text: str | None) -> np.ndarray:
         out = []
         for piece, special in marked(text or "", self.core.special):
             if special:
-                out.append(np.array([self.core.added[piece]], "<u4").tobytes())
+                out.append(array("I", [self.core.added[piece]]).tobytes())
             else:
                 head, *rest = cut(piece)
                 out.append(self.first[head])
                 out.extend(map(self.inner.__getitem__, rest))
-        return np.frombuffer(b"".join(out), "<u4")
+        return np.frombuffer(b"".join(out), np.uint32)
 
     def decode(self, ids) -> str | None:
         return None if ids is None else self.core.decode(ids)
@@ -248,10 +255,24 @@ def encode_decode(docs: DataFrame, path: str, text_col: str = "text", ids_col: s
 
     Columns named ``ids_col`` or ``decoded_col`` are replaced, all others kept.  Null and
     empty texts give no ids and an empty text; an empty table gives an empty table.  Each
-    row stands alone: no shuffle, and a lost task is redone from its own rows.
+    row stands alone: no shuffle, and a lost task is redone from its own rows.  Results
+    leave the worker in small slices, so its memory does not grow with Arrow's batches.
     """
-    with_ids = docs.withColumn(ids_col, encode_column(docs[text_col], path))
-    return with_ids.withColumn(decoded_col, decode_column(F.col(ids_col), path))
+    kept = docs.drop(ids_col, decoded_col)
+    place, names = kept.columns.index(text_col), [*kept.columns, ids_col, decoded_col]
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path)
+        for batch in batches:
+            for k in range(0, batch.num_rows, SLICE):
+                part = batch.slice(k, SLICE)
+                ids = list_array([enc.encode(t) for t in part.column(place).to_pylist()])
+                values, bounds = ids.values.to_numpy(), ids.offsets.tolist()
+                decoded = [enc.decode(values[a:b].tolist()) for a, b in pairwise(bounds)]
+                yield pa.RecordBatch.from_arrays([*part.columns, ids, pa.array(decoded, pa.string())], names)
+
+    schema = StructType([*kept.schema.fields, StructField(ids_col, ArrayType(IntegerType())), StructField(decoded_col, StringType())])
+    return kept.mapInArrow(coded, schema)
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
