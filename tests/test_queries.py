@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from marginalia.plans import queries as q
+from marginalia.plans import records  # noqa: F401  (registers its queries)
 
 SF = "/root/testdata/sf0.001"
 
