@@ -12,6 +12,7 @@ added tokens that occur in a text become those tokens.  A null text counts as em
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 from array import array
@@ -262,7 +263,7 @@ def encode_decode(docs: DataFrame, path: str, text_col: str = "text", ids_col: s
     place, names = kept.columns.index(text_col), [*kept.columns, ids_col, decoded_col]
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = TextEncoder(path)  # for this task only: tasks take turns over all idle workers, which would each keep one
         for batch in batches:
             for k in range(0, batch.num_rows, SLICE):
                 part = batch.slice(k, SLICE)
@@ -270,6 +271,8 @@ def encode_decode(docs: DataFrame, path: str, text_col: str = "text", ids_col: s
                 values, bounds = ids.values.to_numpy(), ids.offsets.tolist()
                 decoded = [enc.decode(values[a:b].tolist()) for a, b in pairwise(bounds)]
                 yield pa.RecordBatch.from_arrays([*part.columns, ids, pa.array(decoded, pa.string())], names)
+        del enc
+        gc.collect()  # its caches refer to it
 
     schema = StructType([*kept.schema.fields, StructField(ids_col, ArrayType(IntegerType())), StructField(decoded_col, StringType())])
     return kept.mapInArrow(coded, schema)
