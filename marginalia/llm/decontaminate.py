@@ -8,6 +8,8 @@ aligned with the item (Smith-Waterman on words: ``MATCH``, ``MISMATCH``, ``GAP``
 alignment's score over that of the whole item is 1 for an exact copy and falls with every
 edit; a document holds an item from ``SIMILAR`` on.
 
+Texts are cut into words once: documents that have any n-gram of the items are kept in the
+shared directory as word numbers (0: a word of no item), and the search reads only these.
 Items are taken in blocks of ``BLOCK`` against all documents, so what is sent to the workers
 is bounded.  Null and empty items and texts match nothing; an item given twice under one id
 counts once, with its best score.  Rows with a null doc_id are matched like others.
@@ -23,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.llm.shared import stored
 from marginalia.llm.units import UnitCache
 
 N = 3
@@ -163,32 +166,40 @@ def _find_block(spark, docs: DataFrame, tests: list[tuple[int, str]]) -> DataFra
     items = Items(tests)
     sent = spark.sparkContext.broadcast(items)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Word numbers of documents with known n-grams; at the end, how many documents have each n-gram."""
         cache, n = _numbers(sent.value), defaultdict(int)
         for batch in batches:
             n[0] += batch.num_rows
             for at in range(0, batch.num_rows, 1000):
-                for seq in _sequences(batch.slice(at, 1000), 0, cache):
-                    for code in np.unique(codes(seq)[hits(seq, sent.value)]).tolist():
-                        n[code] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int64()), pa.array(list(n.values()), pa.int64())], ["code", "n"])
-
-    counted = docs.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+                some = batch.slice(at, 1000)
+                owner, kept = [], []
+                for i, seq in enumerate(_sequences(some, 1, cache)):
+                    places = hits(seq, sent.value)
+                    if len(places):
+                        for code in np.unique(codes(seq)[places]).tolist():
+                            n[code] += 1
+                        owner.append(i)
+                        kept.append(seq.astype("<i4").tobytes())
+                k = len(owner)
+                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(owner, pa.int64())), pa.array(kept, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.binary()), pa.array(list(n), pa.int64()), pa.array(list(n.values()), pa.int64())], names)
+
+    names = ["doc_id", "words", "code", "n"]
+    numbered = stored(docs.mapInArrow(number, "doc_id long, words binary, code long, n long"))
+    counted = numbered.where("code is not null").groupBy("code").agg(F.sum("n").alias("n"))
     items.keep_rare({r.code: r.n for r in counted.collect()})  # at most the n-grams of the block
     rare = spark.sparkContext.broadcast(items)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _numbers(rare.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
-                owner, found = [], []
-                for i, seq in enumerate(_sequences(some, 1, cache)):
-                    for m in matches(seq, rare.value):
-                        owner.append(i)
-                        found.append(m)
-                if found:
-                    item, score, end = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(owner)), pa.array(item, pa.int64()), pa.array(score, pa.float64()), pa.array(end, pa.int64())], ["doc_id", "item_id", "score", "end_word"])
-
-    return docs.mapInArrow(search, "doc_id long, item_id long, score double, end_word long")
+            owner, found = [], []
+            for i, raw in enumerate(batch.column(1)):
+                for m in matches(np.frombuffer(raw.as_buffer(), "<i4").astype(np.int64), rare.value):
+                    owner.append(i)
+                    found.append(m)
+            if found:
+                item, score, end = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(item, pa.int64()), pa.array(score, pa.float64()), pa.array(end, pa.int64())], ["doc_id", "item_id", "score", "end_word"])
+
+    return numbered.where("words is not null").select("doc_id", "words").mapInArrow(search, "doc_id long, item_id long, score double, end_word long")
