@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from marginalia.llm import bpe, decontaminate, html_text, line_dedup, ngram_join, quality, section_tokens, suffix_tree_lm, toxicity, wavelet
+from marginalia.llm.ngram_sql import NGRAM_JOIN
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -62,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_ngram_join": NGRAM_JOIN}
