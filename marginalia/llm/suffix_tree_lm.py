@@ -4,18 +4,19 @@ A text is its words (ASCII-lower-cased) and one end; its probability is the prod
 tokens', each given the longest retained suffix of the words before it in the text.
 
 * The root gives (c + 0.1) / (N + 0.1 * (V + 1)): the base score.
-* A context of one or two words can be a state if its share of all training tokens is at
-  least ``P_CONTEXT``; its transitions are the next tokens n with a joint share of at least
-  ``P_NEXT`` (and ``LEAST`` occurrences).  Such shares bound their number by 1 / ``P_NEXT``
-  for each length, whatever the input: they are gathered and sent to all workers.
+* A context of up to ``DEPTH`` words is a state with the tokens n that follow it at least
+  ``LEAST`` times as its transitions.  The minimum is a count, not a share: what the tree
+  knows grows with the input, and a passage that is known on a small table is known on a large one.
 * A state is retained if it diverges from its parent, the context one word shorter: the log
   likelihood ratio of what follows it must exceed ``PER_SYMBOL`` for each transition.
 * A stored transition has n / (total + stored); the mass that is left is shared by all other
   tokens as the parent has it, so every state is a distribution over the same tokens.
 
-Counts of words have no such bound and stay distributed.  Documents are dealt to blocks; a
-block asks for the values of its distinct words, the table of words answers by a join, and
-the answers meet the block's documents again.
+Words, transitions and states are distributed tables; n-grams are known by 64-bit hashes.  An
+n-gram that occurs ``LEAST`` times has parts that do, so a pass over the texts counts only those
+whose parts pass a filter of fixed size (``FILTER_BITS``), which lets others through when it
+fills up.  Documents are dealt to blocks; a block asks for its distinct words and n-grams, the
+tables answer by a join, and the answers meet the block's documents again.
 
 Null texts count as empty: one token, the end.  Rows without doc_id are held out.
 """
@@ -24,20 +25,25 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from marginalia.llm.shared import stored
+from marginalia.llm.units import UnitCache
 
-P_CONTEXT = 2e-4
-P_NEXT = 4e-6
+DEPTH = 3  # words of the longest context
 LEAST = 3
 PER_SYMBOL = 2.0
+FILTER_BITS = 1 << 25
 END = b"\x00 "  # no word: words have no space
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
 
 def tokens(text: str | None) -> list[bytes]:
     """Words of a text; the end is not among them."""
@@ -74,49 +80,71 @@ def _word_rows(counts: Counter) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(words[at : at + 50_000], pa.binary()), pa.array(n[at : at + 50_000], pa.int64())], ["word", "n"])
 
 
-_LOW = (1 << 20) - 1  # word numbers have 20 bits: 1 / P_NEXT is less
-_THREE = 1 << 62  # marks codes of two words of context
-
+def _numbered() -> UnitCache:
+    return UnitCache(xxhash.xxh3_64_digest, 80_000)
 
-def _sum_codes(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    codes, n = np.concatenate([c for c, _ in parts]), np.concatenate([x for _, x in parts])
-    order = np.argsort(codes, kind="stable")
-    codes, n = codes[order], n[order]
-    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
-    return codes[first], np.add.reduceat(n, first) if len(first) else n
 
+def _grams(texts: list[str | None], cache: UnitCache) -> tuple[list[np.ndarray], np.ndarray]:
+    """Hashes of the 1- to (DEPTH + 1)-grams that start at each token of some texts, and how many tokens the text has from there on.
 
-def _count_transitions(batches: Iterator[pa.RecordBatch], number: dict[bytes, int], n_context: int) -> Iterator[pa.RecordBatch]:
-    """Counts of (context, next) over numbered words; contexts have only the first ``n_context`` numbers."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    Hashes that reach beyond their text's end mean nothing.
+    """
+    found = [[*tokens(t), END] for t in texts]
+    sizes = np.array([len(x) for x in found], np.int64)
+    w = np.frombuffer(b"".join(cache[x] for f in found for x in f), np.uint64)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(w))
+    out, h = [], np.zeros(len(w), np.uint64)
+    for k in range(DEPTH + 1):
+        h = (h ^ np.concatenate([w[k:], np.zeros(min(k, len(w)), np.uint64)])) * _FACTOR
+        h ^= h >> np.uint64(29)
+        out.append(h.view(np.int64))
+    return out, left
+
+
+def _filter(grams: DataFrame) -> np.ndarray:
+    """Bits of fixed number that say which n-grams may be among ``grams``."""
+    slot = f"pmod(gram, {FILTER_BITS})"
+    bits = grams.select(F.expr(f"cast(shiftright({slot}, 6) as int)").alias("w"), F.expr(f"shiftleft(1L, cast({slot} & 63 as int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits")).toPandas()
+    table = np.zeros(FILTER_BITS // 64, np.int64)
+    table[bits["w"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.int64)
+    return table
+
+
+def _passes(table: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    slot = gram & (FILTER_BITS - 1)
+    return (table[slot >> 6] >> (slot & 63) & 1).astype(bool)
+
+
+def _count_grams(batches: Iterator[pa.RecordBatch], d: int, known: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(gram, context, shorter, n): counts of the (d + 1)-grams whose first and last d words pass the filter."""
+    cache = _numbered()
+    held: list[np.ndarray] = []
     size = 0
+
+    def rows() -> pa.RecordBatch:
+        all_ = np.concatenate(held, 1) if held else np.zeros((3, 0), np.int64)
+        gram, first, n = np.unique(all_[0], return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(gram), pa.array(all_[1][first]), pa.array(all_[2][first]), pa.array(n.astype(np.int64))], ["gram", "context", "shorter", "n"])
+
     for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            seq: list[int] = []
-            for text in batch.column(0).slice(at, 1000).to_pylist():
-                seq.append(0)
-                seq.extend(map(number.get, tokens(text), repeat(0)))
-                seq.append(number.get(END, 0))
-            w = np.array(seq, np.int64)
-            context = (w > 0) & (w <= n_context)
-            two = context[:-1] & (w[1:] > 0)
-            three = context[:-2] & two[1:]
-            codes = np.concatenate([(w[:-1] << 20 | w[1:])[two], (_THREE | w[:-2] << 40 | w[1:-1] << 20 | w[2:])[three]])
-            held.append(np.unique(codes, return_counts=True))
-            size += len(held[-1][0])
-        if size > 2_000_000:
-            held = [_sum_codes(held)]
-            size = len(held[0][0])
-            if size > 1_000_000:
-                yield pa.RecordBatch.from_arrays([pa.array(held[0][0]), pa.array(held[0][1])], ["code", "n"])
+        for at in range(0, batch.num_rows, 500):
+            grams, left = _grams(batch.column(0).slice(at, 500).to_pylist(), cache)
+            ok = _passes(known, grams[d - 1])
+            i = np.flatnonzero(ok[:-1] & ok[1:] & (left[:-1] > d))
+            held.append(np.stack([grams[d][i], grams[d - 1][i], grams[d - 1][i + 1]]))
+            size += len(i)
+            if size > 2_000_000:
+                yield rows()
                 held, size = [], 0
-    if held:
-        codes, n = _sum_codes(held)
-        yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n)], ["code", "n"])
+    yield rows()
+
+
+_LOW = (1 << 20) - 1  # word numbers have 20 bits
+_THREE = 1 << 62  # marks codes of two words of context
 
 
 class SuffixTree:
-    """Retained contexts of one and two words.
+    """Retained contexts of one and two words of one small table: the method without Spark, for its tests.
 
     ``level[d]`` has, in ascending order: codes of stored transitions, their log10
     probabilities, codes of retained contexts, and the log10 factor on the parent's
@@ -175,17 +203,67 @@ class SuffixTree:
         return self._extend(1, np.where((two > 0) & (before > 0), two << 40 | before << 20 | w, 0), one)
 
 
-def _tree(docs: DataFrame, words: DataFrame, n_all: int, divisor: float) -> SuffixTree:
-    """The tree of the training rows of ``docs`` (text, train); what reaches the driver is bounded by ``P_NEXT``."""
-    least, least_context = max(LEAST, P_NEXT * n_all), max(LEAST, P_CONTEXT * n_all)
-    common = sorted(((r.n, bytes(r.word)) for r in words.where(F.col("n") >= least).collect()), key=lambda x: (-x[0], x[1]))
-    number = {w: k for k, (_, w) in enumerate(common, 1)}
-    n_context = sum(n >= least_context for n, _ in common)
-    totals = np.array([n for n, _ in common], float)
-    shared = docs.sparkSession.sparkContext.broadcast(number)
-    counted = docs.where("train").select("text").mapInArrow(lambda b: _count_transitions(b, shared.value, n_context), "code long, n long")
-    rows = counted.groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toPandas()
-    return SuffixTree(number, (totals + 0.1) / divisor, totals, rows["code"].to_numpy(np.int64), rows["n"].to_numpy(np.int64), least_context)
+def _states(docs: DataFrame, words: DataFrame, divisor: float) -> DataFrame:
+    """(gram, value, rest): log10 probability of each stored transition of a retained state, and
+    log10 factor of each retained state on its parent's probability of all other tokens."""
+    train = docs.where("train").select("text")
+    hashed = F.udf(lambda w: int(_word_gram(bytes(w))), "long")
+    lower = stored(words.where(F.col("n") >= LEAST).select(hashed("word").alias("gram"), "n", F.log10((F.col("n") + 0.1) / divisor).alias("lp")))
+    found = None
+    for d in range(1, DEPTH + 1):
+        known = docs.sparkSession.sparkContext.broadcast(_filter(lower.select("gram")))
+        counted = train.mapInArrow(lambda b, d=d, known=known: _count_grams(b, d, known.value), "gram long, context long, shorter long, n long")
+        rows = counted.groupBy("gram").agg(F.sum("n").alias("n"), F.first("context").alias("context"), F.first("shorter").alias("shorter")).where(F.col("n") >= LEAST)
+        # whatever occurs LEAST times has parts that do, so both joins find every row
+        placed = rows.join(lower.select(F.col("gram").alias("shorter"), F.col("lp").alias("parent")), "shorter").join(lower.select(F.col("gram").alias("context"), F.col("n").alias("total")), "context")
+        mine = Window.partitionBy("context")
+        sums = placed.withColumn("size", F.count("*").over(mine)).withColumn("stored", F.sum("n").over(mine))
+        sums = sums.withColumn("under", F.sum(F.pow(F.lit(10.0), "parent")).over(mine)).withColumn("gain", F.sum(F.expr("n * (ln(n) - parent * ln(10D))")).over(mine))
+        of_all = sums.withColumn("rest", F.expr("greatest(1 - stored / (total + size), 1e-9D) / greatest(1 - under, 1e-9D)"))
+        gain = F.expr("gain - stored * ln(total + size) + greatest(total - stored, 0) * ln(rest)")
+        kept = of_all.withColumn("value", F.when(gain > PER_SYMBOL * (F.col("size") + 1), F.expr("log10(n / (total + size))")))
+        lower = stored(kept.select("gram", "n", "context", "value", F.log10("rest").alias("rest"), F.coalesce("value", "parent").alias("lp")))
+        some = lower.where("value is not null")
+        level = some.select("gram", "value", F.lit(None).cast("double").alias("rest")).unionByName(some.groupBy(F.col("context").alias("gram")).agg(F.first("rest").alias("rest")).withColumn("value", F.lit(None).cast("double")))
+        found = level if found is None else found.unionByName(level)
+    return found.groupBy("gram").agg(F.max("value").alias("value"), F.max("rest").alias("rest"))
+
+
+def _word_gram(word: bytes) -> np.int64:
+    """Hash of a single word as ``_grams`` has it."""
+    h = xxhash.xxh3_64_digest(word)
+    h = np.frombuffer(h, np.uint64) * _FACTOR
+    return (h ^ (h >> np.uint64(29))).view(np.int64)[0]
+
+
+class Answers:
+    """What the tables told a block: values and factors of its n-grams."""
+
+    def __init__(self, gram: np.ndarray, value: np.ndarray, rest: np.ndarray):
+        order = np.argsort(gram)
+        self.gram, self.value, self.rest = gram[order], value[order], rest[order]
+
+    def _look(self, gram: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Values, nan where there is none."""
+        if not len(self.gram):
+            return np.full(len(gram), np.nan)
+        at = np.minimum(np.searchsorted(self.gram, gram), len(self.gram) - 1)
+        return np.where(self.gram[at] == gram, of[at], np.nan)
+
+    def score(self, grams: list[np.ndarray], left: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """log10 probability of each token by its longest retained context."""
+        out = base.copy()
+        for d in range(1, DEPTH + 1):
+            i = np.flatnonzero(left > d)  # the token d places on is in the same text
+            factor, value = self._look(grams[d - 1][i], self.rest), self._look(grams[d][i], self.value)
+            out[i + d] += np.where(np.isnan(factor), 0.0, factor)
+            out[i + d] = np.where(np.isnan(value), out[i + d], value)
+        return out
+
+
+def _key(gram: Column) -> Column:
+    """Key of an n-gram in the table of answers: no word has a space, so none equals it."""
+    return F.concat(F.lit(bytearray(END)), F.unhex(F.lpad(F.hex(gram), 16, "0")))
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -197,46 +275,62 @@ def score_documents(docs: DataFrame) -> DataFrame:
     words = stored(counts)
     n_all, n_distinct = words.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     divisor = n_all + 0.1 * (n_distinct + 1)
-    tree = spark.sparkContext.broadcast(_tree(flagged, words, n_all, divisor))
+    states = stored(_states(flagged, words, divisor))
+    retained = spark.sparkContext.broadcast(_filter(states.select("gram")))
+    none = F.lit(None).cast("double")
+    model = words.select(F.col("word").alias("key"), "n", none.alias("value"), none.alias("rest")).unionByName(states.select(_key(F.col("gram")).alias("key"), F.lit(None).cast("long").alias("n"), "value", "rest"))
     dealt = flagged.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks // 2, "block")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = _numbered()
         wanted: dict[int, set[bytes]] = {}
+        grams: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 some = batch.slice(at, 1000)
+                texts: dict[int, list[str | None]] = {}
                 for text, block in zip(some.column(1).to_pylist(), some.column(3).to_pylist(), strict=True):
+                    texts.setdefault(block, []).append(text)
                     wanted.setdefault(block, {END}).update(tokens(text))
+                for block, mine in texts.items():
+                    found, left = _grams(mine, cache)
+                    of_lengths = np.concatenate([g[left > k] for k, g in enumerate(found)])
+                    grams.setdefault(block, []).append(np.unique(of_lengths[_passes(retained.value, of_lengths)]))
         for block, found in wanted.items():
-            listed = list(found)
-            for at in range(0, len(listed), 50_000):
-                part = listed[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int32()), pa.array(part, pa.binary())], ["block", "word"])
-
-    asked = dealt.mapInArrow(ask, "block int, word binary")  # all columns: so both uses share one exchange
-    answers = asked.join(words, "word").select("block", "word", "n")
+            of_block = np.unique(np.concatenate(grams[block]))
+            for listed in (list(found), of_block):
+                for at in range(0, len(listed), 50_000):
+                    part = listed[at : at + 50_000]
+                    if isinstance(part, np.ndarray):
+                        raw = part.astype(">i8").tobytes()
+                        part = [END + raw[k : k + 8] for k in range(0, len(raw), 8)]
+                    yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int32()), pa.array(part, pa.binary())], ["block", "key"])
+
+    asked = dealt.mapInArrow(ask, "block int, key binary")  # all columns: so both uses share one exchange
+    answers = asked.join(model, "key").select("block", "key", "n", "value", "rest")
 
     def score(texts: pa.Table, answered: pa.Table) -> pa.Table:
-        found, n = answered.column("word").to_pylist(), answered.column("n").to_numpy()
+        is_word = answered.column("n").is_valid()
+        of_words, of_grams = answered.filter(is_word), answered.filter(pc.invert(is_word))
+        found, n = of_words.column("key").to_pylist(), of_words.column("n").to_numpy()
         base = dict(zip(found, np.log10((n + 0.1) / divisor).tolist(), strict=True))
         unknown = {w for w, k in zip(found, n.tolist(), strict=True) if not k}
-        model: SuffixTree = tree.value
+        keys = np.frombuffer(b"".join(k[len(END) :] for k in of_grams.column("key").to_pylist()), ">i8").astype(np.int64)
+        model = Answers(keys, *(of_grams.column(c).to_numpy().astype(float) for c in ("value", "rest")))
+        cache = _numbered()
         cols: list[list] = [[], [], [], []]
         for some in texts.to_batches(max_chunksize=500):
-            numbers, logs, starts, at = [], [], [], 0
-            for text in some.column("text").to_pylist():
+            logs, starts = [], []
+            listed = some.column("text").to_pylist()
+            for text in listed:
                 words_ = tokens(text)
                 words_.append(END)
-                numbers.append(-1)
-                numbers.extend(map(model.number.get, words_, repeat(0)))
-                logs.append(0.0)
+                starts.append(len(logs))
                 logs.extend(map(base.__getitem__, words_))
-                starts.append(at)
-                at += len(words_) + 1
                 cols[0].append(len(words_))
                 cols[1].append(len(words_) - sum(map(unknown.__contains__, words_)))
-            logs_, numbers_ = np.array(logs), np.array(numbers, np.int64)
-            each = np.where(numbers_ < 0, 0.0, model.score(numbers_, logs_))
+            logs_ = np.array(logs)
+            each = model.score(*_grams(listed, cache), logs_)
             cols[2].extend(np.add.reduceat(logs_, starts) if starts else [])
             cols[3].extend(np.add.reduceat(each, starts) if starts else [])
         held = [not t for t in texts.column("train").to_pylist()]

@@ -107,6 +107,46 @@ def test_states_are_distributions():
     assert abs(sum(given_a) - 1) < 1e-9 and given_a[1] > 0.7
 
 
+def plain_scores(rows):
+    """Scores of the suffix tree over dicts."""
+    m = suffix_tree_lm
+    seqs = [[*m.tokens(t), m.END] for _, t in rows]
+    train = [s for s, (i, _) in zip(seqs, rows, strict=True) if i is not None and zlib.crc32(str(i).encode()) % 10]
+    words = Counter(w for s in train for w in s)
+    divisor = words.total() + 0.1 * (len(words) + 1)
+    prob = [lambda c, w: (words[w] + 0.1) / divisor]
+    for d in range(1, m.DEPTH + 1):
+        totals = Counter(tuple(s[k : k + d]) for s in train for k in range(len(s) - d))
+        follow = {}
+        for s in train:
+            for k in range(len(s) - d):
+                follow.setdefault(tuple(s[k : k + d]), Counter())[s[k + d]] += 1
+        states = {}
+        for c, n in follow.items():
+            n = {w: x for w, x in n.items() if x >= m.LEAST}
+            if n:
+                p = {w: x / (totals[c] + len(n)) for w, x in n.items()}
+                parent = {w: prob[-1](c[1:], w) for w in n}
+                rest = max(1 - sum(p.values()), 1e-9) / max(1 - sum(parent.values()), 1e-9)
+                gain = sum(x * math.log(p[w] / parent[w]) for w, x in n.items()) + (totals[c] - sum(n.values())) * math.log(rest)
+                if gain > m.PER_SYMBOL * (len(n) + 1):
+                    states[c] = p, rest
+        prob.append(lambda c, w, states=states, d=d, shorter=prob[-1]: shorter(c[1:] if len(c) == d else c, w) if len(c) < d or c not in states else states[c][0].get(w) or states[c][1] * shorter(c[1:], w))
+    return [sum(math.log10(prob[-1](tuple(s[max(0, k - m.DEPTH) : k]), w)) for k, w in enumerate(s)) for s in seqs]
+
+
+def test_language_model_knows_repeats_at_any_size(spark, rows):
+    """A passage of seldom words that occurs a few times among very many tokens is known, as on a small table."""
+    r = random.Random(2)
+    passage = " ".join(f"p{k}" for k in range(40))
+    fill = " ".join(r.choice("ab cd ef gh ij kl".split()) for _ in range(100_000))
+    docs = [*((i, t) for i, t in rows), (200, fill), *((300 + k, passage) for k in range(6))]
+    got = sorted((r.doc_id or -1, r.n_tokens, round(r.score, 3)) for r in suffix_tree_lm.score_documents(table(spark, docs)).collect())
+    want = sorted((i or -1, len(suffix_tree_lm.tokens(t)) + 1, round(s, 3)) for (i, t), s in zip(docs, plain_scores(docs), strict=True))
+    assert [x[:2] for x in got] == [x[:2] for x in want] and np.allclose([x[2] for x in got], [x[2] for x in want], rtol=1e-6, atol=2e-3)
+    assert all(x[2] > -40 for x in got if x[0] >= 300)
+
+
 def plain_components(rows):
     sets = [frozenset(ngram_join.shingles(t).tolist()) for _, t in rows]
     label = list(range(len(rows)))
