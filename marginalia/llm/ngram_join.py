@@ -5,8 +5,8 @@ but only over each set's prefix: with all n-grams in one order, two sets that re
 bound share one of their first ``size - ceil(bound * size) + 1``.  The order puts n-grams
 that many documents share last, so shared passages seldom are in a prefix.  A block's
 products are pairs of sets; their overlap counts are summed over the blocks, and a pair is
-dropped when its count plus what may follow its last common n-gram stays below the overlap
-that its sizes demand.  What is left is checked on the whole sets.
+dropped when its count, with the large n-grams that its prefixes share, plus what may follow
+its last common n-gram stays below the overlap that its sizes demand.  What is left is checked on the whole sets.
 
 Equal sets are one node from the start.  An n-gram that more than ``BIG`` nodes have in
 their prefix gives no pairs at first: its nodes are compared with a few pivots, and only
@@ -196,11 +196,18 @@ def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from pairs(*carry)
 
 
-def _bounded(pairs: DataFrame) -> DataFrame:
-    """Sum the products of each pair; keep those whose overlap can still reach the bound."""
-    summed = pairs.groupBy("a", "b").agg(F.count("*").alias("overlap"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
+def _bounded(pairs: DataFrame, large: DataFrame) -> DataFrame:
+    """Sum the products of each pair; keep those whose overlap can still reach the bound.
+
+    Products have all small n-grams that both prefixes hold.  Large ones are multiplied with
+    pivots only, so those that the two prefixes share are counted from the nodes' own lists.
+    """
+    summed = pairs.groupBy("a", "b").agg(F.sum("small").alias("overlap"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
+    lists = large.groupBy("a").agg(F.collect_set("gram").alias("grams"))  # a prefix at most
+    listed = summed.join(lists.withColumnRenamed("grams", "ga"), "a", "left").join(lists.select(F.col("a").alias("b"), F.col("grams").alias("gb")), "b", "left")
+    overlap = F.col("overlap") + F.when(F.col("ga").isNull() | F.col("gb").isNull(), 0).otherwise(F.size(F.array_intersect("ga", "gb")))
     rest = F.least(F.col("na") - 1 - F.col("pa"), F.col("nb") - 1 - F.col("pb"))
-    return summed.where((100 + SIMILAR) * (F.col("overlap") + rest) >= SIMILAR * (F.col("na") + F.col("nb"))).select("a", "b")
+    return listed.where((100 + SIMILAR) * (overlap + rest) >= SIMILAR * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
 def _linked(docs: DataFrame, named: DataFrame, edges: DataFrame) -> DataFrame:
@@ -257,8 +264,8 @@ def _pivot_pairs(rows: DataFrame) -> DataFrame:
 def _open_pairs(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs of nodes in different components that share enough large n-grams of their prefixes.
 
-    Pairs that share a small n-gram are settled by now, so all common n-grams of an open pair
-    that lie in both prefixes are large ones.  Rows of one large n-gram are dealt to chunks of
+    Pairs that share a small n-gram are settled by now, as ``_bounded`` counts their large ones
+    too, so all common n-grams of an open pair that lie in both prefixes are large ones.  Rows of one large n-gram are dealt to chunks of
     about ``CHUNK`` nodes and every two chunks meet in one task, which multiplies the node by
     n-gram incidence of the two and keeps the pairs whose overlap can still reach the bound.
     Only n-grams whose nodes are in more than one component take part.
@@ -308,8 +315,8 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     prefixes = rows.select("text").mapInArrow(lambda b: _prefixes(b, sent.value), "gram long, node long, n int, place int")
     products = stored(prefixes.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_products, _PRODUCT))
     large = products.where("b is null").select("gram", "a", "na", "pa").distinct()
-    pairs = products.where("b is not null").unionByName(_pivot_pairs(large))
-    links = stored(_linked(rows, named, stored(_bounded(pairs))))
+    pairs = products.where("b is not null").withColumn("small", F.lit(1)).unionByName(_pivot_pairs(large).withColumn("small", F.lit(0)))
+    links = stored(_linked(rows, named, stored(_bounded(pairs, large))))
     labels = connected(links)
     more = stored(_open_pairs(large, labels))
     if not more.isEmpty():

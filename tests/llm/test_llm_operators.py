@@ -179,6 +179,16 @@ def test_ngram_join(spark, rows, monkeypatch):
     assert got == plain_components(family)
 
 
+def test_ngram_join_counts_small_and_large(spark, monkeypatch):
+    """Pairs at the bound whose common n-grams are partly those of a large group, partly their own, in mixed order."""
+    monkeypatch.setattr(ngram_join, "HOT", 10**9)
+    passage = " ".join(f"s{k}" for k in range(45))
+    own = lambda i, n: " ".join(f"{i}x{k}" for k in range(n))
+    docs = [(i, f"{own(i, 14)} {passage} {own(f'pair{i // 2}', 45)}") for i in range(400)]
+    got = {x.doc_id: x.component_id for x in ngram_join.components(table(spark, docs)).collect()}
+    assert got == {i: i - i % 2 for i in range(400)}
+
+
 def test_line_dedup(spark):
     r = random.Random(4)
     line = lambda n: " ".join(f"w{r.randrange(1000)}" for _ in range(n))
