@@ -1,10 +1,11 @@
-"""Operator 4: documents that hold test items, by rare seeds and local alignment.
-
-Items and documents are sequences of lower-cased words without outer punctuation.  The
-n-grams of the items are counted over all documents; an item's seeds are those that few
-documents have (a share of ``RARE``, or ``FEW``), and the rarer half of its n-grams in any
-case, as copies of an item make all of them frequent.  Where a document has a seed, its words around the seed's diagonal are
-aligned with the item (Smith-Waterman on words: ``MATCH``, ``MISMATCH``, ``GAP``).  The
+"""Operator 4: documents that hold test items, by common n-grams and local alignment.
+
+Items and documents are sequences of lower-cased words without outer punctuation.  Every
+n-gram of an item is a seed, however many documents have it: copies of an item make all of
+its n-grams frequent, and an edited copy may have any of them left.  Where a document has a
+seed, its words around the seed's diagonal are aligned with the item (Smith-Waterman on
+words: ``MATCH``, ``MISMATCH``, ``GAP``), unless they have too few of the item's words for
+the score that it takes.  The
 alignment's score over that of the whole item is 1 for an exact copy and falls with every
 edit; a document holds an item from ``SIMILAR`` on.
 
@@ -31,7 +32,6 @@ from marginalia.llm.units import UnitCache
 N = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 SIMILAR = 0.5
-RARE, FEW = 0.001, 50
 LEAST_WORDS = 5  # items with fewer words are not looked for
 BLOCK = 20_000  # items
 _EDGE = ".,;:!?\"'()[]{}«»“”„‘’…–—-".encode()
@@ -58,17 +58,6 @@ class Items:
                 self.places[code].append((k, at))
         self.known = np.array(sorted(self.places), np.int64)
 
-    def keep_rare(self, frequency: dict[int, int]) -> None:
-        """Keep n-grams of few documents and the rarer half of each item's; ``frequency[0]`` is the number of documents."""
-        few = max(FEW, RARE * frequency.get(0, 0))
-        kept: set[tuple[int, int]] = set()
-        for k, (_, seq) in enumerate(self.items):
-            own = codes(seq).tolist()
-            order = sorted(range(len(own)), key=lambda i: (frequency.get(own[i], 0), i))
-            kept.update((k, at) for n, at in enumerate(order) if 2 * n <= len(own) or frequency.get(own[at], 0) <= few)
-        self.places = {c: left for c, p in self.places.items() if (left := [x for x in p if x in kept])}
-        self.known = np.array(sorted(self.places), np.int64)
-
 
 def codes(seq: np.ndarray) -> np.ndarray:
     """n-grams of word numbers as integers; 0 where a word is not of the items."""
@@ -116,8 +105,13 @@ def matches(seq: np.ndarray, items: Items) -> list[tuple[int, float, int]]:
         for k, place in items.places[int(found[at])]:
             diagonals[k].append(at - place)
     out: dict[int, tuple[float, int]] = {}
+    here = np.zeros(len(items.number) + 1, bool)
+    here[seq] = True
     for k, starts in diagonals.items():
         item, item_words = items.items[k]
+        least = SIMILAR * len(item_words)  # matches that the score takes without any penalty
+        if np.count_nonzero(here[item_words]) < least:
+            continue
         pad = len(item_words) // 2 + 2
         starts.sort()
         group = [starts[0]]
@@ -126,9 +120,11 @@ def matches(seq: np.ndarray, items: Items) -> list[tuple[int, float, int]]:
                 group.append(d)
                 continue
             low, high = max(0, group[0] - pad), group[-1] + len(item_words) + pad
-            score, end = align(item_words, seq[low:high])
-            if score >= SIMILAR and score > out.get(item, (0.0, 0))[0]:
-                out[item] = (score, low + end)
+            near = set(seq[low:high].tolist())
+            if sum(map(near.__contains__, item_words.tolist())) >= least:
+                score, end = align(item_words, seq[low:high])
+                if score >= SIMILAR and score > out.get(item, (0.0, 0))[0]:
+                    out[item] = (score, low + end)
             group = [d] if d is not None else []
     return [(i, s, e) for i, (s, e) in out.items()]
 
@@ -167,39 +163,29 @@ def _find_block(spark, docs: DataFrame, tests: list[tuple[int, str]]) -> DataFra
     sent = spark.sparkContext.broadcast(items)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Word numbers of documents with known n-grams; at the end, how many documents have each n-gram."""
-        cache, n = _numbers(sent.value), defaultdict(int)
+        """Word numbers of documents with known n-grams."""
+        cache = _numbers(sent.value)
         for batch in batches:
-            n[0] += batch.num_rows
             for at in range(0, batch.num_rows, 1000):
                 some = batch.slice(at, 1000)
                 owner, kept = [], []
                 for i, seq in enumerate(_sequences(some, 1, cache)):
-                    places = hits(seq, sent.value)
-                    if len(places):
-                        for code in np.unique(codes(seq)[places]).tolist():
-                            n[code] += 1
+                    if len(hits(seq, sent.value)):
                         owner.append(i)
                         kept.append(seq.astype("<i4").tobytes())
-                k = len(owner)
-                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(owner, pa.int64())), pa.array(kept, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], names)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.binary()), pa.array(list(n), pa.int64()), pa.array(list(n.values()), pa.int64())], names)
+                yield pa.RecordBatch.from_arrays([some.column(0).take(pa.array(owner, pa.int64())), pa.array(kept, pa.binary())], ["doc_id", "words"])
 
-    names = ["doc_id", "words", "code", "n"]
-    numbered = stored(docs.mapInArrow(number, "doc_id long, words binary, code long, n long"))
-    counted = numbered.where("code is not null").groupBy("code").agg(F.sum("n").alias("n"))
-    items.keep_rare({r.code: r.n for r in counted.collect()})  # at most the n-grams of the block
-    rare = spark.sparkContext.broadcast(items)
+    numbered = stored(docs.mapInArrow(number, "doc_id long, words binary"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             owner, found = [], []
             for i, raw in enumerate(batch.column(1)):
-                for m in matches(np.frombuffer(raw.as_buffer(), "<i4").astype(np.int64), rare.value):
+                for m in matches(np.frombuffer(raw.as_buffer(), "<i4").astype(np.int64), sent.value):
                     owner.append(i)
                     found.append(m)
             if found:
                 item, score, end = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(item, pa.int64()), pa.array(score, pa.float64()), pa.array(end, pa.int64())], ["doc_id", "item_id", "score", "end_word"])
 
-    return numbered.where("words is not null").select("doc_id", "words").mapInArrow(search, "doc_id long, item_id long, score double, end_word long")
+    return numbered.mapInArrow(search, "doc_id long, item_id long, score double, end_word long")

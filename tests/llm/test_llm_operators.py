@@ -212,6 +212,27 @@ def test_decontamination(spark):
     assert set(got) == {(1, 7), (2, 7)} and got[1, 7] == 1.0 and got[2, 7] < 0.9
 
 
+def test_decontamination_among_many_copies(spark):
+    """Edited copies are found however many copies of the item there are, wherever the edits lie."""
+    r = random.Random(6)
+    items = [[f"v{k}n{i}" for k in range(n)] for i, n in enumerate((20, 36, 58))]
+    docs, n = [], 0
+    for item in items:
+        half = len(item) // 2
+        copies = [[*item] for _ in range(60)]
+        copies += [[f"e{k}" if k % 3 == at and (k < half) == first else w for k, w in enumerate(item)] for first in (True, False) for at in range(3)]
+        for c in [*copies, item[half - 1 :], item[: half + 1], item[half + 5 :]]:
+            docs.append((n, " ".join([*(f"f{r.randrange(99)}" for _ in range(9)), *c, "end"])))
+            n += 1
+    tests = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    plain = decontaminate.Items([(i, " ".join(x)) for i, x in enumerate(items)])
+    want = set()
+    for i, t in docs:
+        seq = np.array([plain.number.get(w, 0) for w in decontaminate.words(t)], np.int64)
+        want |= {(i, item) for item, w in plain.items if decontaminate.align(w, seq)[0] >= decontaminate.SIMILAR}
+    assert {(x.doc_id, x.item_id) for x in decontaminate.find(table(spark, docs), tests).collect()} == want
+
+
 def test_toxicity(spark):
     r = random.Random(8)
     fill = lambda n: [r.choice("ab cd ef gh ij kl mn op".split()) for _ in range(n)]
