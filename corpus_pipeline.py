@@ -31,16 +31,20 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near copies; documents without words or id are no copies."""
-    found = ngram_join.components(docs)
-    others = found.where("n_shingles > 0 and doc_id <> component_id").select("doc_id")
-    return docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
+    """The first document of each group of near copies, those without doc_id last; documents without words are no copies."""
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))  # rows that share a doc_id or have none are judged apart
+    found = ngram_join.components(keyed.select(F.col("_key").alias("doc_id"), "text")).where("n_shingles > 0")
+    rows = keyed.select("doc_id", "_key").join(found.select(F.col("doc_id").alias("_key"), "component_id").distinct(), "_key")
+    first = rows.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("first"))
+    others = rows.join(first, "component_id").where(F.col("_key") != F.col("first._key")).select("_key")
+    return keyed.join(others, "_key", "left_anti").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no test item."""
-    found = decontaminate.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    keyed = docs.withColumn("_key", F.xxhash64("text"))  # what a row holds is a matter of its text
+    found = decontaminate.find(keyed.select(F.col("_key").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return keyed.join(found.select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_anti").select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

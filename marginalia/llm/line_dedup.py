@@ -1,7 +1,7 @@
 """Operator 7: lines that repeat an earlier line, exactly or but for one word, are removed.
 
 A line is its words, so white space does not count.  Lines of ``LEAST`` words or more are
-compared: an occurrence is removed if an earlier occurrence (by doc_id, then place) has the
+compared: an occurrence is removed if an earlier occurrence (by row, then place) has the
 same words.  Of lines of ``FUZZY`` words or more, one is also removed if an earlier line can
 be made from it by one word changed, added or dropped, whether that line stays or not.
 
@@ -13,8 +13,10 @@ key for each word replaced by a gap, for each word dropped, and for the whole.
 equal keys need their earliest line only, never pairs.  The pair of a line and its earliest
 match is then verified by the edit distance of the words themselves.
 
-Null and empty texts have no lines to compare and stay as they are.  Rows with equal doc_ids
-have their lines at equal places and do not remove each other's.  Null doc_ids come first.
+Null and empty texts have no lines to compare and stay as they are.  A row is known by its
+doc_id and the hash of its text, and rows come in that order: rows that share a doc_id, or
+have none, are still rows of their own.  Rows equal in both have their lines at equal places
+and do not remove each other's.  Null doc_ids come first.
 """
 
 from __future__ import annotations
@@ -140,8 +142,8 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache = UnitCache(xxhash.xxh3_64_digest, 80_000)
     for batch in batches:
         for at, x in _lines(batch, 1, cache):
-            ids = batch.column(0).take(pa.array(np.array(x.doc, np.int64) + at))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(x.place, pa.int32()), pa.array(x.size >= FUZZY), _signed(x.line), _signed(x.line2)], ["doc_id", "place", "long", "line", "line2"])
+            mine = pa.array(np.array(x.doc, np.int64) + at)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(mine), batch.column(2).take(mine), pa.array(x.place, pa.int32()), pa.array(x.size >= FUZZY), _signed(x.line), _signed(x.line2)], ["doc_id", "row", "place", "long", "line", "line2"])
 
 
 def _coarse_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,17 +286,18 @@ def _keep_lines(text: Column, gone: Column) -> Column:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with text less its repeated lines, and n_lines, n_removed; other columns are kept."""
-    rows = docs.select("doc_id", "text")
-    at = F.struct("doc_id", "place")
-    seen = stored(rows.mapInArrow(_occurrences, "doc_id long, place int, long boolean, line long, line2 long"))
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("row"))
+    at = F.struct("doc_id", "row", "place")
+    seen = stored(rows.mapInArrow(_occurrences, "doc_id long, row long, place int, long boolean, line long, line2 long"))
     first = seen.groupBy("line", "line2").agg(F.min(at).alias("at"), F.count("*").alias("n"), F.first("long").alias("long"))
     first = stored(first)
     repeated = seen.join(first.where("n > 1").select("line", "line2", "at"), ["line", "line2"]).where(at != F.col("at"))
     near = _near_lines(rows, first.where("long").groupBy("line").agg(F.min("at").alias("at")))
-    gone = repeated.select("doc_id", "place").unionByName(near.select("at.doc_id", "at.place"))
-    by_doc = gone.groupBy("doc_id").agg(F.collect_set("place").alias("gone")).withColumnRenamed("doc_id", "gone_doc")
-    joined = docs.drop("n_lines", "n_removed", "gone", "gone_doc").join(by_doc, F.col("doc_id").eqNullSafe(F.col("gone_doc")), "left")
+    gone = repeated.select("doc_id", "row", "place").unionByName(near.select("at.doc_id", "at.row", "at.place"))
+    by_row = gone.groupBy(F.col("doc_id").alias("gone_doc"), F.col("row").alias("gone_row")).agg(F.collect_set("place").alias("gone"))
+    mine = F.col("doc_id").eqNullSafe(F.col("gone_doc")) & (F.xxhash64("text") == F.col("gone_row"))
+    joined = docs.drop("n_lines", "n_removed", "gone", "gone_doc", "gone_row").join(by_row, mine, "left")
     n_lines = F.when(F.coalesce(F.length("text"), F.lit(0)) > 0, F.size(F.split("text", "\n"))).otherwise(0)
     counted = joined.withColumn("n_lines", n_lines).withColumn("n_removed", F.coalesce(F.size("gone"), F.lit(0)))
     counted = counted.withColumn("n_removed", F.greatest("n_removed", F.lit(0)))
-    return counted.withColumn("text", _keep_lines(F.col("text"), F.col("gone"))).drop("gone", "gone_doc")
+    return counted.withColumn("text", _keep_lines(F.col("text"), F.col("gone"))).drop("gone", "gone_doc", "gone_row")

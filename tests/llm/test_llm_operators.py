@@ -200,6 +200,15 @@ def test_line_dedup(spark):
     assert got[4] == ("", 1) and got[5] == (None, 0) and got[6] == ("", 0) and got[7] == ("", 2)
 
 
+def test_line_dedup_of_rows_that_share_an_id(spark):
+    """Rows under one doc_id, or none, keep their own unique lines and lose repeats at the same place."""
+    line = lambda k: " ".join(f"{k}w{j}" for j in range(12))
+    for i in (None, 7):
+        rows = [(i, f"{line('a')}\n{line('b')}"), (i, f"{line('c')}\n{line('d')}"), (i, f"{line('e')}\n{line('b')}"), (9, line("a"))]
+        left = [x for r in line_dedup.dedup(table(spark, rows)).collect() for x in r.text.split("\n") if x]
+        assert sorted(left) == sorted(line(k) for k in "abcde")
+
+
 def test_decontamination(spark):
     r = random.Random(3)
     words = [f"w{k}" for k in range(400)]

@@ -101,3 +101,13 @@ def test_ids_against_the_library(tables):
         want[i] = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
     assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in tables[5]} == want
     assert len(want) > 100
+
+
+def test_rows_that_share_an_id_are_judged_apart(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    text = lambda k: " ".join(f"{k}w{j}" for j in range(60))
+    rows = [(None, f"{text('a')} {item}"), (None, text("b")), (1, text("b")), (2, text("c")), (3, text("c")), (3, text("d")), (4, f"{text('e')} {item}"), (4, text("f"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    of = lambda df: {(r.doc_id, r.text) for r in df.collect()}
+    assert of(corpus_pipeline.drop_contaminated(spark, docs, SF)) == {x for x in rows if item not in x[1]}
+    assert of(corpus_pipeline.drop_near_copies(spark, docs, SF)) == {x for k, x in enumerate(rows) if k not in (1, 4)}
