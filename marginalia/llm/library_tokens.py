@@ -1,91 +1,80 @@
 """Texts encoded by the ``tokenizers`` library, unit by unit.
 
-The library is asked only for units that a worker has not seen lately, in one batch for a
-list of texts; the ids (and, if wanted, the characters of each token) of a text are its
-units' joined.
+The library is asked only for units that a worker has not seen lately.  Many such units go
+to it as one text: each starts with the only space it has, so the tokens that start with a
+space show where units begin.  The ids of a text are its units' joined.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 
-from marginalia.llm.units import UnitCache, cut, marked
+from marginalia.llm.units import UnitTable, picked, slices
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
+JOINED = 40  # units of one text that the library gets
+
 
 class LibraryEncoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = 600_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
-            added = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
-        self.added = added
-        self.special = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+            spec = json.load(f)
+        self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
-        # the first unit of a text has no space before it; all others have one and are kept without it
-        self.first_ids, self.ids = (UnitCache(lambda u, s=s: self._ask([s + u])[0]) for s in ("", " "))
-        self.first_ends, self.ends = (UnitCache(lambda u, s=s: self._ends([s + u])[0]) for s in ("", " "))
-
-    def _ask(self, units: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch_fast(units, add_special_tokens=False)]
-
-    def _ends(self, units: list[str]) -> list[bytes]:
-        """Character span of each token of each unit: start and end, interleaved.
+        names = dict(spec["model"]["vocab"])  # one stand-in character for each byte
+        self.size = np.zeros(1 + max([*names.values(), *self.added.values()]), np.int64)
+        self.size[list(names.values())] = list(map(len, names))
+        self.leads = np.zeros(len(self.size), bool)
+        self.leads[[i for name, i in names.items() if name[0] == "\u0120"]] = True
+        for name, i in self.added.items():
+            self.size[i], self.leads[i] = len(name.encode()), False
+        self.joins = not any(" " in name for name in self.added)  # else two units may make a special token
+        self.table = UnitTable(self._ids, self.added, limit)
+
+    def _ask(self, units: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.lib.encode_batch_fast(units, add_special_tokens=False)]
+
+    def _ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units in one array, and how many each has."""
+        joins = np.array([self.joins and u[:1] == " " and " " not in u[1:] and not u[-1].isspace() for u in units], bool)
+        plain, other = np.flatnonzero(joins), np.flatnonzero(~joins)
+        parts = [np.zeros(0, np.uint32)]
+        for at in range(0, len(plain), 20_000):
+            some = [units[k] for k in plain[at : at + 20_000].tolist()]
+            parts.extend(self._ask(["".join(some[k : k + JOINED]) for k in range(0, len(some), JOINED)]))
+        ids = np.concatenate(parts)
+        counts = np.diff(np.append(np.flatnonzero(self.leads[ids]), len(ids)))
+        apart = self._ask([units[k] for k in other.tolist()])
+        ids, counts = np.concatenate([ids, *apart]), np.concatenate([counts, np.array(list(map(len, apart)), np.int64)])
+        back = np.argsort(np.concatenate([plain, other]))
+        return picked(ids, counts, back), counts[back]
+
+    def encode_all(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of consecutive slices of the texts, and the bounds of each text's ids; a null text has none."""
+        return map(self.table.encode_texts, slices(texts))
+
+    def spans(self, text: str, ids: np.ndarray) -> np.ndarray:
+        """Character span of each token of a text: one (start, end) row for each.
 
         A token that starts or ends inside a character has that whole character.
         """
-        return [np.array(e.offsets, "<i4").reshape(-1, 2).tobytes() for e in self.lib.encode_batch(units, add_special_tokens=False)]
-
-    def _units(self, text: str | None) -> list[list[str]]:
-        """Units of each stretch between special tokens, which are stretches of their own."""
-        return [[piece] if special else cut(piece) for piece, special in marked(text or "", self.special)]
-
-    def _look_up(self, first: UnitCache, cache: UnitCache, ask, texts: list[str | None]) -> list[tuple[list[list[str]], list[bytes]]]:
-        cuts = [self._units(t) for t in texts]
-        missing: set[str] = set()
-        looked = []
-        for x in cuts:
-            parts = [list(map(cache.get, units[1:])) for units in x]
-            for units, got in zip(x, parts, strict=True):
-                if None in got:
-                    missing.update(u for u, p in zip(units[1:], got, strict=True) if p is None)
-            looked.append(parts)
-        answers = {u: cache.old[u] for u in missing if u in cache.old}
-        new = [u for u in missing if u not in answers]
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            answers.update(zip(part, ask([" " + u for u in part]), strict=True))
-        out = []
-        for x, parts in zip(cuts, looked, strict=True):
-            flat = []
-            for units, got in zip(x, parts, strict=True):
-                flat.append(first[units[0]])
-                flat.extend(got if None not in got else [answers[u] if p is None else p for u, p in zip(units[1:], got, strict=True)])
-            out.append((x, flat))
-        cache.add(answers)
-        return out
-
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text; a null text has none."""
-        return [b"".join(parts) for _, parts in self._look_up(self.first_ids, self.ids, self._ask, texts)]
-
-    def spans_all(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Character spans of all tokens of each text: one (start, end) row for each."""
-        out = []
-        for cuts, parts in self._look_up(self.first_ends, self.ends, self._ends, texts):
-            spans = np.frombuffer(b"".join(parts), "<i4").reshape(-1, 2).astype(np.int64)
-            sizes = [len(u) + (k > 0) for units in cuts for k, u in enumerate(units)]
-            starts = np.cumsum([0, *sizes])[:-1]
-            out.append(spans + np.repeat(starts, [len(p) // 8 for p in parts])[:, None])
-        return out
+        ends = np.cumsum(self.size[ids])
+        starts = ends - self.size[ids]
+        if text.isascii():
+            return np.stack([starts, ends], 1)
+        raw = np.frombuffer(text.encode(), np.uint8)
+        char = np.cumsum(raw & 0xC0 != 0x80) - 1  # of each byte
+        return np.stack([char[starts], char[ends - 1] + 1], 1)
 
 
 @lru_cache(2)

@@ -55,11 +55,14 @@ def count_by_section(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = library(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                some = batch.slice(at, 200)
+            at = 0
+            for flat, bounds in enc.encode_all(batch.column(1).to_pylist()):
+                some = batch.slice(at, len(bounds) - 1)
+                at += len(bounds) - 1
                 cols: list[list[np.ndarray]] = [[] for _ in range(6)]
                 texts = [t or "" for t in some.column(1).to_pylist()]
-                for text, spans in zip(texts, enc.spans_all(texts), strict=True):
+                for text, ids in zip(texts, np.split(flat, bounds[1:-1]), strict=True):
+                    spans = enc.spans(text, ids)
                     starts = line_starts(text)
                     n, crossing = attribute(spans, starts, len(text))
                     k = len(starts)
