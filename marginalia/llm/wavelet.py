@@ -2,10 +2,17 @@
 
 Documents are dealt to shards by ranges of doc_id (null ids first, equal ids by text) and
 written in that order through Spark's own writer, so shards land in whatever store the
-folder names.  A shard file holds blocks; a block holds whole documents up to about
-``BLOCK`` ids, and a longer document alone: a directory of its documents and one bit-plane
-for each bit of an id, most significant first.  At each plane the ids are split stably into
-those with a zero and those with a one bit, which is all that access, rank and select need.
+folder names.  A shard is one compressed file.  Its matrix is cut into parts of whole
+documents, up to about ``BLOCK`` ids (a longer document alone), so that no task ever holds a
+shard: a part has a directory of its documents, one bit-plane for each bit of an id, most
+significant first, and the rank directory of each plane.  At each plane the ids are split
+stably into those with a zero and those with a one bit, which is all that access, rank and
+select need.  The number of ids before a part in its shard is a column of the file, and
+places count over all shards, so ``access``, ``count_token`` and ``occurrences`` answer from
+the files alone.
+
+A null text is an empty one: it has the end id only.  Rows with equal or null doc_ids are
+documents of their own.
 """
 
 from __future__ import annotations
@@ -14,6 +21,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -26,23 +34,25 @@ from marginalia.llm.shared import shared_folder
 
 BLOCK = 1 << 18  # ids
 STRIDE = 512  # bits between two entries of the rank directory
-MAGIC = b"WVM1"
-_ONES = np.array([bin(b).count("1") for b in range(256)], np.uint8)
+MAGIC = b"WVM2"
 
 
 class WaveletMatrix:
     """Ids below ``2 ** bits`` with rank and select; positions count from 0."""
 
-    def __init__(self, n: int, planes: list[np.ndarray]):
+    def __init__(self, n: int, planes: list[np.ndarray], before: list[np.ndarray] | None = None):
+        """``before``: ones before each ``STRIDE`` bits of each plane, and all."""
         self.n, self.planes, self.bits = n, planes, len(planes)
+        self.before = before or list(map(self._directory, planes))
+        self.zeros = [n - int(b[-1]) for b in self.before]
+
+    @staticmethod
+    def _directory(plane: np.ndarray) -> np.ndarray:
         step = STRIDE // 8
-        self.before, self.zeros = [], []
-        for p in planes:
-            padded = np.zeros(-(-max(len(p), 1) // step) * step, np.uint8)
-            padded[: len(p)] = _ONES[p]
-            ones = padded.reshape(-1, step).sum(1, dtype=np.int64)
-            self.before.append(np.concatenate([[0], np.cumsum(ones)]))
-            self.zeros.append(n - int(self.before[-1][-1]))
+        padded = np.zeros(-(-max(len(plane), 1) // step) * step, np.uint8)
+        padded[: len(plane)] = plane
+        ones = np.bitwise_count(padded.view(np.uint64)).reshape(-1, step // 8).sum(1, dtype=np.int64)
+        return np.concatenate([np.zeros(1, np.int64), np.cumsum(ones)])
 
     @classmethod
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
@@ -60,7 +70,7 @@ class WaveletMatrix:
         """Ones before position i of a plane."""
         block = i // STRIDE
         at, p = block * STRIDE // 8, self.planes[level]
-        n = int(self.before[level][block]) + int(_ONES[p[at : i >> 3]].sum())
+        n = int(self.before[level][block]) + int(np.bitwise_count(p[at : i >> 3]).sum())
         return n + (bin(int(p[i >> 3]) & ((1 << (i & 7)) - 1)).count("1") if i & 7 else 0)
 
     def access(self, i: int) -> int:
@@ -123,67 +133,70 @@ class WaveletMatrix:
 
 
 def pack(doc_ids: list[int | None], sizes: list[int], ids: np.ndarray) -> bytes:
-    """One block: header, directory (null doc_ids marked), bit-planes; the body is compressed."""
+    """One part: header, directory (null doc_ids marked), bit-planes and their ranks; the body is compressed."""
     bits = max(1, int(ids.max(initial=0)).bit_length())
     matrix = WaveletMatrix.build(ids.astype(np.uint16 if bits <= 16 else np.uint32), bits)
     null = np.packbits([d is None for d in doc_ids], bitorder="little").tobytes()
-    body = b"".join([np.array([d or 0 for d in doc_ids], "<i8").tobytes(), null, np.array(sizes, "<i8").tobytes(), *(p.tobytes() for p in matrix.planes)])
+    ranks = [b.astype("<i4").tobytes() for b in matrix.before]
+    body = b"".join([np.array([d or 0 for d in doc_ids], "<i8").tobytes(), null, np.array(sizes, "<i8").tobytes(), *(p.tobytes() for p in matrix.planes), *ranks])
     return MAGIC + struct.pack("<IQB", len(doc_ids), len(ids), bits) + zstandard.ZstdCompressor(level=1).compress(body)
 
 
-def unpack(block: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
-    """doc_ids, ids of each document, and the matrix of a block."""
-    if block[:4] != MAGIC:
-        raise ValueError("no wavelet block")
-    docs, n, bits = struct.unpack("<IQB", block[4:17])
-    body = zstandard.ZstdDecompressor().decompress(block[17:])
+def unpack(part: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
+    """doc_ids, ids of each document, and the matrix of a part."""
+    if part[:4] != MAGIC:
+        raise ValueError("no wavelet matrix")
+    docs, n, bits = struct.unpack("<IQB", part[4:17])
+    body = zstandard.ZstdDecompressor().decompress(part[17:])
     at = docs * 8
     null = np.unpackbits(np.frombuffer(body, np.uint8, -(-docs // 8), at), count=docs, bitorder="little")
     ids = [None if z else d for d, z in zip(np.frombuffer(body, "<i8", docs).tolist(), null, strict=True)]
     at += -(-docs // 8)
     sizes = np.frombuffer(body, "<i8", docs, at)
     at, plane = at + docs * 8, -(-n // 8)
-    return ids, sizes, WaveletMatrix(n, [np.frombuffer(body, np.uint8, plane, at + k * plane) for k in range(bits)])
+    planes = [np.frombuffer(body, np.uint8, plane, at + k * plane) for k in range(bits)]
+    ranks = np.frombuffer(body, "<i4", offset=at + bits * plane).reshape(bits, -1).astype(np.int64)
+    return ids, sizes, WaveletMatrix(n, planes, list(ranks))
 
 
-_SHARD = "shard int, block int, n_ids long, data binary"
+_SHARD = "shard int, ahead long, n_ids long, data binary"
 
 
 def write_shards(docs: DataFrame, folder: str, path: str, end_id: int = 0, shards: int | None = None) -> None:
     """Write all texts of ``docs`` (doc_id, text) to ``folder``.
 
     A null text is an empty one; every document is followed by ``end_id``.  Other columns
-    are not read.  An empty table gives a folder without blocks.
+    are not read.  An empty table gives a folder without parts.
     """
     n = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select("doc_id", "text").repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], np.uint32)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, shard, block = library(path), TaskContext.get().partitionId(), 0
+        enc, shard, ahead = library(path), TaskContext.get().partitionId(), 0
         doc_ids: list[int | None] = []
         sizes: list[int] = []
-        parts: list[bytes] = []
+        parts: list[np.ndarray] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
-            data = pack(doc_ids, sizes, np.frombuffer(b"".join(parts), "<u4"))
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([held], pa.int64()), pa.array([data], pa.binary())], ["shard", "block", "n_ids", "data"])
+            data = pack(doc_ids, sizes, np.concatenate(parts))
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([ahead], pa.int64()), pa.array([held], pa.int64()), pa.array([data], pa.binary())], ["shard", "ahead", "n_ids", "data"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
-                for d, ids in zip(some.column(0).to_pylist(), enc.encode_all(some.column(1).to_pylist()), strict=True):
-                    n = len(ids) // 4 + 1
+            names = iter(batch.column(0).to_pylist())
+            for ids, bounds in enc.encode_all(batch.column(1).to_pylist()):
+                for (a, b), d in zip(pairwise(bounds.tolist()), names, strict=False):
+                    n = b - a + 1
                     if held and held + n > BLOCK:
                         yield flush()
-                        block, held = block + 1, 0
+                        ahead, held = ahead + held, 0
                         doc_ids.clear(), sizes.clear(), parts.clear()
                     doc_ids.append(d)
                     sizes.append(n)
-                    parts.append(ids + end)
+                    parts.extend((ids[a:b], end))
                     held += n
         if held:
             yield flush()
@@ -191,19 +204,22 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int = 0, shard
     ordered.mapInArrow(encode, _SHARD).write.mode("overwrite").option("compression", "uncompressed").parquet(folder)
 
 
+def _parts(spark: SparkSession, folder: str) -> DataFrame:
+    """(base, n_ids, data) of each part; base: ids of all parts before it.
+
+    What is broadcast has one row for each shard, so as many as the writer had tasks.
+    """
+    parts = spark.read.schema(_SHARD).parquet(folder)
+    per_shard = parts.groupBy("shard").agg(F.sum("n_ids").alias("n"))
+    before = per_shard.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
+    return parts.join(F.broadcast(before), "shard").select((F.col("before") + F.col("ahead")).alias("base"), "n_ids", "data")
+
+
 def read_shards(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
     """Per document, from the files alone: doc_id, start, n_tokens, ids_crc32 and, if wanted, ids.
 
-    ``start`` is the number of ids of all documents before it.  Blocks are few (one for
-    about ``BLOCK`` ids); their running sum is taken over shards first, then within each.
+    ``start`` is the number of ids of all documents before it.
     """
-    blocks = spark.read.schema(_SHARD).parquet(folder)
-    sizes = blocks.select("shard", "block", "n_ids")
-    per_shard = sizes.groupBy("shard").agg(F.sum("n_ids").alias("n"))
-    ahead = per_shard.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("ahead"))
-    inside = F.sum("n_ids").over(Window.partitionBy("shard").orderBy("block")) - F.col("n_ids")
-    starts = sizes.withColumn("inside", inside).join(ahead, "shard").select("shard", "block", (F.col("ahead") + F.col("inside")).alias("base"))
-    placed = blocks.join(starts, ["shard", "block"]).select("base", "data")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,26 +227,58 @@ def read_shards(spark: SparkSession, folder: str, with_ids: bool = True) -> Data
                 doc_ids, sizes, matrix = unpack(data.as_py())
                 ids = matrix.all()
                 bounds = np.concatenate([[0], np.cumsum(sizes)])
-                raw = memoryview(ids.astype("<u4").tobytes())
-                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
+                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in pairwise(bounds.tolist())]
                 cols = [pa.array(doc_ids, pa.int64()), pa.array(bounds[:-1] + base), pa.array(sizes.astype(np.int64)), pa.array(crc, pa.int64())]
                 if with_ids:
                     cols.append(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     names = ["doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids]
-    return placed.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return _parts(spark, folder).select("base", "data").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def count_token(spark: SparkSession, folder: str, token: int) -> DataFrame:
-    """Occurrences of one id in each block, by rank on the planes: shard, block, n."""
+    """n: occurrences of one id in all shards, by rank on the planes."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = [unpack(x.as_py())[2].count(token) for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], ["shard", "block", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([unpack(x.as_py())[2].count(token) for x in batch.column(1)], pa.int64())], ["n"])
+
+    return _parts(spark, folder).select("base", "data").mapInArrow(count, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
+def occurrences(spark: SparkSession, folder: str, token: int) -> DataFrame:
+    """place: where one id occurs in the ids of all documents, by select on the planes."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for base, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([base + k for k in unpack(data.as_py())[2].occurrences(token)], pa.int64())], ["place"])
+
+    return _parts(spark, folder).select("base", "data").mapInArrow(find, "place long")
+
+
+def access(spark: SparkSession, folder: str, places: DataFrame) -> DataFrame:
+    """place, id: the ids at ``places`` (one column, place); places that do not exist are left out.
+
+    A place meets its part through the number of the interval of ``BLOCK`` ids that it lies
+    in, which a part overlaps once or twice (a longer document: more).  A part then gets its
+    distinct places in one list, at most as long as the part.
+    """
+    parts = _parts(spark, folder)
+    cells = F.sequence(F.floor(F.col("base") / BLOCK), F.floor((F.col("base") + F.col("n_ids") - 1) / BLOCK))
+    of_part = parts.select("base", "n_ids", F.explode(cells).alias("cell"))
+    met = places.select("place", F.floor(F.col("place") / BLOCK).alias("cell")).distinct().join(of_part, "cell").where("place >= base and place < base + n_ids")
+    asked = met.groupBy("base").agg(F.collect_list("place").alias("places")).join(parts.select("base", "data"), "base").select("base", "places", "data")
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for base, places_, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                matrix = unpack(data.as_py())[2]
+                yield pa.RecordBatch.from_arrays([pa.array(places_, pa.int64()), pa.array([matrix.access(p - base) for p in places_], pa.int64())], ["place", "id"])
 
-    return spark.read.schema(_SHARD).parquet(folder).select("shard", "block", "data").mapInArrow(count, "shard int, block int, n long")
+    return asked.mapInArrow(look, "place long, id long")
 
 
 def token_table(docs: DataFrame, path: str) -> DataFrame:

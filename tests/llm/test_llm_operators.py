@@ -86,6 +86,26 @@ def test_token_files(spark, rows):
         start += len(ids)
 
 
+def test_lookups_in_token_files(spark, rows, tmp_path):
+    """Access, counts and occurrences from the files alone, with several parts in a shard."""
+    lib, folder = Tokenizer.from_file(PATH), str(tmp_path / "tokens")
+    wavelet.write_shards(table(spark, rows), folder, PATH, shards=3)
+    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or ""))
+    ids = [i for _, t in order for i in [*lib.encode(t or "", add_special_tokens=False).ids, 0]]
+    some = [0, 1, 17, len(ids) // 2, len(ids) - 1]
+    asked = spark.createDataFrame([(p,) for p in [*some, some[0], -1, len(ids)]], "place long")
+    assert sorted(map(tuple, wavelet.access(spark, folder, asked).collect())) == [(p, ids[p]) for p in some]
+    for token in (0, ids[3], 50_255):
+        assert sorted(r.place for r in wavelet.occurrences(spark, folder, token).collect()) == [k for k, i in enumerate(ids) if i == token]
+        assert wavelet.count_token(spark, folder, token).first().n == ids.count(token)
+    got = {(r.doc_id, r.start): r.ids for r in wavelet.read_shards(spark, folder).collect()}
+    assert [i for _, found in sorted(got.items(), key=lambda x: x[0][1]) for i in found] == ids
+
+
+def test_empty_token_files(spark):
+    assert wavelet.token_table(table(spark, []), PATH).count() == 0
+
+
 def test_language_model(spark, rows):
     got = suffix_tree_lm.score_documents(table(spark, rows)).collect()
     trained = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 != 0
