@@ -1,11 +1,17 @@
-"""Where jobs of this subpackage cut their lineage: a folder that all executors share."""
+"""What jobs of this subpackage share: the folder where they cut their lineage, key filters, workers that let go of memory."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -29,3 +35,49 @@ def stored(df: DataFrame) -> DataFrame:
     folder = shared_folder(df.sparkSession)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``; at its end the Python worker, which may stay idle long, gives its memory back."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return tidied
+
+
+def release() -> None:
+    """Give memory that is not in use back to the system, where the platform can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no glibc
+        pass
+
+
+class KeyFilter:
+    """Bits that say which 64-bit keys may be among the rows of ``keys`` (one column, key).
+
+    There are about 16 bits for each key and ``MOST_BITS`` at most, which bounds what the
+    driver gets and sends.  Beyond that more and more other keys pass, so it only spares
+    work: whoever must be exact joins with ``keys`` afterwards.
+    """
+
+    MOST_BITS = 1 << 26
+
+    def __init__(self, keys: DataFrame):
+        n = keys.count()
+        self.bits = min(self.MOST_BITS, max(1 << 16, 1 << (16 * n).bit_length()))
+        slot = F.expr(f"pmod(key, {self.bits})")
+        words = keys.select(F.shiftright(slot, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(key, {self.bits}) & 63 as int))").alias("bit"))
+        found = words.groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most bits / 64 rows
+        table = np.zeros(self.bits // 64, np.int64)
+        table[found.column("w").to_numpy()] = found.column("bits").to_numpy()
+        self.sent = keys.sparkSession.sparkContext.broadcast(table)
+
+    def passes(self, keys: np.ndarray) -> np.ndarray:
+        """Mask of signed keys that may be among those given."""
+        slot = keys & (self.bits - 1)
+        return (self.sent.value[slot >> 6] >> (slot & 63) & 1).astype(bool)

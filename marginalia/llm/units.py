@@ -14,23 +14,29 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
-SLICE = 1_500_000  # characters that are looked up together, about
+SLICE = 600_000  # characters that are looked up together, about
 _END = 0xFF  # between stretches; no byte of UTF-8
 _FIRST, _INNER, _SPECIAL = 0, 1, 2
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def slices(texts: list[str | None]) -> Iterator[list[str]]:
-    """Consecutive parts of about ``SLICE`` characters, one text at least; null texts are empty."""
+def slices(texts: list[str | None] | pa.Array) -> Iterator[list[str]]:
+    """Consecutive parts of about ``SLICE`` characters, one text at least; null texts are empty.
+
+    Of an Arrow array only a few texts are Python strings at one time.
+    """
     part: list[str] = []
     size = 0
-    for text in texts:
-        part.append(text or "")
-        size += len(part[-1])
-        if size >= SLICE:
-            yield part
-            part, size = [], 0
+    for at in range(0, len(texts), 100):
+        some = texts[at : at + 100]
+        for text in some if isinstance(some, list) else some.to_pylist():
+            part.append(text or "")
+            size += len(part[-1])
+            if size >= SLICE:
+                yield part
+                part, size = [], 0
     if part:
         yield part
 
