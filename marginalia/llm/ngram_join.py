@@ -3,25 +3,26 @@
 The document by n-gram incidence matrix is multiplied by its transpose in blocks of n-grams,
 but only over each set's prefix: with all n-grams in one order, two sets that reach the
 bound share one of their first ``size - ceil(bound * size) + 1``.  The order puts n-grams
-that many documents share last, so shared passages seldom are in a prefix.  A block's
-products are pairs of sets; their overlap counts are summed over the blocks, and a pair is
-dropped when its count, with the large n-grams that its prefixes share, plus what may follow
-its last common n-gram stays below the overlap that its sizes demand.  What is left is checked on the whole sets.
-
-Equal sets are one node from the start.  An n-gram that more than ``BIG`` nodes have in
-their prefix gives no pairs at first: its nodes are compared with a few pivots, and only
-nodes that are then still in different components are paired.  Links between nodes of one
-component change nothing, so components are exact without all pairs of a large group.
-
-N-grams and sets are known by 64-bit hashes.  Null and empty texts have empty sets and no
-links.  Each row is a document of its own; rows that share a doc_id keep their own sets.  A
-null doc_id takes part, but names no component.
+that many documents share last, so shared passages seldom are in a prefix.  N-grams of one
+set alone are dropped as soon as they are sorted.
+
+First each set is compared with one other: the least set (a hash) that most of its n-grams
+have.  The links found join most near copies into components.  Links between sets of one
+component change nothing, so afterwards only n-grams that several components have take part:
+the overlaps of their pairs are summed over the blocks, and a pair is dropped when its count
+stays below the overlap that its sizes demand, less what can lie behind the prefixes.  An
+n-gram that more than ``BIG`` sets have gives no pairs one by one: its sets meet in chunks,
+whose product is an array of bounded size.  What is left is checked on the whole sets.
+
+Equal sets are one node from the start.  N-grams and sets are known by 64-bit hashes.  Null
+and empty texts have empty sets and no links; an empty table gives an empty one.  Each row is
+a document of its own; rows that share a doc_id keep their own sets.  A null doc_id takes
+part, but names no component: one of null doc_ids alone has none.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.components import connected
-from marginalia.llm.shared import stored
-from marginalia.llm.units import UnitCache
+from marginalia.llm.shared import KeyFilter, stored, tidy
+from marginalia.llm.units import picked, slices
+from marginalia.llm.words import P, Recent, Words, mix
 
 N = 5
 SIMILAR = 75  # percent
@@ -39,38 +41,55 @@ BIG = 64  # nodes of an n-gram that are paired at once
 HOT_LOCAL = 3  # documents of one task that make an n-gram known as shared
 HOT = 48  # documents, so counted, from which it is ordered last
 HOT_MOST = 200_000  # n-grams that are ordered last, at most: what is sent to all workers
-PIVOTS = 3
 CHUNK = 2048  # nodes of one side when the nodes of a large n-gram are multiplied
-FILTER_BITS = 1 << 23
-_FACTOR = np.uint64(0x9E3779B97F4A7C15)
-
+ROWS, COLUMNS = 512, 2048  # of a block of their incidence
+
+
+class Sets:
+    """The shingle sets of some texts: ``grams[bounds[t] : bounds[t + 1]]`` are those of text t, ascending; ``node`` names a set."""
+
+    def __init__(self, texts: list[str | None], n: int = N):
+        found = Words(texts, lower=True)
+        w, size = found.hash, np.diff(found.bounds)
+        h = np.zeros(max(0, len(w) - n + 1), np.uint64)
+        for k in range(n):
+            h = (h ^ w[k : k + len(h)]) * P
+            h ^= h >> np.uint64(29)
+        parts, sizes, nodes = [], [], []
+        for low, words in zip(found.bounds[:-1].tolist(), size.tolist(), strict=True):
+            if words >= n:
+                grams = np.sort(h[low : low + words - n + 1])
+                new = np.empty(len(grams), bool)
+                new[:1] = True
+                np.not_equal(grams[1:], grams[:-1], out=new[1:])
+                grams = grams[new]
+            elif words:  # the whole sequence is one shingle, unlike any of n words
+                whole = np.full(1, words, np.uint64)
+                for x in w[low : low + words]:
+                    whole = mix(whole ^ x, n)
+                grams = whole
+            else:
+                grams = np.zeros(0, np.uint64)
+            parts.append(grams)
+            sizes.append(len(grams))
+            nodes.append(xxhash.xxh3_64_intdigest(grams) - (1 << 63))
+        self.grams = np.concatenate([*parts, np.zeros(0, np.uint64)])
+        self.size = np.array(sizes, np.int64)
+        self.bounds = np.concatenate([np.zeros(1, np.int64), np.cumsum(self.size)])
+        self.node = np.array(nodes, np.int64)
 
-@lru_cache(1)
-def _hashes() -> UnitCache:
-    return UnitCache(xxhash.xxh3_64_digest, 80_000)
+    def of(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Grams of the texts ``some``, one after the other, and the place in ``some`` each belongs to."""
+        size = self.size[some]
+        return picked(self.grams, self.size, some), np.repeat(np.arange(len(some)), size)
 
 
 def shingles(text: str | None, n: int = N) -> np.ndarray:
     """Hashes of the distinct n-word shingles, ascending; of the whole sequence if it is shorter."""
-    words = (text or "").encode().lower().split()  # bytes: only A-Z change, only ASCII white space splits
-    if not words:
-        return np.zeros(0, np.uint64)
-    w = np.frombuffer(b"".join(map(_hashes().__getitem__, words)), np.uint64)
-    if len(w) < n:
-        w = np.concatenate([w, np.full(n - len(w), len(w), np.uint64)])
-    h = np.zeros(len(w) - n + 1, np.uint64)
-    for k in range(n):
-        h = (h ^ w[k : len(w) - n + 1 + k]) * _FACTOR
-        h ^= h >> np.uint64(29)
-    return np.unique(h)
-
-
-def node_of(grams: np.ndarray) -> int:
-    """Signed 64-bit name of a set."""
-    return xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63)
+    return Sets([text], n).grams
 
 
-def prefix_size(size: int) -> int:
+def prefix_size(size):
     return size - (SIMILAR * size + 99) // 100 + 1
 
 
@@ -79,250 +98,249 @@ def needed(a, b):
     return (SIMILAR * (a + b) + 100 + SIMILAR - 1) // (100 + SIMILAR)
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+# the same in SQL: the overlap that sizes n and m demand beyond what can lie behind the prefixes
+_NEEDED = f"div({SIMILAR} * (n + m) + {100 + SIMILAR - 1}, {100 + SIMILAR})"
+_REST = f"greatest(div({SIMILAR} * n + 99, 100), div({SIMILAR} * m + 99, 100)) - 1"
+_SIZES = f"100 * least(n, m) >= {SIMILAR} * greatest(n, m)"
+
+
+def _sets(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, Sets]]:
+    at = 0
+    for part in slices(batch.column(column)):
+        yield at, Sets(part)
+        at += len(part)
+
+
+def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, node, n) of each text, then (gram, count) of n-grams that the task's nodes share."""
     held: list[np.ndarray] = []
-    seen: set[int] = set()
-    names = ["doc_id", "node", "n", "gram"]
+    names, size, recent = ["doc_id", "node", "n", "gram"], 0, Recent()
 
     def shared() -> pa.RecordBatch:
-        grams, n = np.unique(np.concatenate(held), return_counts=True)
+        grams = np.sort(np.concatenate([*held, np.zeros(0, np.uint64)]))
+        first = np.flatnonzero(np.concatenate([np.ones(1, bool), grams[1:] != grams[:-1]])) if len(grams) else np.zeros(0, np.int64)
+        n = np.diff(np.append(first, len(grams)))
         some = n >= HOT_LOCAL
-        g = grams[some].view(np.int64)
+        g = grams[first[some]].view(np.int64)
         return pa.RecordBatch.from_arrays([pa.nulls(len(g), pa.int64()), pa.nulls(len(g), pa.int64()), pa.array(n[some]), pa.array(g)], names)
 
-    size = 0
     for batch in batches:
-        nodes, sizes = [], []
-        for text in batch.column(1).to_pylist():
-            grams = shingles(text)
-            node = node_of(grams)
-            nodes.append(node)
-            sizes.append(len(grams))
-            if node not in seen and len(grams):
-                seen.add(node)
-                held.append(grams)
-                size += len(grams)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(len(nodes), pa.int64())], names)
-        if size > 2_500_000:
-            yield shared()
-            held, seen, size = [], set(), 0
-    if held:
-        yield shared()
+        for at, x in _sets(batch, 1):
+            fresh = np.flatnonzero(recent.new(x.node.view(np.uint64)))
+            held.append(x.of(fresh)[0])
+            size += len(held[-1])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(x.node)), pa.array(x.node), pa.array(x.size), pa.nulls(len(x.node), pa.int64())], names)
+            if size > 2_500_000:
+                yield shared()
+                held, size = [], 0
+    yield shared()
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], hot: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """(gram, node, n, place) of each distinct set's prefix."""
+    """(gram, node, n) of each distinct set's prefix; a set that came lately is left out."""
     known, rank = hot
+    recent = Recent()
     for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            cols: list[list[np.ndarray]] = [[], [], [], []]
-            seen = set()
-            for text in batch.column(0).slice(at, 500).to_pylist():
-                grams = shingles(text)
-                if not len(grams) or (node := node_of(grams)) in seen:
-                    continue
-                seen.add(node)
-                late = np.zeros(len(grams), np.int64)
-                if len(known):
-                    k = np.minimum(np.searchsorted(known, grams), len(known) - 1)
-                    late = np.where(known[k] == grams, rank[k], 0)
-                first = grams[np.argsort(late, kind="stable")[: prefix_size(len(grams))]]
-                for c, v in zip(cols, (first.view(np.int64), np.full(len(first), node), np.full(len(first), len(grams)), np.arange(len(first))), strict=True):
-                    c.append(v)
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["gram", "node", "n", "place"])
-
-
-_PRODUCT = "gram long, a long, b long, na int, nb int, pa int, pb int"
-
-
-def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by gram: pairs of nodes for each gram; rows of grams with too many nodes come out as they are (b null)."""
-    carry: list[np.ndarray] = [np.zeros(0, np.int64)] * 4
-    big: int | None = None  # the gram that is being passed through
-
-    def out(gram, a, b, na, nb, pa_, pb) -> pa.RecordBatch:
-        none = b is None
-        ints = lambda v: pa.nulls(len(a), pa.int32()) if v is None else pa.array(v.astype(np.int32))
-        return pa.RecordBatch.from_arrays([pa.array(gram), pa.array(a), pa.nulls(len(a), pa.int64()) if none else pa.array(b), ints(na), ints(nb), ints(pa_), ints(pb)], [x.split()[0] for x in _PRODUCT.split(", ")])
-
-    def pairs(g, node, n, place) -> Iterator[pa.RecordBatch]:
-        if not len(g):
-            return
-        order = np.lexsort((node, g))
-        g, node, n, place = g[order], node[order], n[order], place[order]
-        new = np.concatenate([[True], (g[1:] != g[:-1]) | (node[1:] != node[:-1])])
-        g, node, n, place = g[new], node[new], n[new], place[new]
-        starts = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-        sizes = np.diff(np.append(starts, len(g)))
-        for f in np.unique(sizes[(sizes > 1) & (sizes <= BIG)]):
-            at = starts[sizes == f]
-            i, j = np.triu_indices(f, 1)
-            for part in range(0, len(at), max(1, 500_000 // len(i))):
-                some = at[part : part + max(1, 500_000 // len(i))]
-                x, y = (some[:, None] + i).ravel(), (some[:, None] + j).ravel()
-                ok = 100 * np.minimum(n[x], n[y]) >= SIMILAR * np.maximum(n[x], n[y])
-                x, y = x[ok], y[ok]
-                bound = np.minimum(place[x], place[y]) + np.minimum(n[x] - place[x], n[y] - place[y])
-                ok = bound >= needed(n[x], n[y])
-                x, y = x[ok], y[ok]
-                if len(x):
-                    yield out(g[x], node[x], node[y], n[x], n[y], place[x], place[y])
-        for s in starts[sizes > BIG]:
-            k = slice(s, s + int(sizes[np.searchsorted(starts, s)]))
-            yield out(g[k], node[k], None, n[k], None, place[k], None)
-
+        for _, x in _sets(batch, 0):
+            some = np.flatnonzero(recent.new(x.node.view(np.uint64)) & (x.size > 0))
+            grams, owner = x.of(some)
+            if len(known):
+                k = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+                late = np.where(known[k] == grams, rank[k], 0)
+                order = np.lexsort((late, owner))  # stable: within one rank grams stay in their order
+                grams, owner = grams[order], owner[order]
+            size = x.size[some]
+            place = np.arange(len(grams)) - np.repeat(np.cumsum(size) - size, size)
+            first = place < prefix_size(size)[owner]
+            grams, owner = grams[first], owner[first]
+            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(x.node[some][owner]), pa.array(size[owner].astype(np.int32))], ["gram", "node", "n"])
+
+
+_STAR = "gram long, node long, n int, pivot long, m int"
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by gram and node: those of grams that several nodes have, each with the gram's least node."""
+    names = [x.split()[0] for x in _STAR.split(", ")]
+    carry = [np.zeros(0, np.int64)] * 3  # the last row so far, which may be alone
+    pivot: tuple[int, int, int] | None = None  # gram, node and size of the run it belongs to, if that has come out in part
     for batch in batches:
-        cols = [np.asarray(c).astype(np.int64) for c in batch.columns]
-        if big is not None:
-            m = int(np.searchsorted(cols[0], big, side="right"))
-            if m:
-                yield out(cols[0][:m], cols[1][:m], None, cols[2][:m], None, cols[3][:m], None)
-                cols = [c[m:] for c in cols]
-            if not len(cols[0]):
-                continue
-            big = None
-        cols = [np.concatenate([c, d]) for c, d in zip(carry, cols, strict=True)]
-        if not len(cols[0]):
+        gram, node, n = (np.concatenate([c, np.asarray(x).astype(np.int64)]) for c, x in zip(carry, batch.columns, strict=True))
+        if not len(gram):
             continue
-        last = int(np.searchsorted(cols[0], cols[0][-1], side="left"))
-        yield from pairs(*(c[:last] for c in cols))
-        carry = [c[last:] for c in cols]
-        if len(np.unique(carry[1])) > BIG:
-            big = int(carry[0][0])
-            yield out(carry[0], carry[1], None, carry[2], None, carry[3], None)
-            carry = [np.zeros(0, np.int64)] * 4
-    yield from pairs(*carry)
+        same = (gram[1:] == gram[:-1]) & (node[1:] == node[:-1])
+        keep = np.concatenate([np.ones(1, bool), ~same])
+        gram, node, n = gram[keep], node[keep], n[keep]
+        start = np.concatenate([np.ones(1, bool), gram[1:] != gram[:-1]])
+        first = np.maximum.accumulate(np.where(start, np.arange(len(gram)), 0))
+        least, size = node[first], n[first]
+        more = np.concatenate([gram[1:] == gram[:-1], np.zeros(1, bool)])
+        goes = ~start | more
+        if pivot is not None and pivot[0] == gram[0]:
+            run = gram == gram[0]
+            least, size = np.where(run, pivot[1], least), np.where(run, pivot[2], size)
+            goes |= run
+        goes[-1] = False  # waits for what follows
+        carry = [gram[-1:], node[-1:], n[-1:]]
+        pivot = (int(gram[-1]), int(least[-1]), int(size[-1])) if len(gram) > 1 and gram[-2] == gram[-1] or pivot is not None and pivot[0] == gram[-1] else None
+        yield pa.RecordBatch.from_arrays([pa.array(gram[goes]), pa.array(node[goes]), pa.array(n[goes].astype(np.int32)), pa.array(least[goes]), pa.array(size[goes].astype(np.int32))], names)
+    if pivot is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(carry[0]), pa.array(carry[1]), pa.array(carry[2].astype(np.int32)), pa.array([pivot[1]], pa.int64()), pa.array([pivot[2]], pa.int32())], names)
+
+
+def _verified(docs: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges (a, b) whose whole sets reach the bound.  Sets are made anew for the nodes of edges only."""
+    wanted = KeyFilter(stored(edges.select(F.explode(F.array("a", "b")).alias("key")).distinct()))
 
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        recent = Recent()
+        for batch in batches:
+            for _, x in _sets(batch, 0):
+                some = np.flatnonzero(wanted.passes(x.node))
+                some = some[recent.new(x.node[some].view(np.uint64))]
+                bounds = np.concatenate([np.zeros(1, np.int64), np.cumsum(x.size[some])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(x.node[some]), pa.ListArray.from_arrays(pa.array(bounds), pa.array(x.of(some)[0].view(np.int64)))], ["node", "grams"])
+
+    sets = docs.select("text").mapInArrow(tidy(make), "node long, grams array<long>").dropDuplicates(["node"])
+    left = edges.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a")
+    both = left.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
+    common = F.size(F.array_intersect("ga", "gb"))
+    return both.where((100 + SIMILAR) * common >= SIMILAR * (F.size("ga") + F.size("gb"))).select("a", "b")
 
-def _bounded(pairs: DataFrame, large: DataFrame) -> DataFrame:
-    """Sum the products of each pair; keep those whose overlap can still reach the bound.
 
-    Products have all small n-grams that both prefixes hold.  Large ones are multiplied with
-    pivots only, so those that the two prefixes share are counted from the nodes' own lists.
-    """
-    summed = pairs.groupBy("a", "b").agg(F.sum("small").alias("overlap"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
-    lists = large.groupBy("a").agg(F.collect_set("gram").alias("grams"))  # a prefix at most
-    listed = summed.join(lists.withColumnRenamed("grams", "ga"), "a", "left").join(lists.select(F.col("a").alias("b"), F.col("grams").alias("gb")), "b", "left")
-    overlap = F.col("overlap") + F.when(F.col("ga").isNull() | F.col("gb").isNull(), 0).otherwise(F.size(F.array_intersect("ga", "gb")))
-    rest = F.least(F.col("na") - 1 - F.col("pa"), F.col("nb") - 1 - F.col("pb"))
-    return listed.where((100 + SIMILAR) * (overlap + rest) >= SIMILAR * (F.col("na") + F.col("nb"))).select("a", "b")
+def _first_edges(shared: DataFrame) -> DataFrame:
+    """Each node with the pivot that most of its grams have, if that many may do: one edge for a node at most."""
+    votes = shared.where("node <> pivot").groupBy("node", "n", "pivot", "m").agg(F.count("*").alias("votes"))
+    likely = votes.where(_SIZES).where(f"votes + {_REST} >= {_NEEDED}")
+    best = likely.groupBy("node").agg(F.max(F.struct("votes", "pivot")).alias("best"))
+    return best.select(F.col("node").alias("a"), F.col("best.pivot").alias("b"))
 
 
-def _linked(docs: DataFrame, named: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges whose whole sets reach the bound.  Sets are made anew for the nodes of edges only.
+_PAIR = "a long, b long, n int, m int, shared int"
 
-    A filter of fixed size says which documents may be such nodes before their texts are
-    dealt out; it lets others through when it fills up, and the join drops those.
-    """
-    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = stored(named.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null"))
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    words = wanted.select((slot / 32).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {FILTER_BITS}) % 32 as int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
-    table = np.zeros(FILTER_BITS // 32, np.int64)
-    for r in words.collect():  # at most FILTER_BITS / 32 rows
-        table[r.w] = r.bits
-    shared = docs.sparkSession.sparkContext.broadcast(table)
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slots = np.asarray(batch.column(2))
-            hit = np.flatnonzero(shared.value[slots >> 5] >> (slots & 31) & 1)
-            some = batch.take(pa.array(hit))
-            sets = [shingles(t) for t in some.column(1).to_pylist()]
-            offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            values = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([some.column(0), pa.array([node_of(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["doc_id", "node", "grams"])
-
-    with_id = docs.where("doc_id is not null").select("doc_id", "text", slot.cast("long").alias("slot"))
-    sets = with_id.mapInArrow(make, "doc_id long, node long, grams array<long>").join(wanted, ["doc_id", "node"], "left_semi").dropDuplicates(["node"]).select("node", "grams")
-    left = edges.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
-    common = F.size(F.array_intersect("ga", "gb"))
-    total = F.size("ga") + F.size("gb")
-    return both.where((100 + SIMILAR) * common >= SIMILAR * total).select("a", "b")
-
-
-def _pivot_pairs(rows: DataFrame) -> DataFrame:
-    """Each node of a large n-gram with the n-gram's pivots: the least by a few hashes, one for each part of a split group."""
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("a", F.lit(7)), F.lit(16)))
-    out = None
-    for seed in range(PIVOTS):
-        me = F.struct(F.xxhash64("a", F.lit(seed)).alias("h"), F.col("a"), F.col("na"), F.col("pa"))
-        local = salted.groupBy("gram", "salt").agg(F.min(me).alias("p"))
-        top = local.groupBy("gram").agg(F.min("p").alias("p"))
-        pairs = rows.join(top, "gram").where("a <> p.a").select(
-            F.least("a", "p.a").alias("a"), F.greatest("a", "p.a").alias("b"),
-            F.expr("if(a < p.a, na, p.na)").alias("na"), F.expr("if(a < p.a, p.na, na)").alias("nb"),
-            F.expr("if(a < p.a, pa, p.pa)").alias("pa"), F.expr("if(a < p.a, p.pa, pa)").alias("pb"), "gram",
-        )
-        out = pairs if out is None else out.unionByName(pairs)
-    return out.where(f"100 * least(na, nb) >= {SIMILAR} * greatest(na, nb)").distinct()
-
-
-def _open_pairs(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of nodes in different components that share enough large n-grams of their prefixes.
-
-    Pairs that share a small n-gram are settled by now, as ``_bounded`` counts their large ones
-    too, so all common n-grams of an open pair that lie in both prefixes are large ones.  Rows of one large n-gram are dealt to chunks of
-    about ``CHUNK`` nodes and every two chunks meet in one task, which multiplies the node by
-    n-gram incidence of the two and keeps the pairs whose overlap can still reach the bound.
-    Only n-grams whose nodes are in more than one component take part.
+def _small_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From the nodes of each small gram: pairs of nodes of different components, with the number of grams that brought them."""
+    names = [x.split()[0] for x in _PAIR.split(", ")]
+    held: list[np.ndarray] = []
+
+    def summed() -> pa.RecordBatch:
+        a, b, n, m, k = np.concatenate([*held, np.zeros((5, 0), np.int64)], 1)
+        order = np.lexsort((b, a))
+        a, b, n, m, k = a[order], b[order], n[order], m[order], k[order]
+        first = np.flatnonzero(np.concatenate([np.ones(1, bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+        count = np.add.reduceat(k, first) if len(first) else k
+        return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), *(pa.array(v.astype(np.int32)) for v in (n[first], m[first], count))], names)
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2000):
+            part = batch.column(0).slice(at, 2000)  # (node, n, c) of each gram
+            flat, f = part.flatten(), np.diff(np.asarray(part.offsets))
+            node, n, c = (np.asarray(flat.field(k)).astype(np.int64) for k in range(3))
+            starts = np.cumsum(f) - f
+            for size in np.unique(f[f > 1]):
+                i, j = np.triu_indices(size, 1)
+                x, y = ((starts[f == size][:, None] + v).ravel() for v in (i, j))
+                ok = (c[x] != c[y]) & (100 * np.minimum(n[x], n[y]) >= SIMILAR * np.maximum(n[x], n[y]))
+                x, y = x[ok], y[ok]
+                x, y = np.where(node[x] < node[y], x, y), np.where(node[x] < node[y], y, x)
+                held.append(np.stack([node[x], node[y], n[x], n[y], np.ones(len(x), np.int64)]))
+            if sum(h.shape[1] for h in held) > 500_000:
+                out = summed()
+                held = [np.stack([np.asarray(v).astype(np.int64) for v in out.columns])]
+                if out.num_rows > 250_000:
+                    yield out
+                    held = []
+    yield summed()
+
+
+def _open_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs of nodes in different components that share enough large grams of their prefixes.
+
+    ``rows`` (gram, node, n, c) are those of large grams that several components have.  Pairs that
+    also share a small gram are settled elsewhere.  Rows of one gram are dealt to chunks of about
+    ``CHUNK`` nodes and every two chunks meet in one task, which multiplies the node by gram
+    incidence of the two, some columns at a time, and keeps the pairs that can reach the bound.
     """
-    lists = rows.groupBy("a").agg(F.first("na").alias("n"), F.collect_set("gram").alias("large"))  # a prefix at most
-    placed = rows.select("gram", "a").join(labels, F.col("a") == labels["node"], "left").select("gram", "a", F.coalesce("label", "a").alias("c"))
-    mixed = placed.groupBy("gram").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("f")).where("low < high").select("gram", F.ceil(F.col("f") / CHUNK).cast("int").alias("chunks"))
-    dealt = placed.join(mixed, "gram").withColumn("chunk", F.pmod(F.xxhash64("a"), F.col("chunks")).cast("int")).join(lists, "a")
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    meeting = dealt.withColumn("other", other).withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other"))
+    lists = rows.groupBy("node").agg(F.sort_array(F.collect_set("gram")).alias("large"))  # a prefix at most
+    chunks = rows.groupBy("gram").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    dealt = rows.join(chunks, "gram").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).join(lists, "node")
+    meeting = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other"))
 
     def multiply(table: pa.Table) -> pa.Table:
-        node, n, c, chunk = (table.column(k).to_numpy() for k in ("a", "n", "c", "chunk"))
-        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        node, n, c, chunk = (table.column(k).to_numpy().astype(np.int64) for k in ("node", "n", "c", "chunk"))
+        low, high, gram = table.column("low")[0].as_py(), table.column("high")[0].as_py(), table.column("gram")[0].as_py()
         large = table.column("large").combine_chunks()
-        grams = np.unique(np.asarray(large.values), return_inverse=True)[1]
-        incidence = np.zeros((len(node), int(grams.max(initial=0)) + 1), np.float32)
-        sizes = np.diff(np.asarray(large.offsets))
-        incidence[np.repeat(np.arange(len(node)), sizes), grams] = 1
+        values = np.asarray(large.flatten())
+        owner = np.repeat(np.arange(len(node)), np.asarray(large.value_lengths()))
         left, right = np.flatnonzero(chunk == low), np.flatnonzero(chunk == high)
-        mine = int(np.searchsorted(np.unique(np.asarray(large.values)), table.column("gram")[0].as_py()))
-        earlier = incidence[:, :mine]  # a pair comes out at the first n-gram it shares: all that it shares are here
-        rest = n - (n - (SIMILAR * n + 99) // 100 + 1)
+        known, column = np.unique(values, return_inverse=True)
+        both = np.bincount(column, minlength=len(known)) > 1  # a gram of one node alone adds nothing
+        rest = n - prefix_size(n)
         found = []
-        for at in range(0, len(left), 256):
-            i = left[at : at + 256]
-            overlap = incidence[i] @ incidence[right].T + np.maximum(rest[i][:, None], rest[right])
-            x, y = np.nonzero((overlap >= needed(n[i][:, None], n[right])) & (c[i][:, None] != c[right]) & (100 * np.minimum(n[i][:, None], n[right]) >= SIMILAR * np.maximum(n[i][:, None], n[right])) & (earlier[i] @ earlier[right].T == 0))
+        for at in range(0, len(left), ROWS):
+            i = left[at : at + ROWS]
+            mine = np.zeros(len(node), bool)
+            mine[i] = True
+            overlap, earlier = np.zeros((len(i), len(right)), np.float32), np.zeros((len(i), len(right)), bool)
+            here = np.flatnonzero(both & (np.bincount(column[mine[owner]], minlength=len(known)) > 0))
+            for k in range(0, len(here), COLUMNS):
+                cols = here[k : k + COLUMNS]
+                place = np.full(len(known), -1)
+                place[cols] = np.arange(len(cols))
+                on = place[column] >= 0
+                incidence = np.zeros((len(node), len(cols)), np.float32)
+                incidence[owner[on], place[column[on]]] = 1
+                before = int(np.searchsorted(known[cols], gram))
+                earlier |= incidence[i, :before] @ incidence[right, :before].T > 0
+                overlap += incidence[i] @ incidence[right].T
+            # a pair comes out at the first gram it shares
+            ok = (overlap + np.maximum(rest[i][:, None], rest[right]) >= needed(n[i][:, None], n[right])) & (c[i][:, None] != c[right]) & ~earlier
+            x, y = np.nonzero(ok & (100 * np.minimum(n[i][:, None], n[right]) >= SIMILAR * np.maximum(n[i][:, None], n[right])))
             found.append(np.stack([node[i[x]], node[right[y]]], 1))
         pairs = np.concatenate([*found, np.zeros((0, 2), np.int64)])
         return pa.table({"a": pairs.min(1) if len(pairs) else pairs[:, 0], "b": pairs.max(1) if len(pairs) else pairs[:, 1]})
 
-    return meeting.groupBy("gram", "low", "high").applyInArrow(multiply, "a long, b long").distinct()
+    return meeting.select("gram", "node", "n", "c", "chunk", "low", "high", "large").groupBy("gram", "low", "high").applyInArrow(multiply, "a long, b long").distinct()
+
+
+def _later_edges(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """All pairs of nodes in different components that may reach the bound.
+
+    Only grams that several components have take part: all that such a pair shares are among them.
+    """
+    placed = shared.select("gram", "node", "n").join(labels, "node", "left").select("gram", "node", "n", F.coalesce("label", "node").alias("c"))
+    mixed = placed.groupBy("gram").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("f")).where("low < high").select("gram", "f")
+    rows = stored(placed.join(mixed, "gram"))
+    groups = rows.where(F.col("f") <= BIG).groupBy("gram").agg(F.collect_list(F.struct("node", "n", "c")).alias("nodes"))  # BIG at most
+    pairs = groups.select("nodes").mapInArrow(tidy(_small_pairs), _PAIR)
+    summed = pairs.groupBy("a", "b", "n", "m").agg(F.sum("shared").alias("shared"))
+    # what a pair shares of large grams is at most what the one with fewer of them has
+    many = rows.where(F.col("f") > BIG).groupBy("node").agg(F.count("*").alias("large"))
+    for side in ("a", "b"):
+        summed = summed.join(many.select(F.col("node").alias(side), F.col("large").alias(f"large_{side}")), side, "left")
+    summed = summed.withColumn("most", F.col("shared") + F.least(F.coalesce("large_a", F.lit(0)), F.coalesce("large_b", F.lit(0))))
+    close = summed.where(f"most + {_REST} >= {_NEEDED}").select("a", "b")
+    return close.unionByName(_open_pairs(rows.where(F.col("f") > BIG))).distinct()
 
 
 def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, node, n) of every document, and (node, label) of every node with links."""
+    spark = docs.sparkSession
     rows = docs.select("doc_id", "text")
-    first = stored(rows.mapInArrow(_sets, "doc_id long, node long, n long, gram long"))
+    first = stored(rows.mapInArrow(tidy(_names), "doc_id long, node long, n long, gram long"))
     named = first.where("node is not null").select("doc_id", "node", "n")
-    shared = first.where("node is null").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT)
-    hot = shared.orderBy(F.desc("n"), "gram").limit(HOT_MOST).toPandas().sort_values("n")
-    grams = hot["gram"].to_numpy(np.int64).view(np.uint64)
+    common = first.where("node is null").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT)
+    hot = common.orderBy(F.desc("n"), "gram").limit(HOT_MOST).toArrow().sort_by("n")
+    grams = hot.column("gram").to_numpy().view(np.uint64)
     order = np.argsort(grams)
-    sent = docs.sparkSession.sparkContext.broadcast((grams[order], (np.arange(len(grams)) + 1)[order]))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    prefixes = rows.select("text").mapInArrow(lambda b: _prefixes(b, sent.value), "gram long, node long, n int, place int")
-    products = stored(prefixes.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_products, _PRODUCT))
-    large = products.where("b is null").select("gram", "a", "na", "pa").distinct()
-    pairs = products.where("b is not null").withColumn("small", F.lit(1)).unionByName(_pivot_pairs(large).withColumn("small", F.lit(0)))
-    links = stored(_linked(rows, named, stored(_bounded(pairs, large))))
-    labels = connected(links)
-    more = stored(_open_pairs(large, labels))
-    if not more.isEmpty():
-        links = stored(links.unionByName(_linked(rows, named, more)))
-        labels = connected(links)
-    return named, labels
+    sent = spark.sparkContext.broadcast((grams[order], (np.arange(len(grams)) + 1)[order]))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    prefixes = rows.select("text").mapInArrow(tidy(lambda b: _prefixes(b, sent.value)), "gram long, node long, n int")
+    shared = stored(prefixes.repartition(parts, "gram").sortWithinPartitions("gram", "node").mapInArrow(tidy(_stars), _STAR))
+    links = stored(_verified(rows, stored(_first_edges(shared))))
+    more = stored(_verified(rows, stored(_later_edges(shared, connected(links)))))
+    return named, connected(links.unionByName(more))
 
 
 def components(docs: DataFrame) -> DataFrame:
