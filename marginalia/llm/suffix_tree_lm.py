@@ -12,37 +12,41 @@ tokens', each given the longest retained suffix of the words before it in the te
 * A stored transition has n / (total + stored); the mass that is left is shared by all other
   tokens as the parent has it, so every state is a distribution over the same tokens.
 
-Words, transitions and states are distributed tables; n-grams are known by 64-bit hashes.  An
-n-gram that occurs ``LEAST`` times has parts that do, so a pass over the texts counts only those
-whose parts pass a filter of fixed size (``FILTER_BITS``), which lets others through when it
-fills up.  Documents are dealt to blocks; a block asks for its distinct words and n-grams, the
-tables answer by a join, and the answers meet the block's documents again.
-
-Null texts count as empty: one token, the end.  Rows without doc_id are held out.
+Words, transitions and states are distributed tables; words and n-grams are known by 64-bit
+hashes.  An n-gram that occurs ``LEAST`` times has parts that do, so level by level a pass over
+the texts tallies the n-grams whose parts pass a filter of bounded size (``KeyFilter``): each
+task sends 48 bits and a small count of each, which is all that the next filter needs.  Only
+n-grams that pass are then counted with their contexts, exactly.  Filters let others through
+as they fill up; that costs work, no result.  Documents are dealt to blocks of about ``BLOCK``
+tokens; a block asks for its distinct words and n-grams, the tables answer by a join, and the
+answers meet the block's documents again.  Blocks grow in number, not in size.
+
+Null texts count as empty: one token, the end.  Rows without doc_id are held out.  Rows that
+share a doc_id are scored each for itself; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from marginalia.llm.shared import stored
-from marginalia.llm.units import UnitCache
+from marginalia.llm.shared import KeyFilter, stored, tidy
+from marginalia.llm.units import slices
+from marginalia.llm.words import P, Words
 
 DEPTH = 3  # words of the longest context
 LEAST = 3
 PER_SYMBOL = 2.0
-FILTER_BITS = 1 << 25
+BLOCK = 7_000_000  # training tokens of a block of documents that are scored together
+HELD = 1_500_000  # n-grams that a task gathers before it sums them up
 END = b"\x00 "  # no word: words have no space
-_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_END = np.uint64(0x5851F42D4C957F2D)  # its hash
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -54,89 +58,142 @@ def _train_flag(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 10 != 0, F.lit(False))
 
 
+def _grams(texts: list[str | None], depth: int = DEPTH) -> tuple[list[np.ndarray], np.ndarray]:
+    """Hashes of the 1- to (depth + 1)-grams that start at each token of some texts, and how many tokens the text has from there on.
+
+    Hashes that reach beyond their text's end mean nothing.
+    """
+    found = Words(texts, lower=True)
+    w = np.insert(found.hash, found.bounds[1:], _END)
+    sizes = np.diff(found.bounds) + 1
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(w))
+    out, h = [], np.zeros(len(w), np.uint64)
+    for k in range(depth + 1):
+        h = (h ^ np.concatenate([w[k:], np.zeros(min(k, len(w)), np.uint64)])) * P
+        h ^= h >> np.uint64(29)
+        out.append(h.view(np.int64))
+    return out, left
+
+
+class Tally:
+    """Counts of keys with what belongs to each, summed up whenever ``HELD`` rows have come."""
+
+    def __init__(self, width: int):
+        self.rows, self.n, self.waiting = [np.zeros((width, 0), np.int64)], [np.zeros(0, np.int64)], 0
+
+    def add(self, rows: np.ndarray, n: np.ndarray | None = None) -> None:
+        self.rows.append(rows)
+        self.n.append(np.ones(rows.shape[1], np.int64) if n is None else n)
+        self.waiting += rows.shape[1]
+        if self.waiting > HELD:
+            self.sum()
+
+    def sum(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct rows in ascending order of their keys, and the count of each."""
+        rows, n = np.concatenate(self.rows, 1), np.concatenate(self.n)
+        order = np.argsort(rows[0], kind="stable")
+        key = rows[0][order]
+        first = np.flatnonzero(np.concatenate([np.ones(1, bool), key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        rows, n = rows[:, order[first]], np.add.reduceat(n[order], first) if len(first) else n
+        self.rows, self.n, self.waiting = [rows], [n], 0
+        return rows, n
+
+
+def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[str]]]:
+    at = 0
+    for part in slices(batch.column(column)):
+        yield at, part
+        at += len(part)
+
+
+def _in_parts(rows: int, *columns: np.ndarray) -> Iterator[list[pa.Array]]:
+    for at in range(0, len(columns[0]), rows):
+        yield [pa.array(c[at : at + rows]) for c in columns]
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Training count of every word of the task's texts (0: only in held-out ones)."""
-    counts: Counter = Counter()
+    """(gram, n): training count of every word of the task's texts."""
+    tally = Tally(1)
     for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            some = batch.slice(at, 1000)
-            for text, train in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
-                words = tokens(text)
-                words.append(END)
-                if train:
-                    counts.update(words)
-                else:
-                    for w in words:
-                        counts.setdefault(w, 0)
-            if len(counts) > 400_000:
-                yield from _word_rows(counts)
-                counts.clear()
-    yield from _word_rows(counts)
+        for _, part in _texts(batch, 0):
+            tally.add(_grams(part, 0)[0][0][None])
+    rows, n = tally.sum()
+    for cols in _in_parts(100_000, rows[0], n):
+        yield pa.RecordBatch.from_arrays(cols, ["gram", "n"])
 
 
-def _word_rows(counts: Counter) -> Iterator[pa.RecordBatch]:
-    words, n = list(counts), list(counts.values())
-    for at in range(0, len(words), 50_000):
-        yield pa.RecordBatch.from_arrays([pa.array(words[at : at + 50_000], pa.binary()), pa.array(n[at : at + 50_000], pa.int64())], ["word", "n"])
+_SENT = "part int, low binary, high binary, n binary"
 
 
-def _numbered() -> UnitCache:
-    return UnitCache(xxhash.xxh3_64_digest, 80_000)
+def _short(gram: np.ndarray) -> np.ndarray:
+    """The 48 bits of an n-gram's hash that a tally knows it by."""
+    return (gram.view(np.uint64) >> np.uint64(16)).view(np.int64)
 
 
-def _grams(texts: list[str | None], cache: UnitCache) -> tuple[list[np.ndarray], np.ndarray]:
-    """Hashes of the 1- to (DEPTH + 1)-grams that start at each token of some texts, and how many tokens the text has from there on.
+def _tally_grams(batches: Iterator[pa.RecordBatch], d: int, known: KeyFilter, part_bits: int) -> Iterator[pa.RecordBatch]:
+    """Short hashes and counts (``LEAST`` at most) of the (d + 1)-grams whose first and last d words pass, by their leading bits."""
+    tally = Tally(1)
+
+    def sent() -> Iterator[pa.RecordBatch]:
+        (keys,), n = tally.sum()
+        bounds = np.searchsorted(keys, np.arange((1 << part_bits) + 1) << (48 - part_bits))
+        low, high, n = keys.astype(np.uint32), (keys >> 32 & 255).astype(np.uint8), np.minimum(n, LEAST).astype(np.uint8)
+        cut = lambda v: pa.array([v[a:b].tobytes() for a, b in pairwise(bounds.tolist())], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(1 << part_bits), pa.int32()), cut(low), cut(high), cut(n)], ["part", "low", "high", "n"])
+
+    for batch in batches:
+        for _, part in _texts(batch, 0):
+            grams, left = _grams(part, d)
+            ok = known.passes(grams[0] if d == 1 else _short(grams[d - 1]))
+            tally.add(_short(grams[d][np.flatnonzero(ok[:-1] & ok[1:] & (left[:-1] > d))])[None])
+            if tally.n[0].size > 6 * HELD:
+                yield from sent()
+                tally = Tally(1)
+    yield from sent()
 
-    Hashes that reach beyond their text's end mean nothing.
-    """
-    found = [[*tokens(t), END] for t in texts]
-    sizes = np.array([len(x) for x in found], np.int64)
-    w = np.frombuffer(b"".join(cache[x] for f in found for x in f), np.uint64)
-    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(w))
-    out, h = [], np.zeros(len(w), np.uint64)
-    for k in range(DEPTH + 1):
-        h = (h ^ np.concatenate([w[k:], np.zeros(min(k, len(w)), np.uint64)])) * _FACTOR
-        h ^= h >> np.uint64(29)
-        out.append(h.view(np.int64))
-    return out, left
 
+def _frequent(sent: DataFrame, part_bits: int) -> DataFrame:
+    """(key): short hashes that all tasks together have ``LEAST`` times."""
 
-def _filter(grams: DataFrame) -> np.ndarray:
-    """Bits of fixed number that say which n-grams may be among ``grams``."""
-    slot = f"pmod(gram, {FILTER_BITS})"
-    bits = grams.select(F.expr(f"cast(shiftright({slot}, 6) as int)").alias("w"), F.expr(f"shiftleft(1L, cast({slot} & 63 as int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits")).toPandas()
-    table = np.zeros(FILTER_BITS // 64, np.int64)
-    table[bits["w"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.int64)
-    return table
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tallies: dict[int, Tally] = {}
+        for batch in batches:
+            for part, low, high, n in zip(batch.column(0).to_pylist(), *batch.columns[1:], strict=True):
+                low, high, n = np.frombuffer(low.as_buffer(), np.uint32), np.frombuffer(high.as_buffer(), np.uint8), np.frombuffer(n.as_buffer(), np.uint8)
+                tallies.setdefault(part, Tally(1)).add((np.int64(part) << (48 - part_bits) | high.astype(np.int64) << 32 | low)[None], n.astype(np.int64))
+        for part in list(tallies):
+            rows, n = tallies.pop(part).sum()
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0][n >= LEAST])], ["key"])
 
+    parts = int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sent.repartition(parts, "part").mapInArrow(tidy(merge), "key long")
 
-def _passes(table: np.ndarray, gram: np.ndarray) -> np.ndarray:
-    slot = gram & (FILTER_BITS - 1)
-    return (table[slot >> 6] >> (slot & 63) & 1).astype(bool)
 
+_COUNTED = "level byte, gram long, context long, shorter long, n long"
 
-def _count_grams(batches: Iterator[pa.RecordBatch], d: int, known: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(gram, context, shorter, n): counts of the (d + 1)-grams whose first and last d words pass the filter."""
-    cache = _numbered()
-    held: list[np.ndarray] = []
-    size = 0
 
-    def rows() -> pa.RecordBatch:
-        all_ = np.concatenate(held, 1) if held else np.zeros((3, 0), np.int64)
-        gram, first, n = np.unique(all_[0], return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(gram), pa.array(all_[1][first]), pa.array(all_[2][first]), pa.array(n.astype(np.int64))], ["gram", "context", "shorter", "n"])
+def _count_grams(batches: Iterator[pa.RecordBatch], known: list[KeyFilter]) -> Iterator[pa.RecordBatch]:
+    """Counts of the (d + 1)-grams, d from 1, that pass their filter, with their first and last d words."""
+    names = [x.split()[0] for x in _COUNTED.split(", ")]
+    tallies = [Tally(3) for _ in known]
+
+    def rows(d: int) -> Iterator[pa.RecordBatch]:
+        found, n = tallies[d - 1].sum()
+        tallies[d - 1] = Tally(3)
+        for cols in _in_parts(100_000, *found, n):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), d, np.int8)), *cols], names)
 
     for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            grams, left = _grams(batch.column(0).slice(at, 500).to_pylist(), cache)
-            ok = _passes(known, grams[d - 1])
-            i = np.flatnonzero(ok[:-1] & ok[1:] & (left[:-1] > d))
-            held.append(np.stack([grams[d][i], grams[d - 1][i], grams[d - 1][i + 1]]))
-            size += len(i)
-            if size > 2_000_000:
-                yield rows()
-                held, size = [], 0
-    yield rows()
+        for _, part in _texts(batch, 0):
+            grams, left = _grams(part)
+            for d, mine in enumerate(known, 1):
+                i = np.flatnonzero(left > d)
+                i = i[mine.passes(_short(grams[d][i]))]
+                tallies[d - 1].add(np.stack([grams[d][i], grams[d - 1][i], grams[d - 1][i + 1]]))
+                if tallies[d - 1].n[0].size > 2 * HELD:
+                    yield from rows(d)
+    for d in range(1, len(known) + 1):
+        yield from rows(d)
 
 
 _LOW = (1 << 20) - 1  # word numbers have 20 bits
@@ -203,39 +260,33 @@ class SuffixTree:
         return self._extend(1, np.where((two > 0) & (before > 0), two << 40 | before << 20 | w, 0), one)
 
 
-def _states(docs: DataFrame, words: DataFrame, divisor: float) -> DataFrame:
+def _states(train: DataFrame, words: DataFrame, divisor: float) -> DataFrame:
     """(gram, value, rest): log10 probability of each stored transition of a retained state, and
     log10 factor of each retained state on its parent's probability of all other tokens."""
-    train = docs.where("train").select("text")
-    hashed = F.udf(lambda w: int(_word_gram(bytes(w))), "long")
-    lower = stored(words.where(F.col("n") >= LEAST).select(hashed("word").alias("gram"), "n", F.log10((F.col("n") + 0.1) / divisor).alias("lp")))
+    part_bits = min(16, max(8, (4 * int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
+    lower = stored(words.where(F.col("n") >= LEAST).select("gram", "n", F.log10((F.col("n") + 0.1) / divisor).alias("lp")))
+    known = [KeyFilter(lower.select(F.col("gram").alias("key")))]
+    for d in range(1, DEPTH + 1):
+        sent = train.mapInArrow(tidy(lambda b, d=d, mine=known[-1]: _tally_grams(b, d, mine, part_bits)), _SENT)
+        known.append(KeyFilter(stored(_frequent(sent, part_bits))))
+    counted = train.mapInArrow(tidy(lambda b: _count_grams(b, known[1:])), _COUNTED)
+    counted = stored(counted.groupBy("level", "gram").agg(F.sum("n").alias("n"), F.first("context").alias("context"), F.first("shorter").alias("shorter")).where(F.col("n") >= LEAST))
     found = None
     for d in range(1, DEPTH + 1):
-        known = docs.sparkSession.sparkContext.broadcast(_filter(lower.select("gram")))
-        counted = train.mapInArrow(lambda b, d=d, known=known: _count_grams(b, d, known.value), "gram long, context long, shorter long, n long")
-        rows = counted.groupBy("gram").agg(F.sum("n").alias("n"), F.first("context").alias("context"), F.first("shorter").alias("shorter")).where(F.col("n") >= LEAST)
         # whatever occurs LEAST times has parts that do, so both joins find every row
-        placed = rows.join(lower.select(F.col("gram").alias("shorter"), F.col("lp").alias("parent")), "shorter").join(lower.select(F.col("gram").alias("context"), F.col("n").alias("total")), "context")
-        mine = Window.partitionBy("context")
-        sums = placed.withColumn("size", F.count("*").over(mine)).withColumn("stored", F.sum("n").over(mine))
-        sums = sums.withColumn("under", F.sum(F.pow(F.lit(10.0), "parent")).over(mine)).withColumn("gain", F.sum(F.expr("n * (ln(n) - parent * ln(10D))")).over(mine))
+        rows = counted.where(F.col("level") == d).join(lower.select(F.col("gram").alias("shorter"), F.col("lp").alias("parent")), "shorter")
+        sums = rows.groupBy("context").agg(F.count("*").alias("size"), F.sum("n").alias("stored"), F.sum(F.pow(F.lit(10.0), "parent")).alias("under"), F.sum(F.expr("n * (ln(n) - parent * ln(10D))")).alias("gain"))
+        sums = sums.join(lower.select(F.col("gram").alias("context"), F.col("n").alias("total")), "context")
         of_all = sums.withColumn("rest", F.expr("greatest(1 - stored / (total + size), 1e-9D) / greatest(1 - under, 1e-9D)"))
         gain = F.expr("gain - stored * ln(total + size) + greatest(total - stored, 0) * ln(rest)")
-        kept = of_all.withColumn("value", F.when(gain > PER_SYMBOL * (F.col("size") + 1), F.expr("log10(n / (total + size))")))
-        lower = stored(kept.select("gram", "n", "context", "value", F.log10("rest").alias("rest"), F.coalesce("value", "parent").alias("lp")))
-        some = lower.where("value is not null")
-        level = some.select("gram", "value", F.lit(None).cast("double").alias("rest")).unionByName(some.groupBy(F.col("context").alias("gram")).agg(F.first("rest").alias("rest")).withColumn("value", F.lit(None).cast("double")))
+        states = stored(of_all.where(gain > PER_SYMBOL * (F.col("size") + 1)).select("context", (F.col("total") + F.col("size")).alias("all"), F.log10("rest").alias("rest")))
+        value = F.log10(F.col("n") / F.col("all"))
+        lower = stored(rows.join(states.select("context", "all"), "context", "left").select("gram", "n", value.alias("value"), F.coalesce(value, "parent").alias("lp")))
+        level = lower.where("value is not null").select("gram", "value", F.lit(None).cast("double").alias("rest")).unionByName(states.select(F.col("context").alias("gram"), F.lit(None).cast("double").alias("value"), "rest"))
         found = level if found is None else found.unionByName(level)
     return found.groupBy("gram").agg(F.max("value").alias("value"), F.max("rest").alias("rest"))
 
 
-def _word_gram(word: bytes) -> np.int64:
-    """Hash of a single word as ``_grams`` has it."""
-    h = xxhash.xxh3_64_digest(word)
-    h = np.frombuffer(h, np.uint64) * _FACTOR
-    return (h ^ (h >> np.uint64(29))).view(np.int64)[0]
-
-
 class Answers:
     """What the tables told a block: values and factors of its n-grams."""
 
@@ -243,7 +294,7 @@ class Answers:
         order = np.argsort(gram)
         self.gram, self.value, self.rest = gram[order], value[order], rest[order]
 
-    def _look(self, gram: np.ndarray, of: np.ndarray) -> np.ndarray:
+    def look(self, gram: np.ndarray, of: np.ndarray) -> np.ndarray:
         """Values, nan where there is none."""
         if not len(self.gram):
             return np.full(len(gram), np.nan)
@@ -255,86 +306,67 @@ class Answers:
         out = base.copy()
         for d in range(1, DEPTH + 1):
             i = np.flatnonzero(left > d)  # the token d places on is in the same text
-            factor, value = self._look(grams[d - 1][i], self.rest), self._look(grams[d][i], self.value)
+            factor, value = self.look(grams[d - 1][i], self.rest), self.look(grams[d][i], self.value)
             out[i + d] += np.where(np.isnan(factor), 0.0, factor)
             out[i + d] = np.where(np.isnan(value), out[i + d], value)
         return out
 
 
-def _key(gram: Column) -> Column:
-    """Key of an n-gram in the table of answers: no word has a space, so none equals it."""
-    return F.concat(F.lit(bytearray(END)), F.unhex(F.lpad(F.hex(gram), 16, "0")))
-
-
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     spark = docs.sparkSession
-    blocks = int(spark.conf.get("spark.sql.shuffle.partitions")) * 2
     flagged = docs.select("doc_id", "text", _train_flag(docs["doc_id"]).alias("train"))
-    counts = flagged.select("text", "train").mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    words = stored(counts)
-    n_all, n_distinct = words.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    train = flagged.where("train").select("text")
+    words = stored(train.mapInArrow(tidy(_count_words), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
+    n_all, n_distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     divisor = n_all + 0.1 * (n_distinct + 1)
-    states = stored(_states(flagged, words, divisor))
-    retained = spark.sparkContext.broadcast(_filter(states.select("gram")))
+    states = stored(_states(train, words, divisor))
+    retained = KeyFilter(states.select(F.col("gram").alias("key")))
     none = F.lit(None).cast("double")
-    model = words.select(F.col("word").alias("key"), "n", none.alias("value"), none.alias("rest")).unionByName(states.select(_key(F.col("gram")).alias("key"), F.lit(None).cast("long").alias("n"), "value", "rest"))
-    dealt = flagged.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks // 2, "block")
+    model = words.select("gram", "n", none.alias("value"), none.alias("rest")).unionByName(states.select("gram", F.lit(None).cast("long").alias("n"), "value", "rest"))
+    blocks = max(-(-n_all // BLOCK), min(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    dealt = flagged.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _numbered()
-        wanted: dict[int, set[bytes]] = {}
-        grams: dict[int, list[np.ndarray]] = {}
+        asked: dict[int, Tally] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
-                texts: dict[int, list[str | None]] = {}
-                for text, block in zip(some.column(1).to_pylist(), some.column(3).to_pylist(), strict=True):
-                    texts.setdefault(block, []).append(text)
-                    wanted.setdefault(block, {END}).update(tokens(text))
-                for block, mine in texts.items():
-                    found, left = _grams(mine, cache)
-                    of_lengths = np.concatenate([g[left > k] for k, g in enumerate(found)])
-                    grams.setdefault(block, []).append(np.unique(of_lengths[_passes(retained.value, of_lengths)]))
-        for block, found in wanted.items():
-            of_block = np.unique(np.concatenate(grams[block]))
-            for listed in (list(found), of_block):
-                for at in range(0, len(listed), 50_000):
-                    part = listed[at : at + 50_000]
-                    if isinstance(part, np.ndarray):
-                        raw = part.astype(">i8").tobytes()
-                        part = [END + raw[k : k + 8] for k in range(0, len(raw), 8)]
-                    yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int32()), pa.array(part, pa.binary())], ["block", "key"])
-
-    asked = dealt.mapInArrow(ask, "block int, key binary")  # all columns: so both uses share one exchange
-    answers = asked.join(model, "key").select("block", "key", "n", "value", "rest")
+            blocks_of = np.asarray(batch.column(3))
+            for at, part in _texts(batch, 1):
+                grams, left = _grams(part)
+                owner = np.repeat(blocks_of[at : at + len(part)], np.diff(np.append(np.flatnonzero(np.concatenate([np.ones(1, bool), left[:-1] == 1])), len(left))))
+                for block in np.unique(owner):
+                    mine = owner == block
+                    found = [np.unique(grams[0][mine])]
+                    for k in range(1, DEPTH + 1):
+                        g = grams[k][mine & (left > k)]
+                        found.append(np.unique(g[retained.passes(g)]))
+                    asked.setdefault(int(block), Tally(1)).add(np.concatenate(found)[None])
+        for block in list(asked):
+            (keys,), _ = asked.pop(block).sum()
+            for (part,) in _in_parts(100_000, keys):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block, np.int32)), part], ["block", "gram"])
+
+    asked = dealt.mapInArrow(tidy(ask), "block int, gram long")  # all columns: so both uses share one exchange
+    answers = asked.join(model, "gram").select("block", "gram", "n", "value", "rest")
 
     def score(texts: pa.Table, answered: pa.Table) -> pa.Table:
         is_word = answered.column("n").is_valid()
         of_words, of_grams = answered.filter(is_word), answered.filter(pc.invert(is_word))
-        found, n = of_words.column("key").to_pylist(), of_words.column("n").to_numpy()
-        base = dict(zip(found, np.log10((n + 0.1) / divisor).tolist(), strict=True))
-        unknown = {w for w, k in zip(found, n.tolist(), strict=True) if not k}
-        keys = np.frombuffer(b"".join(k[len(END) :] for k in of_grams.column("key").to_pylist()), ">i8").astype(np.int64)
-        model = Answers(keys, *(of_grams.column(c).to_numpy().astype(float) for c in ("value", "rest")))
-        cache = _numbered()
-        cols: list[list] = [[], [], [], []]
-        for some in texts.to_batches(max_chunksize=500):
-            logs, starts = [], []
-            listed = some.column("text").to_pylist()
-            for text in listed:
-                words_ = tokens(text)
-                words_.append(END)
-                starts.append(len(logs))
-                logs.extend(map(base.__getitem__, words_))
-                cols[0].append(len(words_))
-                cols[1].append(len(words_) - sum(map(unknown.__contains__, words_)))
-            logs_ = np.array(logs)
-            each = model.score(*_grams(listed, cache), logs_)
-            cols[2].extend(np.add.reduceat(logs_, starts) if starts else [])
-            cols[3].extend(np.add.reduceat(each, starts) if starts else [])
+        as_float = lambda t, c: t.column(c).to_numpy().astype(float)
+        counts = Answers(of_words.column("gram").to_numpy(), as_float(of_words, "n"), as_float(of_words, "n"))
+        model = Answers(of_grams.column("gram").to_numpy(), as_float(of_grams, "value"), as_float(of_grams, "rest"))
+        cols: list[list[np.ndarray]] = [[], [], [], []]
+        for part in slices(texts.column("text")):
+            grams, left = _grams(part)
+            c = counts.look(grams[0], counts.value)
+            known = ~np.isnan(c)
+            base = np.log10((np.where(known, c, 0) + 0.1) / divisor)
+            starts = np.flatnonzero(np.concatenate([np.ones(1, bool), left[:-1] == 1]))
+            for col, v in zip(cols, (left[starts], np.add.reduceat(known.astype(np.int64), starts), np.add.reduceat(base, starts), np.add.reduceat(model.score(grams, left, base), starts)), strict=True):
+                col.append(v)
         held = [not t for t in texts.column("train").to_pylist()]
-        arrays = [texts.column("doc_id"), pa.array(held, pa.bool_()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array([n_all] * len(held), pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64())]
+        n_tokens, n_known, base_score, full = (pa.array(np.concatenate(c)) for c in cols)
+        arrays = [texts.column("doc_id"), pa.array(held, pa.bool_()), n_tokens, n_known, pa.array([n_all] * len(held), pa.int64()), base_score, full]
         return pa.Table.from_arrays(arrays, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
