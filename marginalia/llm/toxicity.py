@@ -9,7 +9,8 @@ and lowers its weight.  A logistic curve over the summed weights, fitted on the
 is the score.  Only texts are inputs of a score.
 
 Null and empty texts have no finds and get the score of such texts.  Without labelled rows
-there are no terms and every score is 0.
+there are no terms and every score is 0.  Rows that share a doc_id, or have none, are scored
+each for itself; a null or repeated doc_id among the labels counts for no row or once.
 """
 
 from __future__ import annotations
@@ -21,10 +22,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from marginalia.llm.units import UnitCache
+from marginalia.llm.shared import stored, tidy
+from marginalia.llm.units import slices
+from marginalia.llm.words import WordMemo, Words
 
 SAMPLE = 20_000  # labelled rows that the terms and the curve are fitted on, at most
 MIN_DOCS = 6  # toxic sample documents that hold a term, at least
@@ -109,9 +113,9 @@ class Trie:
 class Scorer:
     def __init__(self, model: ToxicityModel):
         self.model, self.trie = model, Trie(model.words, model.stems, model.fuzzy)
-        self.weight = UnitCache(self._weight)
+        self.memo = WordMemo(lambda word: self.weight(word.decode()))
 
-    def _weight(self, token: str) -> float:
+    def weight(self, token: str) -> float:
         best = 0.0
         for piece in _PIECE.findall(token.lower()):
             if self.trie.exact(piece):
@@ -120,24 +124,29 @@ class Scorer:
                 best = W_FUZZY
         return best
 
-    def evidence(self, text: str | None) -> float:
-        tokens = (text or "").split()
-        total = 0.0
-        for i, w in enumerate(map(self.weight.__getitem__, tokens)):
-            if w:
-                total += w * (W_QUOTED if quoted(tokens, i) else 1.0)
+    def evidences(self, texts: list[str | None]) -> np.ndarray:
+        """Summed weights of the finds of each text; quoted ones count less."""
+        words = Words(texts)
+        weights = self.memo.of(words)
+        total = np.zeros(len(texts))
+        for k in np.flatnonzero(weights).tolist():
+            t = words.text[k]
+            low, high = max(words.bounds[t], k - WINDOW), min(words.bounds[t + 1], k + WINDOW + 1)
+            window = [words.word(i).decode() for i in range(low, high)]
+            total[t] += weights[k] * (W_QUOTED if quoted(window, k - low) else 1.0)
         return total
 
-    def score(self, text: str | None) -> float:
+    def evidence(self, text: str | None) -> float:
+        return float(self.evidences([text])[0])
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
         if not self.model.words and not self.model.stems:
-            return 0.0
-        return float(1 / (1 + np.exp(-(self.model.bias + self.model.slope * np.log1p(self.evidence(text))))))
+            return np.zeros(len(texts))
+        return 1 / (1 + np.exp(-(self.model.bias + self.model.slope * np.log1p(self.evidences(texts)))))
 
 
-def quoted(tokens: list[str], i: int) -> bool:
-    """Whether the window shows token i as quotation: marks around it, or a reporting word near it with a mark."""
-    window = tokens[max(0, i - WINDOW) : i + WINDOW + 1]
-    k = min(i, WINDOW)
+def quoted(window: list[str], k: int) -> bool:
+    """Whether the window shows its token k as quotation: marks around it, or a reporting word near it with a mark."""
     opened = any(_OPEN.search(t) for t in window[: k + 1])
     closed = any(_CLOSE.search(t) for t in window[k:])
     reported = any(t.lower().strip(".,;:!?\"'") in REPORTING for t in window)
@@ -194,15 +203,15 @@ def _terms(forms: list[tuple[str, int, int]], n_toxic: int, n_other: int) -> tup
 
 def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     """Learn terms and curve; what reaches the driver is bounded by ``SAMPLE``."""
-    sample = _sample(docs, labels)
-    counts = sample.mapInArrow(_count_forms, "form string, toxic long, other long").groupBy("form").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    sample = stored(_sample(docs, labels))  # read four times
+    counts = sample.mapInArrow(tidy(_count_forms), "form string, toxic long, other long").groupBy("form").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     # the empty form comes along: it has the numbers of documents
     found = [tuple(r) for r in counts.where((F.col("form") == "") | ((F.col("toxic") >= MIN_DOCS) & (F.col("toxic") * 4 >= F.col("other")))).collect()]
     n_toxic, n_other = next(((t, o) for f, t, o in found if f == ""), (0, 0))
     if not n_toxic or not n_other:
         return ToxicityModel((), (), (), frozenset(), 0.0, 0.0)
     forms = frozenset(f for f, t, o in found if f and t * (n_other + 1.0) >= RATIO * (o + 0.5) * n_toxic)
-    contexts = sample.mapInArrow(lambda b: _contexts(b, forms), "form string, context string").distinct().groupBy("form").count()
+    contexts = sample.mapInArrow(tidy(lambda b: _contexts(b, forms)), "form string, context string").distinct().groupBy("form").count()
     varied = {r.form for r in contexts.where(F.col("count") >= MIN_DOCS).collect()}
     words, stems = _terms([x for x in found if x[0] in varied], n_toxic, n_other)
     fuzzy = tuple(w for w in words if len(w) >= FUZZY_FROM)
@@ -214,10 +223,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
             near: Counter = Counter()
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if not toxic:
-                    near.update({p for t in set((text or "").split()) if 0 < scorer.weight[t] < 1 for p in _PIECE.findall(t.lower())})
+                    near.update({p for t in set((text or "").split()) if 0 < scorer.weight(t) < 1 for p in _PIECE.findall(t.lower())})
             yield pa.RecordBatch.from_arrays([pa.array(list(near), pa.string()), pa.array(list(near.values()), pa.int64())], ["word", "n"])
 
-    near = sample.mapInArrow(gather, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n >= 2")
+    near = sample.mapInArrow(tidy(gather), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n >= 2")
     innocent = frozenset(r.word for r in near.collect())
     # a term with several innocent neighbours lies among ordinary words: its edits say nothing
     single = {w: Trie((), (), (w,)) for w in fuzzy}
@@ -227,10 +236,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            x = [round(scorer.evidence(t), 6) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()), batch.column(1)], ["x", "toxic"])
+            x = [scorer.evidences(part).round(6) for part in slices(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*x, np.zeros(0)])), batch.column(1)], ["x", "toxic"])
 
-    rows = sample.mapInArrow(weigh, "x double, toxic int").groupBy("x", "toxic").count().collect()
+    rows = sample.mapInArrow(tidy(weigh), "x double, toxic int").groupBy("x", "toxic").count().collect()
     bias, slope = _curve([(np.log1p(r.x), r.toxic, r["count"]) for r in rows])
     return ToxicityModel(words, stems, fuzzy, innocent, bias, slope)
 
@@ -250,32 +259,23 @@ def _curve(rows: list[tuple[float, int, int]], ridge: float = 2.0) -> tuple[floa
     return float(w[0]), float(w[1])
 
 
-def score_column(text: Column, model: ToxicityModel) -> Column:
-    """Score of each text, 0 to 1."""
-
-    @F.arrow_udf("double")
-    def score(texts: pa.Array) -> pa.Array:
-        scorer = _scorer(model)
-        return pa.array([scorer.score(t) for t in texts.to_pylist()], pa.float64())
-
-    return score(text)
-
-
-_SCORERS: dict[ToxicityModel, Scorer] = {}
+def with_scores(docs: DataFrame, model: ToxicityModel, name: str = "score") -> DataFrame:
+    """``docs`` with the score of each text, 0 to 1; a column of that name is replaced."""
+    kept = docs.drop(name)
+    place, names = kept.columns.index("text"), [*kept.columns, name]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for batch in batches:
+            found = [scorer.scores(part) for part in slices(batch.column(place))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([*found, np.zeros(0)]))], names)
 
-def _scorer(model: ToxicityModel) -> Scorer:
-    if model not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[model] = Scorer(model)
-    return _SCORERS[model]
+    return kept.mapInArrow(tidy(run), StructType([*kept.schema.fields, StructField(name, DoubleType())]))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
-    model = fit(docs, labels)
-    scored = docs.select("doc_id", score_column(docs["text"], model).alias("score"))
-    return scored.select(
+    return with_scores(docs.select("doc_id", "text"), fit(docs, labels)).select(
         "doc_id",
         F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"),
         "score",
