@@ -1,12 +1,19 @@
 """Operator 8: quality rules whose cutoffs are certified on labelled holdouts.
 
-A rule rejects a document when one measure lies beyond a cutoff.  For every stratum (the
-language) and rule the strictest cutoff of a fixed grid is taken for which an exact binomial
-test shows, on labelled good documents, that it falsely rejects at most ``ALPHA`` divided by
-the number of rules.  The tests of all strata, rules and cutoffs share the error ``DELTA``
-(Bonferroni), so with confidence 1 - DELTA every stratum loses at most ``ALPHA`` of its good
-documents to all rules together.  A stratum with too few labels has no cutoffs and rejects
-nothing beyond the base rules.
+A rule rejects a document when one measure lies beyond a cutoff.  The cutoffs form one path
+from loose to strict: each step lowers the cutoff of one rule.  The path is grown on a bounded
+sample of labelled rows (``SAMPLE`` rows of the ``FIT`` tenths of doc_ids), so that each step
+rejects as many bad documents for each good one as can be.  All other labelled rows are the
+holdout.  In every stratum (the language) the steps are tested one after the other: step k is
+certified if an exact binomial test shows, on the good documents of the holdout, that all
+steps up to k together falsely reject at most ``ALPHA`` of them.  Testing stops at the first
+step that fails, so the steps share one error without a correction; strata share ``DELTA``
+(Bonferroni).  With confidence 1 - DELTA every stratum loses at most ``ALPHA`` of its good
+documents to its certified steps.
+
+A language whose holdout is too small for any certificate is pooled with the others of that
+kind; the bound then holds for the pool.  If the pool is too small as well, or a language has
+no labels, nothing is rejected there beyond the base rules.
 """
 
 from __future__ import annotations
@@ -16,14 +23,19 @@ from collections import Counter
 from collections.abc import Iterator
 from math import exp, lgamma, log, log1p
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.shared import stored
+from marginalia.llm.shared import stored, tidy
+from marginalia.llm.units import slices
 
 ALPHA = 0.01  # good documents that the rules of a stratum may reject
 DELTA = 0.05  # chance that any certificate is wrong
+FIT = 3  # tenths of doc_ids whose labels the path is grown on
+SAMPLE = 20_000  # of their rows, at most
+STEPS = 40  # of the path, at most
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOL = re.compile(r"[#*$%&|<>]")
 UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
@@ -62,11 +74,11 @@ def measures(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [measure(t) for t in batch.column(2).to_pylist()]
+            rows = [measure(t) for part in slices(batch.column(2)) for t in part]
             cols = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 8
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], [x.split()[0] for x in _MEASURES.split(", ")])
 
-    return docs.select("doc_id", "lang", "text").mapInArrow(run, _MEASURES)
+    return docs.select("doc_id", "lang", "text").mapInArrow(tidy(run), _MEASURES)
 
 
 def of_rule(rule: str) -> Column:
@@ -86,42 +98,88 @@ def certified(k: int, n: int, rate: float, error: float) -> bool:
     return n > 0 and k < n * rate and log_binomial_cdf(k, n, rate) <= log(error)
 
 
-def cutoffs(counts: DataFrame, labels: DataFrame) -> list[tuple[str | None, str, float]]:
-    """(stratum, rule, cutoff): the certified ones.  The driver gets strata x rules x grid counts."""
-    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    rows = counts.where(~F.col("base_failed")).join(good, "doc_id")
-    # the number of grid values below a measure says which cutoffs reject it
-    below = {r: sum(((of_rule(r) > g).cast("int") for g in GRID), F.lit(0)) for r in RULES}
-    each = rows.select("lang", F.explode(F.create_map(*[x for r, b in below.items() for x in (F.lit(r), b)])).alias("rule", "passed"))
-    table = each.groupBy("lang", "rule", "passed").count().collect()
-    totals, strata = Counter(), {r.lang for r in table}
-    rejected: Counter = Counter()
+def grow_path(good: np.ndarray, bad: np.ndarray) -> list[tuple[str, float]]:
+    """Steps (rule, cutoff): each adds most bad documents for each good one; the looser cutoff on a tie."""
+    names, path = list(RULES), []
+    left_good, left_bad = np.ones(len(good), bool), np.ones(len(bad), bool)
+    cutoff = {r: GRID[-1] + 1 for r in names}
+    while len(path) < STEPS:
+        best = (0.0, 0.0, "", 0)
+        for k, r in enumerate(names):
+            for g in reversed(GRID):
+                if g < cutoff[r]:
+                    more, lost = int((left_bad & (bad[:, k] > g)).sum()), int((left_good & (good[:, k] > g)).sum())
+                    if more and (more / (lost + 0.5), g) > best[:2]:
+                        best = (more / (lost + 0.5), g, r, k)
+        if not best[2]:
+            break
+        _, g, r, k = best
+        cutoff[r] = g
+        left_good &= good[:, k] <= g
+        left_bad &= bad[:, k] <= g
+        path.append((r, g))
+    return path
+
+
+def steps_certified(rejected: list[int], n: int, error: float) -> int:
+    """How many steps hold: ``rejected[k]`` of n good documents are rejected by the first k + 1 steps."""
+    return next((k for k, x in enumerate(rejected) if not certified(x, n, ALPHA, error)), len(rejected))
+
+
+def _rejected_at(path: list[tuple[str, float]]) -> Column:
+    """Number of the first step, from 1, that rejects a row; null if none does."""
+    return F.coalesce(*[F.when(of_rule(r) > g, k) for k, (r, g) in enumerate(path, 1)], F.lit(None).cast("int"))
+
+
+def cutoffs(counts: DataFrame, labels: DataFrame) -> tuple[list[tuple[str, float]], dict[str | None, int]]:
+    """The path and, for each language that has any, how many of its steps are certified.
+
+    The driver gets ``SAMPLE`` rows of measures, and one count for each language and step.
+    """
+    known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("quality"))
+    rows = counts.where(~F.col("base_failed")).join(known, "doc_id")
+    fit = F.crc32(F.col("doc_id").cast("string")) % 10 < FIT
+    sample = rows.where(fit).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select("quality", *(of_rule(r).alias(r) for r in RULES)).toArrow()
+    of = lambda y: np.stack([sample.column(r).to_numpy()[sample.column("quality").to_numpy() == y] for r in RULES], 1)
+    path = grow_path(of(1), of(0))
+    if not path:
+        return [], {}
+    table = rows.where(~fit & (F.col("quality") == 1)).groupBy("lang", _rejected_at(path).alias("step")).count().collect()
+    totals: Counter = Counter()
+    at: dict[str | None, list[int]] = {}
     for r in table:
-        totals[r.lang, r.rule] += r["count"]
-        for g in range(r.passed):
-            rejected[r.lang, r.rule, g] += r["count"]
-    error = DELTA / max(1, len(strata) * len(RULES) * len(GRID))
-    out = []
-    for lang in sorted(strata, key=str):
-        for rule in RULES:
-            ok = [g for g in range(len(GRID)) if certified(rejected[lang, rule, g], totals[lang, rule], ALPHA / len(RULES), error)]
-            if ok:
-                out.append((lang, rule, GRID[min(ok)]))
-    return out
+        totals[r.lang] += r["count"]
+        at.setdefault(r.lang, [0] * len(path))
+        if r.step is not None:
+            at[r.lang][r.step - 1] += r["count"]
+    # strata are formed from the numbers of labels alone, before anything is tested
+    enough = lambda n, strata: certified(0, n, ALPHA, DELTA / strata)
+    alone = [x for x in totals if enough(totals[x], len(totals))]
+    pool = [x for x in totals if x not in alone]
+    strata = [[x] for x in alone] + ([pool] if pool else [])
+    held: dict[str | None, int] = {}
+    for group in strata:
+        n = sum(totals[x] for x in group)
+        rejected = np.cumsum(np.sum([at[x] for x in group], 0)).tolist()
+        held |= dict.fromkeys(group, steps_certified(rejected, n, DELTA / len(strata)))
+    return path, held
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Counts, base_failed and kept of every document.
 
     Empty and null texts fail the base rules.  A null doc_id is judged like any other row
-    but never matches a label; repeated labels count once.
+    but never matches a label; of repeated labels the worse counts.  A null language is a
+    language of its own.  Rows that share a doc_id are judged each for itself; an empty
+    table gives an empty one, and without labels only the base rules reject.
     """
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     counts = stored(measures(docs).withColumn("base_failed", base))
-    found = cutoffs(counts, labels)
+    path, held = cutoffs(counts, labels)
     reject = F.lit(False)
-    for lang, rule, cutoff in found:  # as many as strata x rules
-        reject = reject | (F.col("lang").eqNullSafe(F.lit(lang)) & (of_rule(rule) > cutoff))
+    for lang, steps in held.items():  # languages with labels
+        if steps:
+            reject = reject | (F.col("lang").eqNullSafe(F.lit(lang)) & F.coalesce(_rejected_at(path[:steps]).isNotNull(), F.lit(False)))
     return counts.withColumn("kept", ~F.col("base_failed") & ~reject)
 
 
