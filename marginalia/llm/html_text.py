@@ -1,13 +1,15 @@
 """Operator 1: the main text of web pages, from flat blocks and a decision tree.
 
 A page is cut into flat text blocks at its block-level tags.  Each block has a few numbers:
-its words and link density, those of the blocks before and after it, whether it lies in
-page furniture (nav, footer, aside, form, ...), in an element whose class or id names such,
-or in an article.  A decision tree, grown on the small labelled table ``LABELLED`` by Gini
-impurity, keeps the blocks of the article.
-
-A null or empty page has no blocks and an empty text.  Unclosed and cut-off markup is read
-as far as it goes.  Only ``url`` and ``page_id`` are carried along.
+its words and link density, those of the blocks before and after it, whether it lies in page
+furniture (nav, footer, aside, form, ...), in an element whose class or id names such, under
+a heading or label that says so, or in an article, and how the words of its container compare
+with the page's richest one.  A decision tree, grown on a small labelled table (``labelled``)
+by Gini impurity, keeps the blocks of the article.
+
+A null or empty page has no blocks and an empty text; an empty table stays empty.  Unclosed
+and cut-off markup is read as far as it goes.  Rows are pages of their own, whether ids repeat
+or are null.  Only ``url`` and ``page_id`` are carried along.
 """
 
 from __future__ import annotations
@@ -21,50 +23,122 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from marginalia.llm.shared import tidy
+from marginalia.llm.units import slices
+
 # Element names of HTML.
 BLOCK_TAGS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html iframe legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 RAW_TAGS = frozenset("script style noscript template svg math iframe object canvas title textarea select head".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-FURNITURE = frozenset("nav footer aside form menu button dialog select".split())
+FURNITURE = frozenset("nav footer aside form menu button dialog select option".split())
 SPACING = frozenset("br td th img".split())
-HINT = re.compile(
-    r"(?i)(?:^|[\s_-])(?:ads?|adv|advert\w*|sponsor\w*|promo\w*|banner|sidebars?|side|widget|comments?|commentlist|respond|reply|replies|discussion|disqus"
-    r"|cookies?|consent|notice|alert|popup|modal|overlay|nav\w*|menu|breadcrumbs?|foot\w*|header|masthead|topbar|share|sharing|social|related|recommended|subscribe|newsletter|signup|login|search|pagination|pager|tags?|copyright|legal)(?:$|[\s_-]|\d)"
+CONTAINERS = frozenset("html body article main section div aside nav header footer form center".split())
+# Parts of class names and ids, and first words of labels, that name what is not the article.
+COMMENTS = frozenset("comment comments commentlist respond reply replies discussion disqus responses feedback".split())
+OTHERS = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner sidebar sidebars cookie cookies consent notice alert popup modal overlay nav navbar navigation menu breadcrumb"
+    " breadcrumbs footer share sharing social related recommended subscribe newsletter signup login pagination pager copyright legal disclaimer".split()
+)
+WEAK = frozenset("header masthead topbar foot tag tags search side widget top bottom toolbar".split())  # inside an article they say nothing
+LABEL = re.compile(
+    r"(?i)(?:\d+\s+)?(?:(?:reader |user )?comments?|responses?|replies|leave a (?:reply|comment)|kommentare?|commentaires?|comentarios?|related(?: \w+)?|you (?:may|might) also like|more from .*|read more|advertisement|sponsored(?: \w+)?|anzeige|werbung|publicité|publicidad"
+    r"|share this.*|subscribe.*|sign up.*|newsletter)\s*(?:\(\d+\))?\s*[:.…]?"
 )
+NOTICE = re.compile(r"(?i)(?:we|this (?:web)?site|our (?:web)?site) uses? cookies|(?:by continuing|you agree) .{0,60}(?:cookies|terms)|©|copyright \d|all rights reserved")
 _HIDDEN = re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden")
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _SPACE = re.compile(r"\s+")
+_PARTS = re.compile(r"[^a-z0-9]+")
 
 
 class Block:
-    __slots__ = ("text", "words", "linked", "furniture", "hinted", "article", "heading")
+    __slots__ = ("text", "words", "linked", "furniture", "hinted", "noted", "article", "heading", "container")
+
+    def __init__(self, text: str, linked: int, heading: bool, place: "_Place"):
+        self.text, self.words, self.linked, self.heading = text, len(text.split()), linked, heading
+        self.furniture, self.hinted, self.article, self.container = place.furniture, place.hinted > 0, place.article, place.container
+        self.noted = place.noted
+
+
+class _Place:
+    """An open element: what it and those around it say of its text."""
+
+    __slots__ = ("name", "furniture", "hinted", "article", "container", "noted")
+
+    def __init__(self, name: str, around: "_Place | None", attrs: dict[str, str], number: int):
+        self.name = name
+        self.article = (around is not None and around.article) or name in ("article", "main") or attrs.get("role") == "main" or attrs.get("itemprop") == "articleBody"
+        self.furniture = (around is not None and around.furniture) or name in FURNITURE or (name == "header" and not self.article)
+        own = hint(" ".join(attrs.get(k, "") for k in ("class", "id", "role")), around is not None and around.article)
+        if _HIDDEN.search(attrs.get("style", "")) or attrs.get("aria-hidden") == "true":
+            own = 2
+        if name in ("html", "body", "main", "article"):  # their classes speak of the page, unless they are a comment
+            own = own if own == 2 else 0
+            self.hinted = max(own, around.hinted if around is not None and around.hinted == 2 else 0)
+        else:
+            self.hinted = max(own, around.hinted if around is not None else 0)
+        own_container = name in CONTAINERS and (self.furniture or self.hinted or around is None or not around.article)
+        self.container = number if own_container or around is None else around.container  # an article is one container
+        self.noted = around is not None and around.noted
+
+
+def hint(named: str, inside: bool) -> int:
+    """What class, id and role name: 2 comments, 1 other things beside the article, 0 neither.  ``inside``: of an article."""
+    found = 0
+    for token in named.lower().split() if named else ():
+        parts = _PARTS.split(token)
+        if parts[0] in ("with", "has", "no", "show", "is"):
+            continue
+        for x in parts:
+            if x in COMMENTS:
+                return 2
+            if x in OTHERS or (x in WEAK and not inside):
+                found = 1
+    return found
+
 
-    def __init__(self, text: str, linked: int, furniture: bool, hinted: bool, article: bool, heading: bool):
-        self.text, self.words, self.linked = text, len(text.split()), linked
-        self.furniture, self.hinted, self.article, self.heading = furniture, hinted, article, heading
+def _raw_end(page: str, at: int, name: str) -> int:
+    """Where the content of a raw element that starts before ``at`` ends; a missing end tag ends script, style, textarea and title with the page."""
+    end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+    if end:
+        return end.end()
+    if name == "head":  # ends where the body starts
+        body = re.compile(r"<body", re.I).search(page, at)
+        return body.start() if body else len(page)
+    return len(page) if name in ("script", "style", "textarea", "title") else at
 
 
 def blocks(page: str | None) -> list[Block]:
     """Flat text blocks in page order, white space already made single."""
     page = page or ""
     out: list[Block] = []
-    open_tags: list[tuple[str, bool, bool, bool]] = []  # name, furniture, hinted, article
+    root = _Place("", None, {}, 0)
+    open_tags: list[_Place] = []
     parts: list[str] = []
-    linked, in_link, heading = 0, 0, False
+    linked, in_link, heading, number = 0, 0, False, 0
 
     def close_block() -> None:
         nonlocal linked
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                _, furniture, hinted, article = open_tags[-1] if open_tags else ("", False, False, False)
-                out.append(Block(text, linked, furniture, hinted, article, heading))
+                place = open_tags[-1] if open_tags else root
+                block = Block(text, linked, heading, place)
+                if block.words <= 8 and LABEL.fullmatch(text):
+                    block.noted = True
+                    for x in reversed(open_tags):  # it speaks for what follows in its container
+                        x.noted = True
+                        if x.name in CONTAINERS:
+                            break
+                elif NOTICE.match(text):
+                    block.noted = True
+                out.append(block)
         parts.clear()
         linked = 0
 
-    at, raw_until = 0, ""
+    at = 0
     while at < len(page):
         m = _TAG.search(page, at)
         stop = m.start() if m else len(page)
@@ -87,17 +161,15 @@ def blocks(page: str | None) -> list[Block]:
                 close_block()
                 heading = False
                 for k in range(len(open_tags) - 1, -1, -1):
-                    if open_tags[k][0] == name:
+                    if open_tags[k].name == name:
                         del open_tags[k:]
                         break
             continue
         if name in RAW_TAGS:
-            close_block() if name in BLOCK_TAGS else None
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            # without its end tag a head ends where the body starts
-            if end is None and name == "head":
-                end = re.compile(r"(?=<body)", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            if name in BLOCK_TAGS:
+                close_block()
+            if not m[4].endswith("/"):
+                at = _raw_end(page, at, name)
             continue
         if name in SPACING:
             parts.append(" ")
@@ -105,63 +177,77 @@ def blocks(page: str | None) -> list[Block]:
             in_link += 1
         if name in BLOCK_TAGS:
             close_block()
+            while open_tags and open_tags[-1].name == "option":  # holds no other element
+                open_tags.pop()
             in_link = 0 if name in FURNITURE else in_link
             heading = name in ("h1", "h2", "h3", "h4", "h5", "h6")
             if name in VOID_TAGS or m[4].endswith("/"):
                 continue
             if name in ("p", "li", "dt", "dd", "option", "tr", "td", "th"):  # these end their open like
                 for k in range(len(open_tags) - 1, -1, -1):
-                    if open_tags[k][0] == name:
+                    if open_tags[k].name == name:
                         del open_tags[k:]
                         break
-                    if open_tags[k][0] not in ("p", "b"):
+                    if open_tags[k].name not in ("p", "b"):
                         break
             attrs = {a.lower(): x or y or z for a, x, y, z in _ATTR.findall(m[4])} if m[4].strip() else {}
-            _, furniture, hinted, article = open_tags[-1] if open_tags else ("", False, False, False)
-            named = " ".join(attrs.get(k, "") for k in ("class", "id", "role"))
-            hinted = hinted or bool(named and HINT.search(named)) or bool(_HIDDEN.search(attrs.get("style", ""))) or attrs.get("aria-hidden") == "true"
-            furniture = furniture or name in FURNITURE or (name == "header" and not article)
-            article = article or name in ("article", "main") or attrs.get("role") == "main" or attrs.get("itemprop") == "articleBody"
-            open_tags.append((name, furniture, hinted, article))
+            number += 1
+            open_tags.append(_Place(name, open_tags[-1] if open_tags else root, attrs, number))
     close_block()
     return out
 
 
-FEATURES = ("words", "link density", "words before", "link density before", "words after", "link density after", "furniture", "hinted", "article", "heading", "page has article")
+FEATURES = ("words", "link density", "words before", "link density before", "words after", "link density after", "furniture", "hinted", "noted", "article", "heading", "page has article", "container")
 
 
 def features(found: list[Block]) -> np.ndarray:
-    """One row of ``FEATURES`` for each block."""
+    """One row of ``FEATURES`` for each block; container: its plain words over those of the page's richest container."""
+    if not found:
+        return np.zeros((0, len(FEATURES)))
     words = np.array([b.words for b in found], float)
     density = np.array([min(1.0, b.linked / max(1, b.words)) for b in found])
     shift = lambda v, k: np.concatenate([[0.0], v[:-1]]) if k > 0 else np.concatenate([v[1:], [0.0]])
-    flags = [np.array([getattr(b, n) for b in found], float) for n in ("furniture", "hinted", "article", "heading")]
-    cols = [words, density, shift(words, 1), shift(density, 1), shift(words, -1), shift(density, -1), *flags, np.full(len(found), float(any(b.article for b in found)))]
-    return np.stack(cols, 1) if found else np.zeros((0, len(FEATURES)))
+    flags = [np.array([getattr(b, n) for b in found], float) for n in ("furniture", "hinted", "noted", "article", "heading")]
+    plain = np.where(flags[0] + flags[1] + flags[2] > 0, 0.0, words * (1 - density))
+    place = np.unique([b.container for b in found], return_inverse=True)[1]
+    held = np.bincount(place, plain)
+    has_article = np.full(len(found), float(any(b.article and not b.hinted for b in found)))
+    return np.stack([words, density, shift(words, 1), shift(density, 1), shift(words, -1), shift(density, -1), *flags, has_article, held[place] / max(1.0, held.max())], 1)
 
 
 # The labelled table: small pages in which the blocks of the article end with a mark.
-_P = "A sentence of plain prose that goes on for a while, with a clause and another one. It is followed by a second. "
 _MARK = "✓"
-LABELLED = (
-    f"<body><nav><ul><li><a href=a>Home</a><li><a href=b>News</a></ul></nav><div class=ad>Buy this fine thing now.</div><article><h1>Some title{_MARK}</h1><p>{_P * 2}{_MARK}<p>Short.{_MARK}<p>{_P}{_MARK}</article><footer>&copy; site, all of it, words and words and words of it</footer>",
-    f"<body><header><a href=/>Site</a> A motto of the site</header><main><h1>Other title here{_MARK}</h1><p>{_P}{_MARK}</p><p>One.{_MARK}</p><div class='comments'><p>I like this a lot, thank you for it. {_P}</p><p>Me too</p></div></main><aside><p>{_P}</p></aside>",
-    f"<body><div id=sidebar><a href=x>Latest story of today</a><p>{_P}</p></div><div><h2>Plain heading{_MARK}</h2><p>{_P * 3}{_MARK}</p><p>{_P}{_MARK}</p><p>End.{_MARK}</p></div><div class='cookie notice'>We use cookies. {_P}</div><form>Your name <input> Send</form>",
-    f"<body><div>Home | About</div><div><a href=a>One</a> <a href=b>Two</a> <a href=c>Three</a></div><p>{_P * 2}{_MARK}</p><p>{_P}{_MARK}</p><p>Brief words.{_MARK}</p><p>{_P}{_MARK}</p><div><a href=a>Terms</a> <a href=b>Privacy</a></div>",
-    f"<body><div class='nav menu'><p>Go here</p></div><article><header><h1>Title in a header{_MARK}</h1></header><p>{_P}{_MARK}<ul><li>An item of a list{_MARK}<li>Another item{_MARK}</ul><p>{_P}{_MARK}<div class=advert>{_P}</div><p>A last word.{_MARK}<form>Subscribe to our letter</form></article><footer><p>{_P}</p></footer>",
-    f"<body><div class=banner>{_P * 2}</div><section><h1>Headline{_MARK}</h1><p>{_P * 2}{_MARK}</p><blockquote>{_P}{_MARK}</blockquote></section><section id=comments><h3>Comments</h3><p>{_P * 2}</p><p>No.</p></section><div class=footer>Address of the firm</div>",
-    f"<body><article><p>{_P}{_MARK}</p><p><a href=q>A linked sentence that stands alone in its block</a>{_MARK}</p><p>x{_MARK}</p></article><div>Text after the article, of some length, by the site. {_P}</div><div>Tail</div>",
-    f"<body><div>Text before the article that is rather short</div><article><h1>T{_MARK}</h1><h2>Subtitle{_MARK}</h2><p>{_P * 4}{_MARK}</p></article><aside>Related</aside><nav><p>{_P}</p></nav>",
-    f"<body><article><h1>Cut off{_MARK}</h1><p><b>{_P}{_MARK}<br><p>{_P}{_MARK}</p><p>Two words{_MARK}</p><p>{_P}{_MARK}",
-    f"<body><article><p>Alone{_MARK}</p></article>",
-    f"<body><article><h1>Only a title{_MARK}</h1></article><footer>Foot</footer>",
-    f"<body><div class=ad>{_P * 3}</div><article><p>First and last, not long{_MARK}</p><p>y{_MARK}</p><p>z{_MARK}</p><p>{_P * 6}{_MARK}</p></article>",
-    f"<body><nav><a href=a>A</a></nav><div class=ad>An advert that has a whole sentence in it.</div><article><h1>Third{_MARK}</h1><p>Short{_MARK}</p><p>also short{_MARK}</p><p>and this{_MARK}</p><p>a fourth{_MARK}",
-    f"<body><p>A page that is one paragraph. {_P}{_MARK}</p>",
-    f"<body><div>Site name</div><div>{_P}{_MARK}</div><div>{_P * 2}{_MARK}</div><div>Contact</div>",
-    f"<body><main><p>{_P}{_MARK}</p><ul><li><a href=x>A linked item in the text</a>{_MARK}</li><li>w{_MARK}</li></ul></main><div>Bottom line of the page</div><div><a href=u>Up</a></div>",
-    f"<body><div>Log in</div><article><p>{_P}{_MARK}</p></article><div>{_P}</div><div>Other text. {_P}</div>",
+_P = "A sentence of plain prose that goes on for a while, with a clause and another one. It is followed by a second. "
+_LINKS = "<a href=a>One of them</a> <a href=b>Another one</a> <a href=c>A third</a>"
+# what surrounds an article, or stands within one
+_BESIDE = (
+    "<nav><ul><li><a href=a>Home</a><li><a href=b>News</a></ul></nav>", "<div class=menu><p>Go here</p></div>", f"<div>{_LINKS}</div>", "<ul><li><a href=a>First story of the day</a></li><li><a href=b>Second story of the day</a></li></ul>",
+    f"<div class=ad>{_P}</div>", f"<div><p>Advertisement</p><p>{_P}</p></div>", f"<aside><p>{_P}</p></aside>", f"<div id=sidebar><p>{_P}</p><a href=x>Latest story</a></div>", "<form>Your name <input> <button>Send it</button></form>",
+    f"<footer><p>{_P}</p></footer>", f"<div class='cookie notice'>We use cookies. {_P}</div>", f"<div><p>We use cookies on these pages. {_P}</p></div>", f"<section id=comments><h3>Comments</h3><p>{_P}</p><p>No.</p></section>", f"<section><h3>2 comments</h3><p>{_P * 2}</p><p>Me too</p></section>",
+    "<p>&copy; the site, all of it</p>", "<div><a href=a>Terms</a> | <a href=b>Privacy</a></div>", "<select><option>a</option></select><button>Go</button>",
+)
+_BODY = (
+    f"<h1>Some title{_MARK}</h1><p>{_P * 2}{_MARK}<p>Short.{_MARK}<p>{_P}{_MARK}", f"<h2>Plain heading{_MARK}</h2><p>{_P * 3}{_MARK}</p><p>{_P}{_MARK}</p><p>End.{_MARK}</p>",
+    f"<p>{_P}{_MARK}</p><ul><li>An item of a list{_MARK}</li><li>Another item{_MARK}</li></ul><p>With <a href=q>a linked part</a> in it, and more of it. {_P}{_MARK}</p>", f"<h1>T{_MARK}</h1><p><b>{_P}{_MARK}<br><p>One.{_MARK}<p>{_P * 4}{_MARK}</p><blockquote>{_P}{_MARK}</blockquote>",
+    f"<p>{_P}{_MARK}</p><p><a href=q>A linked sentence that stands alone in its block</a>{_MARK}</p><p>x{_MARK}</p><p>{_P}{_MARK}</p>",
 )
+_FRAMES = (("<article>", "</article>"), ("<main>", "</main>"), ("<div>", "</div>"), ("<div class=content><div class=post>", "</div></div>"), ("<article class='post header-large tag-news'>", "</article>"), ("<section>", "</section>"))
+
+
+def labelled() -> list[str]:
+    """Every frame with every body, two things before, one within and two after it, which take turns."""
+    pages, k = [], 0
+    for low, high in _FRAMES:
+        for body in _BODY:
+            take = [_BESIDE[(k + j * 5) % len(_BESIDE)] for j in range(5)]
+            within = take[2] if "article" in low or "main" in low else ""
+            pages.append(f"<body>{take[0]}{take[1]}{low}{body}{within}{high}{take[3]}{take[4]}")
+            k += 1
+    for low, high in _FRAMES[:2]:  # short articles
+        pages += [f"<body>{low}<p>Alone{_MARK}</p>{high}", f"<body>{_BESIDE[0]}{low}<h1>Only a title{_MARK}</h1>{high}{_BESIDE[9]}", f"<body>{low}<p>y{_MARK}</p><p>z{_MARK}</p>{high}<div>Text after it, of some length. {_P}</div><div>Tail</div>"]
+        pages += [f"<body>{low}{x}<h1>Title{_MARK}</h1><p>{_P}{_MARK}</p>{high}" for x in _BESIDE]
+    pages += [f"<body><h1>Headline{_MARK}</h1><p>{_P}{_MARK}</p><p>Brief words.{_MARK}</p><p>{_P * 2}{_MARK}</p>{x}" for x in _BESIDE]
+    return pages
 
 
 class Tree:
@@ -202,10 +288,10 @@ class Tree:
         return out
 
 
-def train(pages: tuple[str, ...] = LABELLED) -> Tree:
+def train(pages: list[str] | None = None) -> Tree:
     """The tree grown on labelled pages."""
     xs, ys = [], []
-    for page in pages:
+    for page in pages or labelled():
         found = blocks(page)
         xs.append(features(found))
         ys.append(np.array([b.text.endswith(_MARK) for b in found], float))
@@ -229,7 +315,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(h) for h in batch.column(2).to_pylist()]
+            texts = [main_text(h) for part in slices(batch.column(2)) for h in part]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.select("page_id", "url", "html").mapInArrow(tidy(run), "page_id long, url string, text string, n_chars long")
