@@ -309,7 +309,7 @@ def encode_decode(docs: DataFrame, path: str, text_col: str = "text", ids_col: s
         enc = TextEncoder(path)  # for this task only: tasks take turns over all idle workers, which would each keep one
         for batch in batches:
             at = 0
-            for values, bounds in enc.encode_all(batch.column(place).to_pylist()):
+            for values, bounds in enc.encode_all(batch.column(place)):
                 part = batch.slice(at, len(bounds) - 1)
                 at += len(bounds) - 1
                 listed = values.tolist()

@@ -56,7 +56,7 @@ def count_by_section(docs: DataFrame, path: str) -> DataFrame:
         enc = library(path)
         for batch in batches:
             at = 0
-            for flat, bounds in enc.encode_all(batch.column(1).to_pylist()):
+            for flat, bounds in enc.encode_all(batch.column(1)):
                 some = batch.slice(at, len(bounds) - 1)
                 at += len(bounds) - 1
                 cols: list[list[np.ndarray]] = [[] for _ in range(6)]

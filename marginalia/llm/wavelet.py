@@ -187,7 +187,7 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int = 0, shard
 
         for batch in batches:
             names = iter(batch.column(0).to_pylist())
-            for ids, bounds in enc.encode_all(batch.column(1).to_pylist()):
+            for ids, bounds in enc.encode_all(batch.column(1)):
                 for (a, b), d in zip(pairwise(bounds.tolist()), names, strict=False):
                     n = b - a + 1
                     if held and held + n > BLOCK:

@@ -301,6 +301,36 @@ def test_quality(spark, rows):
     assert quality.certified(0, 5000, 0.01, 1e-4) and not quality.certified(0, 100, 0.01, 1e-4) and not quality.certified(60, 5000, 0.01, 1e-4)
 
 
+def test_quality_cutoffs_hold_their_bound(spark):
+    """Certified steps against bounds summed term by term; small languages are pooled, one without labels is left alone."""
+    r = random.Random(4)
+    docs, labels = [], []
+    for i in range(4000):
+        lang, bad = ("en" if i % 4 else ("de", "fr")[i // 4 % 2]), i % 5 == 0
+        w = [r.choice("ab cd ef gh ij kl mn op qr st".split()) + str(r.randrange(99)) for _ in range(60)]
+        if bad or i % 333 == 1:
+            w = [x + "###" if r.random() < (0.5 if i % 3 else 0.05) else x for x in w]
+        docs.append((i, " ".join(w), lang))
+        labels.append((i, int(not bad), 0))
+    docs += [(5000, docs[0][1], "it"), (5001, docs[0][1], None), (5002, docs[2][1], "en")]
+    table_ = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    found = quality.judge(table_, spark.createDataFrame(labels + labels[:9], "doc_id long, quality int, toxic int")).collect()
+    kept, failed = {x.doc_id: x.kept for x in found}, {x.doc_id for x in found if x.base_failed}
+    path, held = quality.cutoffs(quality.measures(table_).withColumn("base_failed", quality.F.lit(False)), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert set(held) == {"en", "de", "fr"} and held["en"] > 0 and held["de"] == held["fr"] and path[0][0] == "symbols"
+    hold = [i for i, y, _ in labels if y and zlib.crc32(str(i).encode()) % 10 >= quality.FIT and i not in failed]
+    for group in (["en"], ["de", "fr"]):
+        good = [i for i in hold if docs[i][2] in group]
+        lost = sum(not kept[i] for i in good)
+        bound = sum(math.comb(len(good), k) * quality.ALPHA**k * (1 - quality.ALPHA) ** (len(good) - k) for k in range(lost + 1))
+        assert (bound <= quality.DELTA / 2) == (held[group[0]] > 0) or lost == 0
+        if held[group[0]]:
+            assert bound <= quality.DELTA / 2
+    rejected = [i for i, y, _ in labels if not y and docs[i][2] == "en" and not kept[i]]
+    assert len(rejected) > 300 and kept[5000] and kept[5001] and kept[5002]
+    assert quality.steps_certified([0, 1, 900, 0], 1000, 0.025) == 2 and quality.steps_certified([0], 100, 0.025) == 0
+
+
 def test_html(spark):
     page = "<html><head><title>no</title><script>var t='</p>';</script></head><body><nav><ul><li><a href=x>Menu</a></ul></nav><div class=ad>Buy now.</div><article><h1>A &amp; B</h1><p><b>One\n two<br>three<p>Four.</p><div class=comments><p>Nice text, thank you for it.</p></div></article><footer>&copy; me</footer>"
     rows = [(1, "u", page), (2, "u", None), (3, "u", ""), (4, "u", page[:200])]
@@ -308,6 +338,40 @@ def test_html(spark):
     assert got[1] == ("A & B\nOne two three\nFour.", 25) and got[2] == ("", 0) == got[3]
 
 
+PROSE = "Plain words of an article stand here, one after the other, until there are enough of them to be read."
+SIDE = "Other words that do not belong to it stand here, as many of them as in any other place of the page."
+LAYOUTS = {
+    "furniture within": f"<article><nav><a href=a>Prev page</a> <a href=b>Next page</a></nav><h1>Head</h1><p>{PROSE}</p><aside>{SIDE}</aside><form>Your mail <button>Send it</button></form><p>Bye.</p><footer>Posted by x in y</footer></article>",
+    "telling names of the article": f"<article class='post header-large tag-news'><h1>Head</h1><p>{PROSE}</p><p>Bye.</p></article><div class=tags><a href=t>t</a></div>",
+    "telling names of the body": f"<body class='with-sidebar cookie-accepted'><div id=nav-main><a href=a>Home</a></div><main><h1>Head</h1><p>{PROSE}</p><p>Bye.</p></main><div id=sidebar><p>{SIDE}</p></div>",
+    "no article": f"<body><ul><li><a href=a>A story of today</a><li><a href=b>A story of yesterday</a></ul><h1>Head</h1><p>{PROSE}</p><p>Bye.</p><section class=comments><p>{SIDE}</p></section>",
+    "advert and replies without names": f"<article><h1>Head</h1><p>{PROSE}</p><div><p>Advertisement</p><p>{SIDE}</p></div><p>Bye.</p><section><h3>3 comments</h3><p>{SIDE}</p><p>Nice</p></section></article>",
+    "raw elements": f"<body><svg width=3 /><math/><article><h1>Head</h1><select><option>a<p>{PROSE}</p><object><p>Bye.</p><script>if (a < b) '</p>'</script></article>",
+    "notice": f"<body><div><p>We use cookies. {SIDE}</p></div><article><h1>Head</h1><p>{PROSE}</p><p>Bye.</p></article><p>&copy; 2020 the site</p>",
+}
+
+
+def test_html_layouts(spark):
+    """Layouts that are not in the labelled table, with the exact text; a repeated, an empty and a very long page; clashing columns."""
+    long_page = f"<article>{f'<p>{PROSE}</p>' * 5000}</article>"
+    rows = [*((k, "u", page, "x") for k, page in enumerate(LAYOUTS.values())), (90, "u", long_page, "x"), (0, "u", LAYOUTS["furniture within"], "x"), (None, None, None, None)]
+    got = [(r.page_id, r.url, r.text, r.n_chars) for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()]
+    want = f"Head\n{PROSE}\nBye."
+    assert [g[2] for g in got[: len(LAYOUTS)]] == [want] * len(LAYOUTS), [k for k, g in zip(LAYOUTS, got, strict=False) if g[2] != want]
+    assert got[-3][2] == "\n".join([PROSE] * 5000) and got[-2] == (0, "u", want, len(want)) and got[-1] == (None, None, "", 0)
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_html_tree_uses_the_features_of_the_method():
+    used, stack = set(), [html_text.default_tree()]
+    while stack:
+        t = stack.pop()
+        if t.split:
+            used.add(html_text.FEATURES[t.split[0]])
+            stack += t.split[2:]
+    assert {"words", "link density", "furniture"} <= used
+
+
 def test_empty_tables(spark):
     none = table(spark, [])
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
