@@ -19,7 +19,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, learned on the labelled among them, does not reject."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = docs.withColumn("_score", toxicity.score_column(docs["text"], model))
+    scored = toxicity.with_scores(docs.select(*COLUMNS), model, "_score")
     return scored.where("_score < 0.5").select(*COLUMNS)
 
 
@@ -37,7 +37,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     rows = keyed.select("doc_id", "_key").join(found.select(F.col("doc_id").alias("_key"), "component_id").distinct(), "_key")
     first = rows.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("first"))
     others = rows.join(first, "component_id").where(F.col("_key") != F.col("first._key")).select("_key")
-    return keyed.join(others, "_key", "left_anti").select(*COLUMNS)
+    left = keyed.join(others.distinct(), "_key", "left_anti")
+    # rows equal in doc_id and text are copies too: one of them stays
+    repeated = rows.groupBy("_key").count().where("count > 1").select("_key")
+    one = left.join(repeated, "_key", "left_semi").groupBy("_key").agg(*(F.min(c).alias(c) for c in COLUMNS))
+    return left.join(repeated, "_key", "left_anti").select(*COLUMNS).unionByName(one.select(*COLUMNS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
