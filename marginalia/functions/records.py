@@ -1,16 +1,19 @@
 """Scalars for media ranges, provider streams, addresses, highlights and test embeddings.
 
-All are column expressions inside the JVM; null inputs give null (``public_url``: false).
+All are column expressions; null inputs give null (``public_url``: false).
 """
 
 from __future__ import annotations
 
+import ipaddress
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from marginalia.config import TRANSITIONS
 from marginalia.functions.text import trimmed
-from marginalia.operators.vectors import normalized
 
 DIM = 384  # fixed value: length of an embedding
 WORD = 0xFFFFFFFF
@@ -49,14 +52,41 @@ def stream_delta(line: Column, dialect: Column) -> Column:
     )
 
 
+# Networks of this machine or its neighbours.
+_INNER = [*map(ipaddress.ip_network, "0.0.0.0/8 10.0.0.0/8 127.0.0.0/8 169.254.0.0/16 172.16.0.0/12 192.168.0.0/16 ::/128 ::1/128 fc00::/7 fe80::/10".split())]
+
+
+def _inner_v6(host: str) -> bool:
+    """Whether an IPv6 address is an inner one or has an inner IPv4 address in it; what is no address counts as one."""
+    try:
+        ip = ipaddress.IPv6Address(host)
+    except ValueError:
+        return True
+    embedded = int(ip) >> 32 in (0, 0xFFFF) and int(ip) & 0xFFFFFFFF != 0 and int(ip) != 1
+    x = ipaddress.IPv4Address(int(ip) & 0xFFFFFFFF) if embedded else ip
+    return any(x in n for n in _INNER if n.version == x.version)
+
+
 def public_url(url: Column) -> Column:
-    """Whether an address is http(s) and its host no local name and no private IPv4 number; bracketed IPv6 hosts are refused."""
-    host = F.lower(F.regexp_extract(url, r"^[hH][tT]{2}[pP][sS]?://(?:[^/?#@]*@)?([^/?#:\[\]]+)(?::\d+)?(?:[/?#]|$)", 1))
+    """Whether an address is http(s) and its host no local name and no inner number.
+
+    Hosts of digits, dots and hexadecimal numbers other than a plain IPv4 address are refused:
+    a browser reads them as IPv4 addresses.  Bracketed hosts must be public IPv6 addresses.
+    """
+    host = F.lower(F.regexp_extract(url, r"^[hH][tT]{2}[pP][sS]?://(?:[^/?#@]*@)?([^/?#:\[\]\s]+|\[[^\]]*\])(?::\d{0,5})?(?:[/?#]|$)", 1))
+    host = F.regexp_replace(host, r"\.$", "")
     quad = F.transform(F.split(host, r"\."), lambda x: x.try_cast("int"))
     a, b = quad[0], F.try_element_at(quad, F.lit(2))
     inside = a.isin(0, 10, 127) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168))
-    numeric = host.rlike(r"^\d+(\.\d+){3}$")
-    return F.coalesce((host != "") & (host != "localhost") & ~host.endswith(".localhost") & ~(numeric & inside), F.lit(False))
+    plain = host.rlike(r"^(?:(?:0|[1-9]\d{0,2})\.){3}(?:0|[1-9]\d{0,2})$") & F.forall(quad, lambda x: x <= 255)
+    number_like = host.rlike(r"(?:^|\.)(?:0x[0-9a-f]*|\d+)$")  # the last part decides
+
+    @F.arrow_udf("boolean")
+    def outer_v6(hosts: pa.Array) -> pa.Array:
+        return pa.array([h is not None and h.startswith("[") and not _inner_v6(h[1:-1]) for h in hosts.to_pylist()], pa.bool_())
+
+    named = (host != "") & (host != "localhost") & ~host.endswith(".localhost")
+    return F.coalesce(F.when(host.startswith("["), outer_v6(host)).otherwise(named & F.when(number_like, plain & ~inside).otherwise(True)), F.lit(False))
 
 
 def transition_ok(before: Column, after: Column) -> Column:
@@ -82,19 +112,26 @@ def segments(size: Column, start: Column, end: Column, breaks: Column) -> Column
     return F.filter(F.transform(at, segment), lambda x: x["e"].isNotNull())
 
 
-def hash_embedding(text: Column) -> Column:
+def hash_embedding(text: Column, dim: int = DIM) -> Column:
     """Unit vector drawn from a hash (FNV-1a over UTF-16 units, then xorshift): a stand-in embedder for tests."""
-    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("(.{4})"), F.lit(1))
-    word = F.lit(WORD).cast("long")
-    seed = F.aggregate(units, F.lit(2166136261).cast("long"), lambda h, u: (h.bitwiseXOR(F.conv(u, 16, 10).cast("long")) * 16777619).bitwiseAND(word))
-
-    def draw(state: Column, _: Column) -> Column:
-        h = state["h"]
-        h = h.bitwiseXOR(F.shiftleft(h, 13).bitwiseAND(word))
-        h = h.bitwiseXOR(F.shiftright(h, 17))
-        h = h.bitwiseXOR(F.shiftleft(h, 5).bitwiseAND(word))
-        return F.struct(h.alias("h"), F.concat(state["out"], F.array(h)).alias("out"))
-
-    start = F.struct(seed.alias("h"), F.expr("cast(array() as array<bigint>)").alias("out"))
-    drawn = F.aggregate(F.sequence(F.lit(1), F.lit(DIM)), start, draw, lambda s: s["out"])
-    return F.when(text.isNotNull(), normalized(F.transform(drawn, lambda h: h / float(WORD) * 2 - 1)))
+
+    @F.arrow_udf("array<double>")
+    def embed(texts: pa.Array) -> pa.Array:
+        h = np.full(len(texts), 2166136261, np.uint32)
+        units = [np.frombuffer((t or "").encode("utf-16-le"), "<u2") for t in texts.to_pylist()]
+        size = np.array(list(map(len, units)))
+        for k in range(int(size.max(initial=0))):  # all texts advance together
+            rows = np.flatnonzero(size > k)
+            h[rows] = (h[rows] ^ np.array([units[r][k] for r in rows.tolist()], np.uint32)) * np.uint32(16777619)
+        drawn = np.zeros((len(h), dim))
+        for k in range(dim):
+            h ^= h << np.uint32(13)
+            h ^= h >> np.uint32(17)
+            h ^= h << np.uint32(5)
+            drawn[:, k] = h / WORD * 2 - 1
+        norm = np.sqrt((drawn * drawn).sum(1, keepdims=True))
+        drawn = np.divide(drawn, norm, out=drawn, where=norm > 0)
+        offsets = pa.array(np.arange(len(h) + 1) * dim, pa.int32())
+        return pa.ListArray.from_arrays(offsets, pa.array(drawn.ravel()), mask=texts.is_null())
+
+    return embed(text)

@@ -2,47 +2,77 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from marginalia.config import CHUNK_OVERLAP, CHUNK_SIZE
+from marginalia.config import CHUNK_OVERLAP, CHUNK_SIZE, PAGE_SEP
 
 # Places to cut at, best first.
 BREAKS = ("\n\n", "\n", ". ", "! ", "? ", " ")
 
 
-def ranges(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
-    """array<struct<s,e>> of one page: a fold, as each range starts where the last one ended less the overlap."""
-    half = size // 2
-    n = F.length(text)
+def ranges(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> list[tuple[int, int]]:
+    """Start and end of each chunk of one page; an end is behind the last best break of its second half."""
+    out, pos, n = [], 0, len(text)
+    while pos < n:
+        end = min(pos + size, n)
+        if end < n:
+            for sep in BREAKS:
+                at = text.rfind(sep, pos + size // 2, end)
+                if at >= 0:
+                    end = at + len(sep)
+                    break
+        out.append((pos, end))
+        if end == n:
+            break
+        pos = max(end - overlap, pos + 1)
+    return out
+
+
+def chunk_pages(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
+    """One row for each chunk of each (doc_id, pages array<struct<page,text>>).
 
-    def end(pos: Column) -> Column:
-        back = F.reverse(F.substring(text, pos + half + 1, F.lit(size - half)))
-        cut = pos + size
-        for sep in reversed(BREAKS):
-            at = F.instr(back, sep[::-1])
-            cut = F.when(at > 0, pos + size + 1 - at).otherwise(cut)
-        return F.when(pos + size >= n, n).otherwise(cut)
+    Chunks never cross pages; ordinals and offsets run over all pages, which lie a separator
+    apart.  Null and empty pages have no chunks.  No shuffle; each text is read once.
+    """
+    names = ["chunk_id", "doc_id", "ordinal", "page", "char_start", "char_end", "text"]
 
-    def step(state: Column, _: Column) -> Column:
-        e = end(state["pos"])
-        more = F.struct(F.greatest(e - overlap, state["pos"] + 1).alias("pos"), (e >= n).alias("done"), F.concat(state["out"], F.array(F.struct(state["pos"].alias("s"), e.alias("e")))).alias("out"))
-        return F.when(state["done"], state).otherwise(more)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                ids = batch.column(0).slice(at, 200)
+                cols: list[list] = [[] for _ in range(6)]
+                for row, pages in enumerate(batch.column(1).slice(at, 200).to_pylist()):
+                    base = ordinal = 0
+                    for p in pages or ():
+                        text = (p and p["text"]) or ""
+                        for s, e in ranges(text, size, overlap):
+                            for c, v in zip(cols, (row, ordinal, p["page"], base + s, base + e, text[s:e]), strict=True):
+                                c.append(v)
+                            ordinal += 1
+                        base += len(text) + len(PAGE_SEP)
+                doc_ids = ids.take(pa.array(cols[0], pa.int64()))
+                chunk_ids = [None if d is None else f"{d}-{k}" for d, k in zip(doc_ids.to_pylist(), cols[1], strict=True)]
+                ints = [pa.array(c, pa.int32()) for c in cols[1:5]]
+                yield pa.RecordBatch.from_arrays([pa.array(chunk_ids, pa.string()), doc_ids, *ints, pa.array(cols[5], pa.string())], names)
 
-    start = F.struct(F.lit(0).alias("pos"), (n == 0).alias("done"), F.expr("cast(array() as array<struct<s:int,e:int>>)").alias("out"))
-    advance = max(1, half + 1 - overlap)
-    steps = F.sequence(F.lit(1), F.ceil(n / advance).cast("int") + 1)
-    return F.when(n.isNotNull(), F.aggregate(steps, start, step, lambda s: s["out"]))
+    kinds = [StringType(), docs.schema["doc_id"].dataType, *[IntegerType()] * 4, StringType()]
+    return docs.select("doc_id", "pages").mapInArrow(run, StructType([StructField(n, k) for n, k in zip(names, kinds, strict=True)]))
 
 
 def chunk(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    """One row for each chunk of each (doc_id, text); null and empty texts have none.  No shuffle."""
-    cut = docs.select("doc_id", "text", F.posexplode(ranges(F.col("text"), size, overlap)).alias("ordinal", "r"))
-    return cut.select(
-        F.concat_ws("-", "doc_id", "ordinal").alias("chunk_id"), "doc_id", "ordinal",
-        F.col("r.s").alias("char_start"), F.col("r.e").alias("char_end"),
-        F.substring("text", F.col("r.s") + 1, F.col("r.e") - F.col("r.s")).alias("text"),
-    )
+    """Chunks of each (doc_id, text) as one page without a number."""
+    page = F.struct(F.lit(None).cast("int").alias("page"), F.col("text"))
+    return chunk_pages(docs.select("doc_id", F.array(page).alias("pages")), size, overlap).drop("page")
+
+
+def joined_pages(pages: Column) -> Column:
+    """Text of array<string>: pages a separator apart."""
+    return F.array_join(pages, PAGE_SEP)
 
 
 def rebuilt(pieces: Column) -> Column:

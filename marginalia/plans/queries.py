@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.config import BRANCH_TOP_K, CONTEXT_BUDGET, DEFAULT_TITLE, MAX_DISTANCE, NOT_FOUND, SEARCH_TOP_K, STUDIO_BUDGET
+from marginalia.functions import answers as A
+from marginalia.functions import checks as K
 from marginalia.functions import text as T
 from marginalia.operators import chunking, keyword, packing, vectors
 from marginalia.plans import chunk_sql as S
@@ -185,8 +187,9 @@ def l2_normalize(spark, d):
 def rrf(spark, d):
     e = _t(spark, d, "embeddings")
     asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("label").alias("l"))
-    same = e.join(F.broadcast(asked), F.col("label") == F.col("l")).select("qid", F.col("vec_id").alias("id"))  # a stated query set
-    other = same.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("id")) - 1).where("rank < 10")
+    least = F.slice(F.array_sort(F.collect_list("vec_id")), 1, 10)  # the same for all queries of a label
+    first = e.groupBy("label", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("part")).agg(least.alias("ids")).groupBy("label").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, 10).alias("ids"))
+    other = asked.join(first, F.col("l") == F.col("label")).select("qid", F.posexplode("ids").alias("rank", "id"))
     return vectors.rrf([_near(spark, d), other])
 
 
@@ -210,13 +213,28 @@ def context_pack(spark, d):
     return packed.select("doc_id", F.col("p.n").alias("n"), F.col("p.used").alias("used"), F.array_join("p.ids", ",").alias("ids"), (F.col("p.n") < F.col("total")).alias("truncated"))
 
 
+def _within_reach(chunks):
+    """Chunks of a notebook that the budget may still reach, with the number of all.
+
+    A later chunk is taken only if what is used and itself stay within the budget.  Used is at
+    least what all firsts take, so with little or nothing left only short chunks can follow.
+    """
+    least = F.length("text") + 2  # a block is longer than its text
+    firsts = chunks.groupBy("notebook_id").agg(F.sum(F.when(F.col("ordinal") == 0, least)).alias("used"), F.count("*").alias("total"))
+    return chunks.join(firsts, "notebook_id").where((F.col("ordinal") == 0) | (F.col("used") + least <= STUDIO_BUDGET))
+
+
 @query()
 def balanced_pack(spark, d):
-    """For each notebook its sources' chunks in rounds: chunks beyond the budget's reach can never be taken and are left out early."""
-    owner = _t(spark, d, "documents").select("doc_id", F.concat_ws("/", "source", F.expr("doc_id div 200")).alias("notebook_id"))
-    chunks = _chunks(spark, d).join(owner, "doc_id")
+    """For each notebook its sources' chunks in rounds; the first of every source is taken in any case.
+
+    Only chunks that can be taken are gathered: the firsts, and those that fit into what the
+    firsts leave of the budget.
+    """
+    owner = _t(spark, d, "documents").select("doc_id", F.col("source").alias("notebook_id"))
+    chunks = _within_reach(_chunks(spark, d).join(owner, "doc_id"))
     c = F.struct("ordinal", "doc_id", F.struct((F.col("ordinal") == 0).alias("force"), F.col("chunk_id").alias("id"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("title"), F.lit(None).cast("int").alias("page"), "text").alias("c"))
-    lists = chunks.groupBy("notebook_id").agg(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["c"]).alias("c"), F.count("*").alias("total"))
+    lists = chunks.groupBy("notebook_id").agg(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["c"]).alias("c"), F.first("total").alias("total"))
     packed = lists.select("notebook_id", "total", packing.packed(F.col("c"), STUDIO_BUDGET).alias("p"))
     return packed.select("notebook_id", F.col("p.n").alias("n"), F.col("p.used").alias("used"), F.array_join("p.ids", ",").alias("ids"), (F.col("p.n") < F.col("total")).alias("truncated"))
 
@@ -234,8 +252,8 @@ def validate_citations(spark, d):
 
 @query(f"SELECT conv_id, turn, CASE WHEN trim(text) = '' OR regexp_matches(text, '(?i)không tìm thấy') THEN 'not-found' WHEN role = 'user' THEN 'open' ELSE 'grounded' END AS decision, CASE WHEN trim(text) = '' THEN '{NOT_FOUND}' ELSE text END AS answer FROM conversations")
 def answer_decision(spark, d):
-    missing = (F.trim("text") == "") | F.col("text").rlike("(?i)không tìm thấy")
-    return _t(spark, d, "conversations").select("conv_id", "turn", F.when(missing, "not-found").when(F.col("role") == "user", "open").otherwise("grounded").alias("decision"), F.when(F.trim("text") == "", NOT_FOUND).otherwise(F.col("text")).alias("answer"))
+    missing = A.is_not_found(F.col("text"))
+    return _t(spark, d, "conversations").select("conv_id", "turn", F.when(missing, "not-found").when(F.col("role") == "user", "open").otherwise("grounded").alias("decision"), F.when(T.trimmed(F.col("text")) == "", NOT_FOUND).otherwise(F.col("text")).alias("answer"))
 
 
 # --- intervals ------------------------------------------------------------
@@ -315,13 +333,9 @@ def question_valid(spark, d):
     return _t(spark, d, "conversations").select("conv_id", "turn", F.when(n == 0, "empty").when(n > 2000, "long").otherwise("ok").alias("verdict"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_totalprice <= 0 THEN '0 B' ELSE CASE WHEN i = 0 OR v >= 100 THEN round(v)::BIGINT::VARCHAR ELSE regexp_replace(printf('%.1f', round(v, 1)), '\\.0$', '') END || ' ' || ['B', 'KB', 'MB', 'GB', 'TB'][i + 1] END AS size FROM (SELECT o_orderkey, o_totalprice, i, o_totalprice / pow(1024, i) AS v FROM (SELECT o_orderkey, o_totalprice, least(4, floor(ln(greatest(o_totalprice, 1)) / ln(1024)))::INT AS i FROM orders))")
+@query("SELECT o_orderkey, CASE WHEN o_totalprice <= 0 THEN '0 B' ELSE CASE WHEN i = 0 OR v >= 100 THEN round(v)::BIGINT::VARCHAR ELSE regexp_replace(printf('%.1f', round(v, 1)), '\\.0$', '') END || ' ' || ['B', 'KB', 'MB', 'GB', 'TB', 'PB'][i + 1] END AS size FROM (SELECT o_orderkey, o_totalprice, i, o_totalprice / pow(1024, i) AS v FROM (SELECT o_orderkey, o_totalprice, least(5, floor(ln(greatest(o_totalprice, 1)) / ln(1024)))::INT AS i FROM orders))")
 def format_bytes(spark, d):
-    o = _t(spark, d, "orders").withColumn("i", F.least(F.lit(4), F.floor(F.log(F.greatest("o_totalprice", F.lit(1.0))) / F.log(F.lit(1024.0)))).cast("int"))
-    v = F.col("o_totalprice") / F.pow(F.lit(1024.0), "i")
-    number = F.when((F.col("i") == 0) | (v >= 100), F.round(v).cast("long").cast("string")).otherwise(F.regexp_replace(F.format_string("%.1f", F.round(v, 1)), r"\.0$", ""))
-    unit = F.element_at(F.array(*(F.lit(u) for u in ("B", "KB", "MB", "GB", "TB"))), F.col("i") + 1)
-    return o.select("o_orderkey", F.when(F.col("o_totalprice") <= 0, "0 B").otherwise(F.concat(number, F.lit(" "), unit)).alias("size"))
+    return _t(spark, d, "orders").select("o_orderkey", K.bytes_label(F.col("o_totalprice")).alias("size"))
 
 
 _DIFF = "(1704067200000 + 2592000000 - epoch_ms(ts))"
@@ -330,17 +344,13 @@ _DIFF = "(1704067200000 + 2592000000 - epoch_ms(ts))"
 @query(f"SELECT event_id, CASE WHEN x < 60000 THEN 'vừa xong' WHEN x < 3600000 THEN (x // 60000)::VARCHAR || ' phút trước' WHEN x < 86400000 THEN (x // 3600000)::VARCHAR || ' giờ trước' WHEN x < 172800000 THEN 'hôm qua' WHEN x < 604800000 THEN (x // 86400000)::VARCHAR || ' ngày trước' WHEN x < 1209600000 THEN 'tuần trước' ELSE strftime(ts, '%d/%m/%Y') END AS label FROM (SELECT event_id, ts, {_DIFF} AS x FROM events)")
 def relative_time(spark, d):
     x = F.lit(1704067200000 + 2592000000) - F.unix_millis(F.col("ts").cast("timestamp"))
-    part = lambda ms, word: F.concat(F.floor(x / ms).cast("string"), F.lit(word))
-    label = F.when(x < 60_000, "vừa xong").when(x < 3_600_000, part(60_000, " phút trước")).when(x < 86_400_000, part(3_600_000, " giờ trước")).when(x < 172_800_000, "hôm qua")
-    label = label.when(x < 604_800_000, part(86_400_000, " ngày trước")).when(x < 1_209_600_000, "tuần trước").otherwise(F.date_format("ts", "dd/MM/yyyy"))
-    return _t(spark, d, "events").select("event_id", label.alias("label"))
+    return _t(spark, d, "events").select("event_id", K.relative_time(x, F.col("ts")).alias("label"))
 
 
 @query("SELECT status, count(*) AS n FROM (SELECT CASE WHEN s IN (401, 403) THEN 'auth' WHEN s = 429 THEN 'rate-limit' WHEN s >= 500 THEN 'server' ELSE 'unknown' END AS status FROM (SELECT 400 + event_id % 150 AS s FROM events)) GROUP BY status")
 def error_class(spark, d):
     s = F.lit(400) + F.col("event_id") % 150
-    kind = F.when(s.isin(401, 403), "auth").when(s == 429, "rate-limit").when(s >= 500, "server").otherwise("unknown")
-    return _t(spark, d, "events").groupBy(kind.alias("status")).agg(F.count("*").alias("n"))
+    return _t(spark, d, "events").groupBy(K.error_class(s, F.lit(False)).alias("status")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT user_id, max_by(event_type, event_id) AS state, max(event_id) AS last_event FROM events GROUP BY user_id")

@@ -5,8 +5,8 @@ import os
 import duckdb
 import pytest
 
+from marginalia.plans import answer_queries, catalogue_queries, check_queries, records  # noqa: F401  (each registers its queries)
 from marginalia.plans import queries as q
-from marginalia.plans import records  # noqa: F401  (registers its queries)
 
 SF = "/root/testdata/sf0.001"
 
