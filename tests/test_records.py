@@ -13,7 +13,7 @@ def one(spark, column, **values):
     return spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} string" for k in values)).select(column.alias("x")).first().x
 
 
-@pytest.mark.parametrize(("header", "want"), [("bytes=0-99", (0, 99)), ("bytes=10-", (10, 999)), ("bytes=-100", (900, 999)), ("bytes=-5000", (0, 999)), ("bytes=5-99999", (5, 999)), ("bytes=-", None), ("bytes=9-2", None), ("bytes=1000-", None), ("junk", None), (None, None)])
+@pytest.mark.parametrize(("header", "want"), [("bytes=7-21", (7, 21)), ("bytes=998-", (998, 999)), ("bytes=-3", (997, 999)), ("bytes=-1001", (0, 999)), ("bytes=400-2000", (400, 999)), ("bytes=-", None), ("bytes=8-7", None), ("bytes=1000-1001", None), ("lines=1-2", None), (None, None)])
 def test_byte_range(spark, header, want):
     got = one(spark, R.byte_range(F.col("h"), F.lit(1000)), h=header)
     assert (got and tuple(got)) == want
@@ -29,7 +29,14 @@ def test_stream_delta(spark, dialect, line, want):
     assert one(spark, R.stream_delta(F.col("l"), F.col("d")), l=line, d=dialect) == want
 
 
-@pytest.mark.parametrize(("url", "want"), [("https://example.org/a", True), ("http://8.8.8.8", True), ("http://172.32.0.1/", True), ("http://172.16.0.1/", False), ("http://10.1.2.3:80/", False), ("http://localhost:1", False), ("ftp://example.org", False), ("http://[::1]/", False), ("http://u@127.0.0.1/", False), ("", False), (None, False)])
+PUBLIC = ("https://some.host.net/x?y#z", "http://93.184.215.14", "HTTP://name", "http://172.15.9.9/", "http://172.33.0.0", "http://192.169.1.1:81", "http://[2a00:1450::8a]/", "http://[::ffff:93.184.215.14]/", "http://u:p@host.net:8080/", "http://0x.host.net/")
+INNER = (
+    "http://2130706433/", "http://127.1/", "http://0x7f.1/", "http://0177.0.0.1/", "http://localhost./", "http://a.localhost", "http://172.20.1.1", "http://192.168.0.9", "http://169.254.7.7", "http://0.0.0.0", "http://300.1.1.1/", "http://10.0.0.5:99/q",
+    "http://[::]/", "http://[::1]:80/", "http://[fd12::1]/", "http://[fe80::5]/", "http://[::ffff:10.0.0.1]/", "http://[::127.0.0.1]/", "http://[zz]/", "file:///etc/x", "mailto:a@b", "http:///x", "", None,
+)
+
+
+@pytest.mark.parametrize(("url", "want"), [*((u, True) for u in PUBLIC), *((u, False) for u in INNER)])
 def test_public_url(spark, url, want):
     assert one(spark, R.public_url(F.col("u")), u=url) is want
 
@@ -66,6 +73,9 @@ def test_retrieve_puts_units_without_vector_last(spark):
     q = spark.createDataFrame([(1, [1.0, 0.1])], "qid long, q array<double>")
     got = [(r.id, r.score) for r in retrieval.retrieve(near, words, v, q).orderBy("place").collect()]
     assert got == [("a", 0.2), ("b", 0.4), ("x", 0.5)]
+    asks_too = words.unionByName(spark.createDataFrame([(2, "y", 0)], "qid long, id string, rank int"))
+    got = {(r.qid, r.id, r.score) for r in retrieval.retrieve(near, asks_too, v, q).collect()}
+    assert (2, "y", 0.5) in got and len(got) == 4
     got = [r.id for r in retrieval.retrieve(near, words, None, q, 2).orderBy("place").collect()]
     assert got == ["b", "a"]
 
