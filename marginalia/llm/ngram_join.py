@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.components import connected
-from marginalia.llm.shared import KeyFilter, stored, tidy
+from marginalia.llm.shared import KeyFilter, forget, stored, tidy
 from marginalia.llm.units import picked, slices
 from marginalia.llm.words import P, Recent, Words, mix
 
@@ -254,17 +254,45 @@ def _small_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield summed()
 
 
-def _open_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of nodes in different components that share enough large grams of their prefixes.
+def _sketches(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, sketch) of the nodes (and of some others): 16 bits of each gram of the whole set, ascending."""
+    wanted = KeyFilter(nodes.select(F.col("node").alias("key")))
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        recent = Recent()
+        for batch in batches:
+            for _, x in _sets(batch, 0):
+                some = np.flatnonzero(wanted.passes(x.node))
+                some = some[recent.new(x.node[some].view(np.uint64))]
+                short = (x.grams >> np.uint64(48)).astype("<u2")  # grams ascend, so these do
+                found = [short[x.bounds[k] : x.bounds[k + 1]].tobytes() for k in some.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(x.node[some]), pa.array(found, pa.binary())], ["node", "sketch"])
+
+    return docs.select("text").mapInArrow(tidy(make), "node long, sketch binary").groupBy("node").agg(F.min("sketch").alias("sketch"))
+
+
+def _codes(sketch: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sketches of several nodes with equal values of one node made unlike: the k-th one is k * 2 ** 16 more."""
+    owner = np.repeat(np.arange(len(size)), size)
+    same = np.concatenate([np.zeros(1, bool), (sketch[1:] == sketch[:-1]) & (owner[1:] == owner[:-1])]) if len(sketch) else np.zeros(0, bool)
+    at = np.arange(len(sketch))
+    return sketch.astype(np.int64) + (at - np.maximum.accumulate(np.where(same, 0, at))) * 65536
+
+
+def _open_pairs(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Pairs of nodes in different components that share large grams of their prefixes and may reach the bound.
 
     ``rows`` (gram, node, n, c) are those of large grams that several components have.  Pairs that
     also share a small gram are settled elsewhere.  Rows of one gram are dealt to chunks of about
     ``CHUNK`` nodes and every two chunks meet in one task, which multiplies the node by gram
-    incidence of the two, some columns at a time, and keeps the pairs that can reach the bound.
+    incidence of the two, some columns at a time.  Pairs that can reach the bound by their
+    prefixes are then counted in the sketches of the whole sets, which never show less than the
+    sets share; so hardly any pair leaves the task that is no link.
     """
     lists = rows.groupBy("node").agg(F.sort_array(F.collect_set("gram")).alias("large"))  # a prefix at most
     chunks = rows.groupBy("gram").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     dealt = rows.join(chunks, "gram").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).join(lists, "node")
+    dealt = dealt.join(_sketches(docs, stored(lists.select("node"))), "node")
     meeting = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other"))
 
     def multiply(table: pa.Table) -> pa.Table:
@@ -277,6 +305,9 @@ def _open_pairs(rows: DataFrame) -> DataFrame:
         known, column = np.unique(values, return_inverse=True)
         both = np.bincount(column, minlength=len(known)) > 1  # a gram of one node alone adds nothing
         rest = n - prefix_size(n)
+        codes = _codes(np.frombuffer(b"".join(table.column("sketch").to_pylist()), "<u2"), n)
+        mark = np.zeros(int(codes.max(initial=0)) + 1, bool)
+        first = np.cumsum(n) - n
         found = []
         for at in range(0, len(left), ROWS):
             i = left[at : at + ROWS]
@@ -297,14 +328,21 @@ def _open_pairs(rows: DataFrame) -> DataFrame:
             # a pair comes out at the first gram it shares
             ok = (overlap + np.maximum(rest[i][:, None], rest[right]) >= needed(n[i][:, None], n[right])) & (c[i][:, None] != c[right]) & ~earlier
             x, y = np.nonzero(ok & (100 * np.minimum(n[i][:, None], n[right]) >= SIMILAR * np.maximum(n[i][:, None], n[right])))
-            found.append(np.stack([node[i[x]], node[right[y]]], 1))
+            for k in np.unique(x).tolist():
+                a, others = i[k], right[y[x == k]]
+                mine = codes[first[a] : first[a] + n[a]]
+                mark[mine] = True
+                common = np.add.reduceat(mark[picked(codes, n, others)].astype(np.int64), np.cumsum(n[others]) - n[others])
+                mark[mine] = False
+                others = others[common >= needed(n[a], n[others])]
+                found.append(np.stack([np.full(len(others), node[a]), node[others]], 1))
         pairs = np.concatenate([*found, np.zeros((0, 2), np.int64)])
         return pa.table({"a": pairs.min(1) if len(pairs) else pairs[:, 0], "b": pairs.max(1) if len(pairs) else pairs[:, 1]})
 
-    return meeting.select("gram", "node", "n", "c", "chunk", "low", "high", "large").groupBy("gram", "low", "high").applyInArrow(multiply, "a long, b long").distinct()
+    return meeting.select("gram", "node", "n", "c", "chunk", "low", "high", "large", "sketch").groupBy("gram", "low", "high").applyInArrow(multiply, "a long, b long").distinct()
 
 
-def _later_edges(shared: DataFrame, labels: DataFrame) -> DataFrame:
+def _later_edges(docs: DataFrame, shared: DataFrame, labels: DataFrame) -> DataFrame:
     """All pairs of nodes in different components that may reach the bound.
 
     Only grams that several components have take part: all that such a pair shares are among them.
@@ -321,7 +359,8 @@ def _later_edges(shared: DataFrame, labels: DataFrame) -> DataFrame:
         summed = summed.join(many.select(F.col("node").alias(side), F.col("large").alias(f"large_{side}")), side, "left")
     summed = summed.withColumn("most", F.col("shared") + F.least(F.coalesce("large_a", F.lit(0)), F.coalesce("large_b", F.lit(0))))
     close = summed.where(f"most + {_REST} >= {_NEEDED}").select("a", "b")
-    return close.unionByName(_open_pairs(rows.where(F.col("f") > BIG))).distinct()
+    large = rows.where(F.col("f") > BIG)
+    return close.distinct() if large.isEmpty() else close.unionByName(_open_pairs(docs, large)).distinct()
 
 
 def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -339,7 +378,8 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     prefixes = rows.select("text").mapInArrow(tidy(lambda b: _prefixes(b, sent.value)), "gram long, node long, n int")
     shared = stored(prefixes.repartition(parts, "gram").sortWithinPartitions("gram", "node").mapInArrow(tidy(_stars), _STAR))
     links = stored(_verified(rows, stored(_first_edges(shared))))
-    more = stored(_verified(rows, stored(_later_edges(shared, connected(links)))))
+    more = stored(_verified(rows, stored(_later_edges(rows, shared, connected(links)))))
+    forget(shared)
     return named, connected(links.unionByName(more))
 
 

@@ -31,10 +31,28 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared directory and read back: later jobs and lost tasks start from the files."""
-    folder = shared_folder(df.sparkSession)
+    """``df`` written to the shared directory and read back: later jobs and lost tasks start from the files.
+
+    Spark removes the shuffle files of plans that nobody refers to when the driver collects
+    its garbage, which it is asked for here: the files behind one table need not lie beside
+    those of the next.
+    """
+    spark = df.sparkSession
+    folder = shared_folder(spark)
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    found = spark.read.schema(df.schema).parquet(folder)
+    found._stored_in = folder
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return found
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``stored`` made and that no later plan reads."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._stored_in)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
