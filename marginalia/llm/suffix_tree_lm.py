@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.shared import KeyFilter, stored, tidy
+from marginalia.llm.shared import KeyFilter, forget, stored, tidy
 from marginalia.llm.units import slices
 from marginalia.llm.words import P, Words
 
@@ -44,7 +44,8 @@ DEPTH = 3  # words of the longest context
 LEAST = 3
 PER_SYMBOL = 2.0
 BLOCK = 7_000_000  # training tokens of a block of documents that are scored together
-HELD = 1_500_000  # n-grams that a task gathers before it sums them up
+HELD = 500_000  # n-grams that a task gathers before it sums them up
+SENT = 3_000_000  # summed n-grams that it sends at one time
 END = b"\x00 "  # no word: words have no space
 _END = np.uint64(0x5851F42D4C957F2D)  # its hash
 
@@ -76,27 +77,54 @@ def _grams(texts: list[str | None], depth: int = DEPTH) -> tuple[list[np.ndarray
 
 
 class Tally:
-    """Counts of keys with what belongs to each, summed up whenever ``HELD`` rows have come."""
+    """Counts of keys with what belongs to each; ``HELD`` rows are summed up to a run, runs only when asked for.
+
+    ``size`` is the number of rows that the runs have.
+    """
 
     def __init__(self, width: int):
-        self.rows, self.n, self.waiting = [np.zeros((width, 0), np.int64)], [np.zeros(0, np.int64)], 0
+        self.width, self.rows, self.n, self.waiting = width, [], [], 0
+        self.runs: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
 
     def add(self, rows: np.ndarray, n: np.ndarray | None = None) -> None:
         self.rows.append(rows)
-        self.n.append(np.ones(rows.shape[1], np.int64) if n is None else n)
+        self.n.append(n)
         self.waiting += rows.shape[1]
         if self.waiting > HELD:
-            self.sum()
+            self._run()
+
+    def _run(self) -> None:
+        if self.waiting:
+            plain = self.width == 1 and all(n is None for n in self.n)
+            rows = np.concatenate(self.rows, 1)
+            if plain:
+                key = np.sort(rows[0])
+                first = _firsts(key)
+                self.runs.append((key[first][None], np.diff(np.append(first, len(key)))))
+            else:
+                self.runs.append(self._summed(rows, np.concatenate([np.ones(r.shape[1], np.int64) if n is None else n for r, n in zip(self.rows, self.n, strict=True)])))
+            self.size += len(self.runs[-1][1])
+        self.rows, self.n, self.waiting = [], [], 0
+
+    @staticmethod
+    def _summed(rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(rows[0])
+        first = _firsts(rows[0][order])
+        return rows[:, order[first]], np.add.reduceat(n[order], first) if len(first) else n
 
     def sum(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct rows in ascending order of their keys, and the count of each."""
-        rows, n = np.concatenate(self.rows, 1), np.concatenate(self.n)
-        order = np.argsort(rows[0], kind="stable")
-        key = rows[0][order]
-        first = np.flatnonzero(np.concatenate([np.ones(1, bool), key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        rows, n = rows[:, order[first]], np.add.reduceat(n[order], first) if len(first) else n
-        self.rows, self.n, self.waiting = [rows], [n], 0
-        return rows, n
+        """Distinct rows in ascending order of their keys, and the count of each; the tally is empty afterwards."""
+        self._run()
+        runs, self.runs, self.size = self.runs, [], 0
+        if len(runs) == 1:
+            return runs[0]
+        return self._summed(np.concatenate([np.zeros((self.width, 0), np.int64), *(r for r, _ in runs)], 1), np.concatenate([np.zeros(0, np.int64), *(n for _, n in runs)]))
+
+
+def _firsts(ascending: np.ndarray) -> np.ndarray:
+    """Where each distinct value starts."""
+    return np.flatnonzero(np.concatenate([np.ones(1, bool), ascending[1:] != ascending[:-1]])) if len(ascending) else np.zeros(0, np.int64)
 
 
 def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[str]]]:
@@ -114,12 +142,18 @@ def _in_parts(rows: int, *columns: np.ndarray) -> Iterator[list[pa.Array]]:
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(gram, n): training count of every word of the task's texts."""
     tally = Tally(1)
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        (keys,), n = tally.sum()
+        for cols in _in_parts(100_000, keys, n):
+            yield pa.RecordBatch.from_arrays(cols, ["gram", "n"])
+
     for batch in batches:
         for _, part in _texts(batch, 0):
             tally.add(_grams(part, 0)[0][0][None])
-    rows, n = tally.sum()
-    for cols in _in_parts(100_000, rows[0], n):
-        yield pa.RecordBatch.from_arrays(cols, ["gram", "n"])
+            if tally.size > SENT:
+                yield from rows()
+    yield from rows()
 
 
 _SENT = "part int, low binary, high binary, n binary"
@@ -146,9 +180,8 @@ def _tally_grams(batches: Iterator[pa.RecordBatch], d: int, known: KeyFilter, pa
             grams, left = _grams(part, d)
             ok = known.passes(grams[0] if d == 1 else _short(grams[d - 1]))
             tally.add(_short(grams[d][np.flatnonzero(ok[:-1] & ok[1:] & (left[:-1] > d))])[None])
-            if tally.n[0].size > 6 * HELD:
+            if tally.size > SENT:
                 yield from sent()
-                tally = Tally(1)
     yield from sent()
 
 
@@ -179,7 +212,6 @@ def _count_grams(batches: Iterator[pa.RecordBatch], known: list[KeyFilter]) -> I
 
     def rows(d: int) -> Iterator[pa.RecordBatch]:
         found, n = tallies[d - 1].sum()
-        tallies[d - 1] = Tally(3)
         for cols in _in_parts(100_000, *found, n):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), d, np.int8)), *cols], names)
 
@@ -190,7 +222,7 @@ def _count_grams(batches: Iterator[pa.RecordBatch], known: list[KeyFilter]) -> I
                 i = np.flatnonzero(left > d)
                 i = i[mine.passes(_short(grams[d][i]))]
                 tallies[d - 1].add(np.stack([grams[d][i], grams[d - 1][i], grams[d - 1][i + 1]]))
-                if tallies[d - 1].n[0].size > 2 * HELD:
+                if tallies[d - 1].size > SENT // 3:
                     yield from rows(d)
     for d in range(1, len(known) + 1):
         yield from rows(d)
@@ -271,7 +303,7 @@ def _states(train: DataFrame, words: DataFrame, divisor: float) -> DataFrame:
         known.append(KeyFilter(stored(_frequent(sent, part_bits))))
     counted = train.mapInArrow(tidy(lambda b: _count_grams(b, known[1:])), _COUNTED)
     counted = stored(counted.groupBy("level", "gram").agg(F.sum("n").alias("n"), F.first("context").alias("context"), F.first("shorter").alias("shorter")).where(F.col("n") >= LEAST))
-    found = None
+    found, kept = None, [lower]
     for d in range(1, DEPTH + 1):
         # whatever occurs LEAST times has parts that do, so both joins find every row
         rows = counted.where(F.col("level") == d).join(lower.select(F.col("gram").alias("shorter"), F.col("lp").alias("parent")), "shorter")
@@ -284,7 +316,10 @@ def _states(train: DataFrame, words: DataFrame, divisor: float) -> DataFrame:
         lower = stored(rows.join(states.select("context", "all"), "context", "left").select("gram", "n", value.alias("value"), F.coalesce(value, "parent").alias("lp")))
         level = lower.where("value is not null").select("gram", "value", F.lit(None).cast("double").alias("rest")).unionByName(states.select(F.col("context").alias("gram"), F.lit(None).cast("double").alias("value"), "rest"))
         found = level if found is None else found.unionByName(level)
-    return found.groupBy("gram").agg(F.max("value").alias("value"), F.max("rest").alias("rest"))
+        kept.append(lower)
+    found = stored(found.groupBy("gram").agg(F.max("value").cast("float").alias("value"), F.max("rest").cast("float").alias("rest")))
+    forget(counted, *kept)
+    return found
 
 
 class Answers:
@@ -320,11 +355,11 @@ def score_documents(docs: DataFrame) -> DataFrame:
     words = stored(train.mapInArrow(tidy(_count_words), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
     n_all, n_distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     divisor = n_all + 0.1 * (n_distinct + 1)
-    states = stored(_states(train, words, divisor))
+    states = _states(train, words, divisor)
     retained = KeyFilter(states.select(F.col("gram").alias("key")))
-    none = F.lit(None).cast("double")
+    none = F.lit(None).cast("float")
     model = words.select("gram", "n", none.alias("value"), none.alias("rest")).unionByName(states.select("gram", F.lit(None).cast("long").alias("n"), "value", "rest"))
-    blocks = max(-(-n_all // BLOCK), min(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    blocks = max(1, -(-n_all // BLOCK))
     dealt = flagged.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
