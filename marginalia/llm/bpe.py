@@ -12,7 +12,6 @@ added tokens that occur in a text become those tokens.  A null text counts as em
 
 from __future__ import annotations
 
-import gc
 import json
 from collections.abc import Callable, Iterator
 from itertools import pairwise
@@ -24,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from marginalia.llm.shared import release, tidy
 from marginalia.llm.units import UnitCache, UnitTable, picked, slices
 
 # The byte-level pre-token pattern and the printable stand-ins of bytes.
@@ -95,7 +95,7 @@ class PrefixEncoder:
         self._merges(ids, model["merges"])
         self._automaton(own)
         self.pattern = regex.compile(PRE_TOKEN)
-        self.moves, self.seams = Memo(self._follow, 19), Memo(self._holds_pair, 20)
+        self.moves, self.seams = Memo(self._follow, 18), Memo(self._holds_pair, 19)
 
     def _merges(self, ids: dict[str, int], merges: list) -> None:
         """Rank of each pair; for each token the two halves it is made of and the rank of that merge (-1: a byte)."""
@@ -279,7 +279,7 @@ class PrefixEncoder:
 class TextEncoder:
     """Encodes and decodes whole texts; units seen lately are looked up."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 200_000):
         self.core = PrefixEncoder(path)
         self.table = UnitTable(self.core.encode_units, self.core.added, limit)
 
@@ -316,11 +316,10 @@ def encode_decode(docs: DataFrame, path: str, text_col: str = "text", ids_col: s
                 decoded = [enc.decode(listed[a:b]) for a, b in pairwise(bounds.tolist())]
                 ids = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.view(np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.columns, ids, pa.array(decoded, pa.string())], names)
-        del enc
-        gc.collect()  # its caches refer to it
+            release()
 
     schema = StructType([*kept.schema.fields, StructField(ids_col, ArrayType(IntegerType())), StructField(decoded_col, StringType())])
-    return kept.mapInArrow(coded, schema)
+    return kept.mapInArrow(tidy(coded), schema)
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:

@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE = 600_000  # characters that are looked up together, about
+SLICE = 400_000  # characters that are looked up together, about
 _END = 0xFF  # between stretches; no byte of UTF-8
 _FIRST, _INNER, _SPECIAL = 0, 1, 2
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -29,8 +29,8 @@ def slices(texts: list[str | None] | pa.Array) -> Iterator[list[str]]:
     """
     part: list[str] = []
     size = 0
-    for at in range(0, len(texts), 100):
-        some = texts[at : at + 100]
+    for at in range(0, len(texts), 50):
+        some = texts[at : at + 50]
         for text in some if isinstance(some, list) else some.to_pylist():
             part.append(text or "")
             size += len(part[-1])
@@ -123,7 +123,7 @@ class UnitTable:
     def _powers(self, n: int) -> None:
         if len(self.up) < n:
             for name, base in (("up", self.base), ("down", pow(self.base, -1, 1 << 64))):
-                table = np.full(max(n, 2 * SLICE), base, np.uint64)
+                table = np.full(max(n, SLICE + SLICE // 4), base, np.uint64)
                 table[0] = 1
                 setattr(self, name, np.multiply.accumulate(table))
 

@@ -40,8 +40,8 @@ def _byte_powers(n: int) -> list[np.ndarray]:
     """Powers of ``P`` and of its inverse; those of usual slices stay in the worker."""
     if len(_HELD[0]) >= n:
         return _HELD
-    made = [powers(P, max(n, 1 << 20)), powers(P_INV, max(n, 1 << 20))]
-    if n <= 1 << 21:
+    made = [powers(P, max(n, 1 << 19)), powers(P_INV, max(n, 1 << 19))]
+    if n <= 1 << 20:
         _HELD[:] = made
     return made
 
