@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.shared import KeyFilter, stored, tidy
+from marginalia.llm.shared import KeyFilter, forget, stored, tidy
 from marginalia.llm.units import slices
 from marginalia.llm.words import P, P_INV, Recent, Words, mix, powers
 
@@ -179,6 +179,7 @@ def _near_lines(rows: DataFrame, first: DataFrame, fuzzy: int) -> DataFrame:
     other = F.when(F.col("kind") == 0, F.col("least0")).when(F.col("kind") == 1, F.col("least2")).otherwise(F.col("least1"))
     matched = placed.join(least, "key").withColumn("other", other).where("other.at < at")
     pairs = stored(matched.groupBy("line", "at").agg(F.min("other").alias("other")).select("line", "at", F.col("other.line").alias("earlier")))
+    forget(shared, keyed, placed)
     return _verified(rows, pairs, fuzzy)
 
 

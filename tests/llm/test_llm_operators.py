@@ -63,6 +63,25 @@ def test_section_tokens(spark, rows):
     assert n.tolist() == [1, 2] and crossing.tolist() == [0, 1]
 
 
+def test_section_tokens_one_by_one(spark, rows):
+    """Every section's interval, tokens and crossing tokens against the library's offsets, row by row."""
+    lib = Tokenizer.from_file(PATH)
+    want = []
+    for i, t in rows:
+        t = t or ""
+        cuts = [0, *(k + 1 for k, c in enumerate(t) if c == "\n" and k + 1 < len(t)), len(t)]
+        n, crossing = [0] * (len(cuts) - 1), [0] * (len(cuts) - 1)
+        offsets = lib.encode(t, add_special_tokens=False).offsets
+        for a, b in offsets:
+            shares = [min(b, hi) - max(a, lo) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+            at = shares.index(max(shares))
+            n[at] += 1
+            crossing[at] += sum(x > 0 for x in shares) > 1
+        want += [(str(i), k, cuts[k], cuts[k + 1], n[k], crossing[k], len(offsets)) for k in range(len(n))]
+    got = [(str(r.doc_id), r.section, r.char_start, r.char_end, r.n_tokens, r.n_crossing, r.doc_tokens) for r in section_tokens.count_by_section(table(spark, rows), PATH).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_wavelet_matrix():
     r = np.random.default_rng(2)
     for n, top in ((1, 1), (7, 3), (1000, 5), (5000, 50_000)):
@@ -199,6 +218,14 @@ def test_ngram_join(spark, rows, monkeypatch):
     assert got == plain_components(family)
 
 
+def test_links_through_rows_without_id(spark):
+    """A set that only null ids have still joins others; rows of null ids alone have no component."""
+    w = [f"w{k}" for k in range(60)]
+    docs = [(1, " ".join(w)), (None, " ".join(["x", *w[1:], "a", "b"])), (2, " ".join(["y", *w[2:], "a", "b", "c"])), (None, "alone here with these five words"), (3, " ".join(w))]
+    got = sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in ngram_join.components(table(spark, docs)).collect())
+    assert got == plain_components(docs) and ("None", 2, "None") in got
+
+
 def test_ngram_join_counts_small_and_large(spark, monkeypatch):
     """Pairs at the bound whose common n-grams are partly those of a large group, partly their own, in mixed order."""
     monkeypatch.setattr(ngram_join, "HOT", 10**9)
@@ -262,6 +289,37 @@ def test_decontamination_among_many_copies(spark):
     assert {(x.doc_id, x.item_id) for x in decontaminate.find(table(spark, docs), tests).collect()} == want
 
 
+def test_decontamination_is_the_same_in_blocks(spark, monkeypatch):
+    """Repeated and null ids, short items, clashing columns: one block of items or many give the same rows."""
+    items = [f"it{i}a it{i}b it{i}c it{i}d" + "".join(f" it{i}x{k}" for k in range(i)) for i in range(6)] + ["uno", "duo dua"]
+    docs = [(7, f"here {items[0]} end"), (7, f"here {items[3]} end"), (7, f"here {items[0]} end"), (None, f"{items[5]} and {items[4]}"), (None, "nothing"), (3, "it0a it0b it0d"), (4, "say uno now"), (5, "duo dua"), (6, "dua duo")]
+    tests = spark.createDataFrame([*enumerate(items), (2, "second text of it"), (None, "it0a it0b it0c")], "item_id long, text string")
+    find = lambda: sorted((str(r.doc_id), r.item_id, round(r.score, 6)) for r in decontaminate.find(table(spark, docs), tests).collect())
+    one = find()
+    monkeypatch.setattr(decontaminate, "BLOCK", 2)
+    assert find() == one and [x[:2] for x in one] == [("4", 6), ("5", 7), ("7", 0), ("7", 0), ("7", 3), ("None", 4), ("None", 5)]
+    assert decontaminate.find(table(spark, []), tests).count() == 0
+
+
+def test_recall_of_edited_items(spark):
+    """Items with words replaced at random: nearly all that score high enough by full alignment are found."""
+    r = random.Random(11)
+    items = [[f"i{i}w{r.randrange(60)}" for _ in range(30)] for i in range(12)]
+    docs, want = [], set()
+    plain = decontaminate.Items([(i, " ".join(x)) for i, x in enumerate(items)])
+    for share in (0.1, 0.2, 0.3, 0.4):
+        for i, item in enumerate(items):
+            for _ in range(4):
+                copy = [f"e{r.randrange(999)}" if r.random() < share else w for w in item]
+                seq = np.array([plain.number.get(w, 0) for w in copy], np.int64)
+                if decontaminate.align(plain.items[i][1], seq)[0] >= decontaminate.SIMILAR:
+                    want.add((len(docs), i))
+                docs.append((len(docs), " ".join(["f1 f2", *copy, "f3"])))
+    tests = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontaminate.find(table(spark, docs), tests).collect()}
+    assert got <= want and len(got) >= 0.98 * len(want) and len(want) > 120
+
+
 def test_toxicity(spark):
     r = random.Random(8)
     fill = lambda n: [r.choice("ab cd ef gh ij kl mn op".split()) for _ in range(n)]

@@ -111,3 +111,21 @@ def test_rows_that_share_an_id_are_judged_apart(spark):
     of = lambda df: {(r.doc_id, r.text) for r in df.collect()}
     assert of(corpus_pipeline.drop_contaminated(spark, docs, SF)) == {x for x in rows if item not in x[1]}
     assert of(corpus_pipeline.drop_near_copies(spark, docs, SF)) == {x for k, x in enumerate(rows) if k not in (1, 4)}
+
+
+def test_stages_on_odd_rows_and_empty_tables(spark):
+    """Nulls in any column, empty and very long texts, repeated rows, clashing columns; and no rows at all."""
+    kind = "doc_id long, text string, lang string, source string, n_chars long, n string, node string, score string, n_removed string, page string"
+    text = " ".join(f"w{j}" for j in range(60))
+    rows = [(None, None, None, None, None), (1, "", "en", None, 0), (2, text, None, "s", None), (2, text, None, "s", None), (None, text, "en", "s", 5), (3, "long " * 40_000, "en", "s", None)]
+    docs = spark.createDataFrame([(*r, *"abcde") for r in rows], kind)
+    counts = []
+    for some in (docs, docs.where("false")):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            some = stage(spark, some, SF)
+            if k < len(corpus_pipeline.STAGES) - 1:
+                assert some.columns == list(corpus_pipeline.COLUMNS)
+                some = corpus_pipeline.stored(some)
+            counts.append(some.count())
+    # line dedup leaves the first row with the text, the one without doc_id; what stays is it, the long, the empty and the null text
+    assert counts[0] == 6 and counts[1:5] == [4, 4, 4, 4] and counts[5:] == [0] * 5
