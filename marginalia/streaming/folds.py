@@ -6,7 +6,7 @@ folder that can be written again for the same batch, so a restarted query repeat
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -31,6 +31,35 @@ def token_fold(deltas: DataFrame) -> DataFrame:
     return deltas.groupBy("stream_id").agg(d.alias("d"), F.max("seq").alias("seq")).select("stream_id", text.alias("text"), "seq")
 
 
+def lines(chunks: DataFrame) -> DataFrame:
+    """(stream_id, n, line): the lines of streams that came in pieces (stream_id, seq, delta), wherever they were cut.
+
+    A last line without its end comes too; an empty one behind the last end does not.
+    """
+    d = F.array_sort(F.collect_list(F.struct("seq", "delta")))
+    whole = chunks.groupBy("stream_id").agg(F.array_join(F.transform(d, lambda x: x["delta"]), "").alias("text"))
+    cut = whole.select("stream_id", F.posexplode(F.split("text", "\r?\n")).alias("n", "line"), "text")
+    last = (F.col("line") == "") & (F.col("n") == F.size(F.split("text", "\r?\n")) - 1)
+    return cut.where(~last).select("stream_id", "n", "line")
+
+
+def messages(history: DataFrame, streams: DataFrame) -> DataFrame:
+    """(conv_id, seq, role, content, streaming) of stored turns and, behind them, the answers under way.
+
+    ``streams`` is (conv_id, text, stopped); a stopped one is final, one without text is not shown.
+    """
+    last = history.groupBy("conv_id").agg(F.max("seq").alias("last"))
+    running = streams.where(F.coalesce("text", F.lit("")) != "").join(last, "conv_id", "left")
+    new = running.select("conv_id", (F.coalesce("last", F.lit(0)) + 1).alias("seq"), F.lit("assistant").alias("role"), F.col("text").alias("content"), (~F.col("stopped")).alias("streaming"))
+    return history.select("conv_id", "seq", "role", "content", F.lit(False).alias("streaming")).unionByName(new)
+
+
+def serial(jobs: DataFrame, cancelled: DataFrame) -> DataFrame:
+    """(queue, id, place) of jobs (queue, id, seq) that still run, first in first out; cancelled ones (id) are left out."""
+    left = jobs.join(cancelled.select("id").distinct(), "id", "left_anti")
+    return left.select("queue", "id", F.row_number().over(Window.partitionBy("queue").orderBy("seq", "id")).alias("place"))
+
+
 def to_changes(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     """Start writing each batch's changed rows to its own part of ``folder``."""
 

@@ -12,7 +12,7 @@ from marginalia.config import MODEL_REINDEXING, MODEL_VERSION
 from marginalia.functions import answers as A
 from marginalia.functions import checks as K
 from marginalia.functions import plugins
-from marginalia.operators import catalog, chunking, vectors
+from marginalia.operators import catalog, chunking, rag, vectors
 from marginalia.sources import files
 from marginalia.sources.store import Store, export_markdown
 
@@ -160,3 +160,33 @@ def test_answers_without_context(spark):
     assert one(spark, A.rewritten(F.lit("q"), F.lit(None).cast("string"))) == "q"
     assert one(spark, K.mode_error(F.lit(None).cast("string"))) and one(spark, K.question_error(F.lit(" a "))) is None
     assert one(spark, K.bytes_label(F.lit(3.0 * 2**50))) == "3 PB"
+
+
+def test_answers_from_a_notebook(spark):
+    """Retrieval within the notebook, packing, the model's answer, its citations; a result from all sources that is made anew."""
+
+    class Model:
+        id = "m"
+
+        def chat(self, prompts):
+            return ["nothing cited" if "all" in p else "Red things [1] , and [7]." for p in prompts]
+
+        def embed(self, texts):
+            return [[float("red" in t), float("blue" in t)] for t in texts]
+
+    m = Model()
+    text = {"a-0": ("a", "n1", "red roses grow here"), "b-0": ("b", "n1", "blue sky above"), "c-0": ("c", "n2", "red cars elsewhere")}
+    chunks = spark.createDataFrame([(k, d, 0, 3 if d == "a" else None, t, n) for k, (d, n, t) in text.items()], "chunk_id string, doc_id string, ordinal int, page int, text string, notebook_id string")
+    known = spark.createDataFrame([(k, v, text[k][1]) for k, v in zip(text, m.embed([x[2] for x in text.values()]), strict=True)], "id string, vector array<double>, notebook_id string")
+    asked = spark.createDataFrame([(1, "what is red", "n1", "grounded", False), (2, "zzz", "n3", "grounded", False), (3, "red", "n1", "open", True)], "qid long, question string, notebook_id string, mode string, reindexing boolean")
+    titles = spark.createDataFrame([("a", "Roses")], "doc_id string, title string")
+    found = rag.retrieve(asked, chunks, known, m.embed)
+    assert [(r.qid, r.n, r.id, r.score) for r in found.where("qid = 1").collect()] == [(1, 1, "a-0", 0.0)]
+    got = {r.qid: r for r in rag.answer(asked, found, titles, m).collect()}
+    assert got[1].decision == "grounded" and got[1].answer == "Red things [1], and." and [(c.n, c.chunk_id, c.title, c.page) for c in got[1].citations] == [(1, "a-0", "Roses", 3)]
+    assert got[2].decision == "not-found" and got[3].decision == "reindexing" and got[3].citations == []
+    sources = spark.createDataFrame([("a", "Roses", "n1", "ready"), ("b", None, "n1", "ready"), ("c", "C", "n2", "error")], "id string, title string, notebook_id string, status string")
+    first = rag.studio(chunks, sources, F.lit("all"), m, F.lit(5).cast("long"))
+    again = rag.studio(chunks, sources, F.lit("all"), m, F.lit(9).cast("long"), first).collect()
+    assert [(r.notebook_id, r.created_at, r.updated_at, r.content, r.truncated) for r in again] == [("n1", 5, 9, "nothing cited", False)]
+    assert one(spark, F.size(A.citations_of(F.lit(again[0].citations_json)))) == 2
