@@ -14,14 +14,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_LOCAL: list[str] = []  # the folder of local runs
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; only where that is unset (local runs), a new folder of this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="marginalia-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not _LOCAL:
+            _LOCAL.append(tempfile.mkdtemp(prefix="marginalia-"))
+        found = _LOCAL[0]
     return found
 
 
