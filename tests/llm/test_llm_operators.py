@@ -311,7 +311,7 @@ def test_recall_of_edited_items(spark):
         for i, item in enumerate(items):
             for _ in range(4):
                 copy = [f"e{r.randrange(999)}" if r.random() < share else w for w in item]
-                seq = np.array([plain.number.get(w, 0) for w in copy], np.int64)
+                seq = np.array([plain.number.get(w.encode(), 0) for w in copy], np.int64)
                 if decontaminate.align(plain.items[i][1], seq)[0] >= decontaminate.SIMILAR:
                     want.add((len(docs), i))
                 docs.append((len(docs), " ".join(["f1 f2", *copy, "f3"])))
