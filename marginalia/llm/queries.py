@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.llm import bpe, decontaminate, html_text, line_dedup, ngram_join, quality, section_tokens, suffix_tree_lm, toxicity, wavelet
+from marginalia.llm import bpe, decontaminate, html_text, line_dedup, merkle, ngram_join, quality, section_tokens, segment_topk, suffix_tree_lm, toxicity, wavelet, whitening
+from marginalia.llm.merkle_sql import MANIFEST
 from marginalia.llm.ngram_sql import NGRAM_JOIN
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -57,10 +58,22 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_table(spark, sf_dir, "documents"))
+
+
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment_topk.nearest(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_html_text, op2_section_tokens, op3_toxicity, op4_decontaminate, op5_bpe, op6_lm_score, op7_line_dedup, op8_quality, op9_wavelet, op10_ngram_join)
+    found = (op1_html_text, op2_section_tokens, op3_toxicity, op4_decontaminate, op5_bpe, op6_lm_score, op7_line_dedup, op8_quality, op9_wavelet, op10_ngram_join, op11_merkle, op12_exact_topk, op13_whitening)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_ngram_join": NGRAM_JOIN}
+    return {"op10_ngram_join": NGRAM_JOIN, "op11_merkle": MANIFEST, "op12_exact_topk": segment_topk.NEAREST}
