@@ -96,3 +96,20 @@ def embeddings(text: Column, role: str, embed: Callable[[list[str]], list[list[f
         return pa.array(out, pa.list_(pa.float64()))
 
     return vectors(text)
+
+
+def tried_embeddings(text: Column, role: str, embed: Callable[[list[str]], list[list[float]]]) -> Column:
+    """``embeddings``, but null where the model fails: a batch that fails is tried text by text."""
+    if role not in ("query", "passage"):
+        raise ValueError(role)
+
+    @F.arrow_udf("array<double>")
+    def vectors(texts: pa.Array) -> pa.Array:
+        out = []
+        for v in _mapped([None if t is None else f"{role}: {t}" for t in texts.to_pylist()], embed):
+            v = np.asarray([] if v is None else v, float)
+            norm = float(np.sqrt(v @ v))
+            out.append((v / norm if norm else v).tolist() if v.size else None)
+        return pa.array(out, pa.list_(pa.float64()))
+
+    return vectors(text)

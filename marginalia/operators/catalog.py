@@ -55,10 +55,14 @@ def rollup(sources: DataFrame) -> DataFrame:
 
 
 def duplicates(sources: DataFrame) -> DataFrame:
-    """Sources with a flag: an earlier one of the notebook has the same content.  They are kept all the same."""
-    first = sources.groupBy("notebook_id", "content_hash").agg(F.min(F.struct("created_at", "id")).alias("first"))
-    later = F.struct("created_at", "id") > F.col("first")
-    return sources.join(first, ["notebook_id", "content_hash"]).withColumn("duplicate", later).drop("first")
+    """Sources with a flag: an earlier one of the notebook has the same content.  They are kept all the same.
+
+    A source without a notebook or a hash is no duplicate.
+    """
+    known = sources.where("notebook_id is not null and content_hash is not null")
+    first = known.groupBy("notebook_id", "content_hash").agg(F.min(F.struct("created_at", "id")).alias("first"))
+    later = F.coalesce(F.struct("created_at", "id") > F.col("first"), F.lit(False))
+    return sources.join(first, ["notebook_id", "content_hash"], "left").withColumn("duplicate", later).drop("first")
 
 
 # --- writes ---------------------------------------------------------------

@@ -13,6 +13,7 @@ from marginalia.functions import checks as K
 from marginalia.functions import text as T
 from marginalia.operators import chunking, keyword, packing, vectors
 from marginalia.plans import chunk_sql as S
+from marginalia.sources.scratch import kept, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -30,7 +31,8 @@ def query(sql: str | None = None):
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(found) if name in ("documents", "pages") else found  # texts, which are much work for each row
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +148,7 @@ def bm25_topk(spark, d):
     + f" SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY rank) AS n, id AS chunk_id, 'doc-' || doc_id::VARCHAR AS title, char_start, char_end, CASE WHEN length({_FLAT}) <= 160 THEN {_FLAT} ELSE regexp_replace(substring({_FLAT}, 1, 160), '{S.SPACE}+$', '') || '…' END AS snippet FROM kw JOIN chunks ON chunk_id = id"
 )
 def content_search(spark, d):
-    chunks = _chunks(spark, d)
+    chunks = kept(_chunks(spark, d))  # the index is made of it and the hits are looked up there
     hits = keyword.bm25(chunks.select(F.col("chunk_id").alias("id"), "text"), _questions(spark, d), SEARCH_TOP_K)
     found = hits.join(chunks, hits["id"] == chunks["chunk_id"])
     n = F.row_number().over(Window.partitionBy("qid").orderBy("rank")).cast("long")

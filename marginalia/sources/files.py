@@ -23,7 +23,12 @@ from marginalia.functions import checks
 from marginalia.functions.text import cleaned
 
 PAGES = "array<struct<page:int,text:string>>"
-Reader = Callable[[bytes], list[tuple[int | None, str]]]
+TIMES = "array<struct<char_start:int,char_end:int,t_start:double,t_end:double>>"
+BOXES = "array<struct<char_start:int,char_end:int,x:double,y:double,w:double,h:double>>"
+Pages = list[tuple[int | None, str]]
+#: A reader gives pages, or (a recogniser of speech or writing) a dict of pages and where their
+#: characters are in time (``times``) or on the picture (``boxes``), rows as in TIMES and BOXES.
+Reader = Callable[[bytes], Pages | dict]
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -91,40 +96,64 @@ READERS: dict[str, Reader] = {"txt": text_pages, "md": text_pages, "docx": docx_
 
 
 def read_pages(content: Column, kind: Column, readers: dict[str, Reader] | None = None) -> Column:
-    """struct<pages,failed> of raw files; ``readers`` adds or replaces readers by kind."""
+    """struct<pages,times,boxes,failed> of raw files; ``readers`` adds or replaces readers by kind."""
     known = READERS | (readers or {})
+    span = [("char_start", pa.int32()), ("char_end", pa.int32())]
+    places = {"times": ("t_start", "t_end"), "boxes": ("x", "y", "w", "h")}
+    kinds_of = {k: [*span, *((c, pa.float64()) for c in names)] for k, names in places.items()}
+    schema = pa.struct([("pages", pa.list_(pa.struct([("page", pa.int32()), ("text", pa.string())]))), *((k, pa.list_(pa.struct(f))) for k, f in kinds_of.items()), ("failed", pa.bool_())])
 
-    @F.arrow_udf(f"struct<pages:{PAGES},failed:boolean>")
+    @F.arrow_udf(f"struct<pages:{PAGES},times:{TIMES},boxes:{BOXES},failed:boolean>")
     def read(contents: pa.Array, kinds: pa.Array) -> pa.Array:
         out = []
         for raw, k in zip(contents, kinds.to_pylist(), strict=True):
             try:
-                out.append({"pages": [{"page": p, "text": t} for p, t in known[k](raw.as_py())], "failed": False})
+                told = known[k](raw.as_py())
+                told = told if isinstance(told, dict) else {"pages": told}
+                row = {"pages": [{"page": p, "text": t} for p, t in told["pages"]], "failed": False}
+                row |= {c: [dict(zip((n for n, _ in f), x, strict=True)) for x in told.get(c) or ()] for c, f in kinds_of.items()}
+                pa.array([row], schema)  # what is no such row fails here
+                out.append(row)
             except Exception:  # whatever a file holds, only its own row fails
-                out.append({"pages": [], "failed": True})
-        return pa.array(out, pa.struct([("pages", pa.list_(pa.struct([("page", pa.int32()), ("text", pa.string())]))), ("failed", pa.bool_())]))
+                out.append({"pages": [], "times": [], "boxes": [], "failed": True})
+        return pa.array(out, schema)
 
     return read(content, kind)
 
 
-def scan(spark: SparkSession, path: str, readers: dict[str, Reader] | None = None) -> DataFrame:
-    """origin, kind, title, size, content_hash, page_count, pages, error_label of every file below ``path``.
+#: Columns of files as Spark's binary source gives them, for streams of files.
+BINARY = "path string, modificationTime timestamp, length long, content binary"
+
+
+def scan(spark: SparkSession, path: str | list[str], readers: dict[str, Reader] | None = None) -> DataFrame:
+    """``parsed`` of every file below a path or some paths."""
+    return parsed(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path), readers)
+
+
+def arriving(spark: SparkSession, path: str, readers: dict[str, Reader] | None = None, per_batch: int = 1000) -> DataFrame:
+    """``parsed`` of the files that come into a folder, as a stream."""
+    return parsed(spark.readStream.format("binaryFile").schema(BINARY).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_batch).load(path), readers)
+
+
+def parsed(files: DataFrame, readers: dict[str, Reader] | None = None) -> DataFrame:
+    """origin, kind, title, size, modified, content_hash, page_count, pages, times, boxes, error_label of each file.
 
     Pages are cleaned and empty ones dropped.  A kind without a reader, a file beyond the
     limit of its kind, and one without text (unless a video or image) have an error and no
-    pages; too large files are not read.
+    pages; too large files are not read.  Files without any byte are not listed by Spark.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    known = files.select(F.col("path").alias("origin"), checks.kind_of(F.col("path")).alias("kind"), checks.title_of(F.col("path")).alias("title"), F.col("length").alias("size"), "content")
+    known = files.select(F.col("path").alias("origin"), checks.kind_of(F.col("path")).alias("kind"), checks.title_of(F.col("path")).alias("title"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
     fits = F.coalesce(checks.within_limit(F.col("kind"), F.col("size")), F.lit(False))
     read = known.withColumn("fits", fits).withColumn("read", F.when(F.col("fits"), read_pages(F.col("content"), F.col("kind"), readers)))
     clean = F.filter(F.transform("read.pages", lambda p: F.struct(p["page"].alias("page"), cleaned(p["text"]).alias("text"))), lambda p: F.length(p["text"]) > 0)
-    listed = read.withColumn("pages", F.coalesce(F.when(~F.col("read.failed"), clean), F.expr(f"cast(array() as {PAGES})")))
     failed = F.coalesce(F.col("read.failed"), F.lit(False))
+    none = lambda kind: F.expr(f"cast(array() as {kind})")
+    places = {c: F.coalesce(F.col(f"read.{c}"), none(kind)) for c, kind in (("times", TIMES), ("boxes", BOXES))}
+    listed = read.withColumns({"pages": F.coalesce(F.when(~F.col("read.failed"), clean), none(PAGES)), **places})
     empty = (F.size("pages") == 0) & ~F.coalesce(F.col("kind").isin("video", "image"), F.lit(False))
     error = F.when(F.col("kind").isNotNull() & ~F.col("fits"), SIZE_ERROR).when(F.col("kind").isNull() | failed | empty, checks.error_label(F.lit("parse"), F.col("kind")))
     count = F.when((F.col("kind") == "pdf") & ~failed, F.size("read.pages"))
-    return listed.select("origin", "kind", "title", "size", F.sha2("content", 256).alias("content_hash"), count.alias("page_count"), "pages", error.alias("error_label"))
+    return listed.select("origin", "kind", "title", "size", "modified", F.sha2("content", 256).alias("content_hash"), count.alias("page_count"), "pages", "times", "boxes", error.alias("error_label"))
 
 
 def folder_size(spark: SparkSession, path: str) -> DataFrame:

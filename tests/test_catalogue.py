@@ -8,13 +8,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marginalia.config import MODEL_REINDEXING, MODEL_VERSION
 from marginalia.functions import answers as A
 from marginalia.functions import checks as K
 from marginalia.functions import plugins
 from marginalia.operators import catalog, chunking, rag, vectors
 from marginalia.sources import files
-from marginalia.sources.store import Store, export_markdown
 
 
 def one(spark, column):
@@ -65,40 +63,6 @@ def test_markdown_of_pages(spark):
     assert got["u2"].error_label == "Lỗi tải trang" == got["u3"].error_label and got["u3"].title == "u3"
 
 
-def test_store_keeps_complete_snapshots_only(spark, tmp_path):
-    store = Store(spark, str(tmp_path / "store"))
-    pages = spark.createDataFrame([("s1", [(1, "alpha beta " * 120), (2, "gamma")]), ("s2", [(None, "delta")])], "doc_id string, pages array<struct<page:int,text:string>>")
-    n = store.add_chunks(pages).count()
-    assert n == 4 and store.add_chunks(pages).count() == n  # given again, nothing doubles
-    (tmp_path / "store" / "chunk" / "v=99").mkdir()  # a job that was cut off
-    assert store.read("chunk").count() == n and store.read("posting").where("token = 'gamma'").count() == 1
-    assert store.delete("chunk", spark.createDataFrame([("s1",)], "doc_id string"), "doc_id").count() == 1
-    assert store.migrate([lambda s: None, lambda s: s.drop("posting")]) == 2 and not store.has("posting") and store.migrate([None, None]) == 2
-    with pytest.raises(ValueError):
-        store.migrate([None])
-    export_markdown(spark.createDataFrame([("x", "# text")], "name string, content string"), str(tmp_path / "out"))
-    assert spark.read.text(str(tmp_path / "out")).first().value == "# text"
-
-
-def test_reindex_goes_on_where_it_was_cut_off(spark, tmp_path):
-    store = Store(spark, str(tmp_path / "store"))
-    refs = spark.createDataFrame([(f"c{k}", "s", "n") for k in range(70)], "chunk_id string, source_id string, notebook_id string")
-    made = []
-
-    def embed(plan):
-        made.append(sorted((r.chunk_id, r.batch) for r in plan.collect()))
-        return plan.select(F.col("chunk_id").alias("id"), "source_id", "notebook_id", F.array(F.lit(1.0)).alias("vector"))
-
-    store.write("_index", spark.createDataFrame([(MODEL_REINDEXING,)], "version string"))
-    store.write("vector", embed(refs.where("chunk_id < 'c3'").withColumn("batch", F.lit(0))).select("id", "source_id", "notebook_id", "vector"))
-    made.clear()
-    assert store.reindex(refs, embed, MODEL_VERSION, MODEL_REINDEXING).count() == 70
-    assert len(made[0]) == 70 - refs.where("chunk_id < 'c3'").count() and max(b for _, b in made[0]) == (len(made[0]) - 1) // 32
-    assert store.reindex(refs, embed, MODEL_VERSION, MODEL_REINDEXING).count() == 70 and len(made) == 1
-    with pytest.raises(ValueError):
-        catalog.reindex_plan(refs, refs, F.lit(None), 0)
-
-
 def test_plugins(spark):
     class Echo:
         id = "echo"
@@ -190,3 +154,20 @@ def test_answers_from_a_notebook(spark):
     again = rag.studio(chunks, sources, F.lit("all"), m, F.lit(9).cast("long"), first).collect()
     assert [(r.notebook_id, r.created_at, r.updated_at, r.content, r.truncated) for r in again] == [("n1", 5, 9, "nothing cited", False)]
     assert one(spark, F.size(A.citations_of(F.lit(again[0].citations_json)))) == 2
+
+
+def test_missing_hashes_are_no_duplicates(spark):
+    rows = [(1, "n", "h", 1), (2, "n", "h", 2), (3, "n", None, 1), (4, "n", None, 2), (5, None, "h", 1), (6, None, None, 1), (7, "m", "h", 1), (8, "n", "h", None)]
+    got = catalog.duplicates(spark.createDataFrame(rows, "id long, notebook_id string, content_hash string, created_at long")).collect()
+    assert len(got) == len(rows)  # no source is lost
+    assert {r.id for r in got if r.duplicate} == {1, 2}  # the one without a time of making is the earliest
+
+
+def test_null_vectors_are_no_hits_and_scopes_keep_apart(spark):
+    rows = [(1, [1.0, 0.0], "a"), (2, None, "a"), (3, [0.0, 1.0], "b"), (4, [1.0, 1.0], None), (5, [2.0, 0.0], "b")]
+    df = spark.createDataFrame(rows, "id long, vector array<double>, scope string")
+    asked = spark.createDataFrame([(10, [1.0, 0.0], "a"), (11, [1.0, 0.0], None), (12, [1.0, 0.0], "c"), (13, None, "a")], "qid long, q array<double>, scope string")
+    got = {}
+    for r in vectors.top_k(df, asked, 9).orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append(r.id)
+    assert got == {10: [1], 11: [1, 5, 4, 3]}
