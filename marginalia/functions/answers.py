@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 from marginalia.config import DEFAULT_TITLE, HISTORY_TURNS, NOT_FOUND, REINDEXING, REWRITE_EXTRA
 from marginalia.functions.text import SPACE, trimmed
@@ -110,10 +111,14 @@ def system_prompt(mode: Column, context: Column) -> Column:
     return F.when(mode == "grounded", text("grounded")).otherwise(text("open"))
 
 
+def last_turns(history: Column) -> Column:
+    """The turns of a conversation that count for the next question."""
+    return F.slice(history, F.greatest(F.size(history) - HISTORY_TURNS + 1, F.lit(1)), HISTORY_TURNS)
+
+
 def rewrite_prompt(question: Column, history: Column) -> Column:
     """The user's part of the prompt that makes a follow-up question stand alone; of ``history`` the last turns count."""
-    last = F.slice(history, F.greatest(F.size(history) - HISTORY_TURNS + 1, F.lit(1)), HISTORY_TURNS)
-    said = F.transform(last, lambda t: F.concat(F.when(t["role"] == "user", "Người dùng").otherwise("Trợ lý"), F.lit(": "), t["content"]))
+    said = F.transform(last_turns(history), lambda t: F.concat(F.when(t["role"] == "user", "Người dùng").otherwise("Trợ lý"), F.lit(": "), t["content"]))
     before = F.when(F.coalesce(F.size(history), F.lit(0)) > 0, F.array_join(said, "\n")).otherwise("(chưa có hội thoại trước)")
     return F.concat(F.lit("Hội thoại trước:\n"), before, F.lit("\n\nCâu hỏi cần viết lại:\n"), question, F.lit("\n\nTruy vấn viết lại:"))
 
@@ -249,3 +254,18 @@ _PRIVATE = ("text", "content", "body", "document", "query", "answer", "apiKey",
 def redacted(fields: Column) -> Column:
     """A map<string,string> with the values of private fields replaced."""
     return F.transform_values(fields, lambda k, v: F.when(k.isin(*_PRIVATE), "[REDACTED]").otherwise(v))
+
+
+def redacted_deep(value: Column, kind: DataType) -> Column:
+    """A value of a nested type with every private field replaced, however deep it lies in structs, arrays and maps."""
+    hidden = F.lit("[REDACTED]")
+    if isinstance(kind, StructType):
+        fields = [(hidden if f.name in _PRIVATE else redacted_deep(value[f.name], f.dataType)).alias(f.name) for f in kind.fields]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: redacted_deep(x, kind.elementType))
+    if isinstance(kind, MapType) and isinstance(kind.valueType, StringType):
+        return redacted(value)
+    if isinstance(kind, MapType):
+        return F.transform_values(F.map_filter(value, lambda k, v: ~k.isin(*_PRIVATE)), lambda k, v: redacted_deep(v, kind.valueType))
+    return value

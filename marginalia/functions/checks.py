@@ -188,6 +188,26 @@ def parse_progress(done: Column) -> Column:
     return 0.1 + clamped(done, F.lit(0.0), F.lit(1.0)) * 0.15
 
 
+def embed_progress(done: Column, total: Column) -> Column:
+    """Share of a source's chunks that are embedded; a source without chunks is done."""
+    return F.when(total > 0, done / total).otherwise(1.0)
+
+
+def startup_error(product: str, kind: Column, stored: Column, known: Column) -> Column:
+    """struct<title,detail,error_type> for users when a program can't start; the raw message is never shown.
+
+    ``kind`` is the error's type; ``stored`` is the store's version where it is newer than
+    ``known``, which the program supports, else null.
+    """
+    newer = stored.isNotNull()
+    text = lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
+    # What users are told.
+    title = F.when(newer, f"Cần cập nhật {product}").otherwise(f"{product} gặp lỗi khi khởi động")
+    old = text(f"Dữ liệu trên máy được tạo bởi một phiên bản {product} mới hơn (schema v", stored.cast("string"), "), trong khi bản đang chạy chỉ hỗ trợ tới v", known.cast("string"), f".\n\nVui lòng cập nhật {product} lên phiên bản mới nhất rồi mở lại. Dữ liệu của bạn vẫn an toàn — ứng dụng cố ý không hạ cấp để tránh mất dữ liệu.")
+    other = text("Ứng dụng không thể khởi động (loại lỗi: ", kind, ").\n\nVui lòng mở lại ứng dụng. Nếu vẫn lỗi, hãy cập nhật lên phiên bản mới nhất.")
+    return F.struct(title.alias("title"), F.when(newer, old).otherwise(other).alias("detail"), kind.alias("error_type"))
+
+
 def bytes_label(size: Column) -> Column:
     units = ("B", "KB", "MB", "GB", "TB", "PB")
     i = F.least(F.lit(len(units) - 1), F.floor(F.log(F.greatest(size, F.lit(1.0))) / F.log(F.lit(1024.0)))).cast("int")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from marginalia.config import BATCH, INTERRUPTED
 from marginalia.functions.checks import reindex_phase, rollup_label
+from marginalia.operators.chunking import rebuilt
 
 
 # --- reads ----------------------------------------------------------------
@@ -65,6 +66,46 @@ def duplicates(sources: DataFrame) -> DataFrame:
     return sources.join(first, ["notebook_id", "content_hash"], "left").withColumn("duplicate", later).drop("first")
 
 
+def source_content(wanted: DataFrame, sources: DataFrame, chunks: DataFrame) -> DataFrame:
+    """id, found, kind, title, page_count, text, page_breaks of each wanted source (id), put together from its chunks.
+
+    A source that is gone has nulls; one without chunks an empty text.  ``page_breaks`` is
+    array<struct<page,offset>> of the pages with a number, by page.
+    """
+    piece = F.struct(F.col("char_start").alias("s"), F.col("char_end").alias("e"), F.col("text").alias("t"))
+    mine = chunks.join(wanted.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    texts = mine.groupBy("doc_id").agg(rebuilt(F.collect_list(piece)).alias("text"))
+    pages = mine.where("page is not null").groupBy("doc_id", "page").agg(F.min("char_start").alias("offset"))
+    breaks = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "offset"))).alias("page_breaks"))
+    told = texts.join(breaks, "doc_id", "left").withColumnRenamed("doc_id", "id")
+    found = lookup(sources.select("id", "kind", "title", "page_count"), wanted).join(told, "id", "left")
+    none = F.expr("cast(array() as array<struct<page:int,offset:int>>)")
+    return found.select("id", "found", "kind", "title", "page_count", F.when(F.col("found"), F.coalesce("text", F.lit(""))).alias("text"), F.when(F.col("found"), F.coalesce("page_breaks", none)).alias("page_breaks"))
+
+
+def source_struct() -> Column:
+    """A row of sources as users get it, without its origin and hash."""
+    names = {"id": "id", "notebookId": "notebook_id", "kind": "kind", "title": "title", "status": "status", "errorLabel": "error_label", "pageCount": "page_count", "createdAt": "created_at", "updatedAt": "updated_at"}
+    return F.struct(*(F.col(c).alias(n) for n, c in names.items()))
+
+
+def chunk_struct() -> Column:
+    """A row of chunks as users get it; times and box are there only where the chunk has them.
+
+    An end without a value is the start, other parts of a box are 0.
+    """
+    times = F.when(F.col("t_start").isNotNull(), F.struct(F.col("t_start").alias("tStart"), F.coalesce("t_end", "t_start").alias("tEnd")))
+    part = lambda c: F.coalesce(c, F.lit(0.0)).alias(c[-1])
+    box = F.when(F.col("bbox_x").isNotNull(), F.struct(F.col("bbox_x").alias("x"), part("bbox_y"), part("bbox_w"), part("bbox_h")))
+    locator = F.struct("page", F.col("char_start").alias("charStart"), F.col("char_end").alias("charEnd"), times["tStart"].alias("tStart"), times["tEnd"].alias("tEnd"), box.alias("bbox"))
+    return F.struct("id", F.col("source_id").alias("sourceId"), "ordinal", "text", locator.alias("locator"))
+
+
+def longest_group(chunks: DataFrame, group: str, source: str) -> DataFrame:
+    """group, longest: chunks of the source that has most of its group, so the rounds of a balanced context."""
+    return chunks.groupBy(group, source).agg(F.count("*").alias("n")).groupBy(group).agg(F.max("n").alias("longest"))
+
+
 # --- writes ---------------------------------------------------------------
 
 

@@ -7,6 +7,8 @@ notebook_id), vectors (id, vector, notebook_id), titles (doc_id, title).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,21 +16,30 @@ from marginalia.config import BRANCH_TOP_K, CONTEXT_BUDGET, DEFAULT_TITLE, MAX_D
 from marginalia.functions import answers as A
 from marginalia.functions import plugins
 from marginalia.operators import catalog, keyword, packing, retrieval, vectors
+from marginalia.sources.scratch import kept
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, known: DataFrame, embed, k: int = RETRIEVAL_TOP_K) -> DataFrame:
+def retrieve(questions: DataFrame, chunks: DataFrame, known: DataFrame, embed, k: int = RETRIEVAL_TOP_K, index: Callable[[], DataFrame] | None = None) -> DataFrame:
     """qid, n, place, id, score and the chunk of the best ``k`` chunks of each question's notebook.
 
     ``questions`` is (qid, question, notebook_id) and may have ``rewritten``, what a model made
     of a follow-up question; a blank one counts as none.  Both branches look within the
-    notebook; chunks that are gone since the index was made drop out.
+    notebook; chunks that are gone since the index was made drop out.  ``index`` gives the
+    stored keyword index (``Store.index``); where it is missing the vector branch answers
+    alone, and without ``index`` one is made of the chunks.
     """
     text = A.rewritten(F.col("question"), F.col("rewritten")) if "rewritten" in questions.columns else F.col("question")
     asked = questions.select("qid", text.alias("question"), F.col("notebook_id").alias("scope"))
     asked = asked.withColumn("q", plugins.embeddings(F.col("question"), "query", embed))
     near = vectors.top_k(known.select("id", "vector", F.col("notebook_id").alias("scope")), asked.select("qid", "q", "scope"), BRANCH_TOP_K).where(F.col("distance") <= MAX_DISTANCE)
-    units = chunks.select(F.col("chunk_id").alias("id"), "text", F.col("notebook_id").alias("scope"))
-    words = keyword.bm25(units, asked.select("qid", "question", "scope"), BRANCH_TOP_K)
+    told = asked.select("qid", "question", "scope")
+    if index is None:
+        words = keyword.bm25(chunks.select(F.col("chunk_id").alias("id"), "text", F.col("notebook_id").alias("scope")), told, BRANCH_TOP_K)
+    else:
+        try:
+            words = keyword.search(index(), told, BRANCH_TOP_K)
+        except FileNotFoundError:
+            words = None
     best = retrieval.retrieve(near, words, known.select("id", "vector"), asked.select("qid", "q"), k)
     return retrieval.ordered_fetch(best, chunks.withColumnRenamed("chunk_id", "id"))
 
@@ -40,23 +51,27 @@ def context(found: DataFrame, titles: DataFrame, budget: int = CONTEXT_BUDGET) -
 
 
 def _packed(rows: DataFrame, key: str, order: list[str], budget: int) -> DataFrame:
-    item = F.struct("force", F.col("id"), "title", "page", "text")
-    listed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, item.alias("c"), F.col("doc_id").cast("string").alias("source_id")))).alias("c"))
-    packed = listed.select(key, "c", packing.packed(F.transform("c", lambda x: x["c"]), budget).alias("p"))
-
-    def citation(i: Column, k: Column) -> Column:
-        x = F.filter("c", lambda y: y["c"]["id"] == i)[0]
-        return F.struct((k + 1).alias("n"), i.alias("chunk_id"), x["source_id"].alias("source_id"), x["c"]["title"].alias("title"), x["c"]["page"].cast("int").alias("page"))
-
-    return packed.select(key, F.array_join("p.parts", "\n\n").alias("text"), F.transform("p.ids", citation).alias("context"), (F.col("p.n") < F.size("c")).alias("truncated"))
+    """key, text, context, truncated of rows (key, order, force, id, title, page, text, doc_id); texts are fetched of what is taken."""
+    rows = kept(rows)
+    sized = rows.withColumn("size", packing.size_of(F.col("title"), F.col("page"), F.col("text")))
+    taken, stats = packing.pack(sized, key, order, budget)
+    told = taken.join(rows.select(key, F.col("id").cast("string").alias("id"), "title", F.col("page").cast("int").alias("page"), "text", F.col("doc_id").cast("string").alias("source_id")), [key, "id"])
+    citation = F.struct(F.col("n").cast("int").alias("n"), F.col("id").alias("chunk_id"), "source_id", "title", "page")
+    part = F.struct("n", packing.block(F.col("n"), F.col("title"), F.col("page"), F.col("text")).alias("block"), citation.alias("c"))
+    listed = told.groupBy(key).agg(F.array_sort(F.collect_list(part)).alias("p"))
+    return listed.join(stats.select(key, "truncated"), key).select(key, F.array_join("p.block", "\n\n").alias("text"), F.col("p.c").alias("context"), "truncated")
 
 
 def answer(questions: DataFrame, found: DataFrame, titles: DataFrame, provider: plugins.Provider) -> DataFrame:
-    """qid, decision, answer, citations of (qid, question, mode, reindexing); questions without chunks get an answer too."""
+    """qid, decision, answer, citations of (qid, question, mode, reindexing); questions without chunks get an answer too.
+
+    With a column ``history`` (role, content) the model is told the last turns before the question.
+    """
     empty = F.expr(A._NONE)
+    said_before = F.array_join(F.transform(A.last_turns(F.col("history")), lambda t: F.concat(t["role"], F.lit(": "), t["content"], F.lit("\n\n"))), "") if "history" in questions.columns else F.lit("")
     with_context = questions.join(context(found, titles), "qid", "left").withColumns({"context": F.coalesce("context", empty), "text": F.coalesce("text", F.lit(""))})
     asks = ~F.col("reindexing") & ((F.col("mode") == "open") | (F.size("context") > 0))  # else no model is asked
-    prompt = F.when(asks, F.concat(A.system_prompt(F.col("mode"), F.col("text")), F.lit("\n\n"), "question"))
+    prompt = F.when(asks, F.concat(A.system_prompt(F.col("mode"), F.col("text")), F.lit("\n\n"), F.coalesce(said_before, F.lit("")), "question"))
     said = with_context.withColumn("said", F.coalesce(plugins.answers(prompt, provider), F.lit("")))
     return said.select("qid", A.decided(F.col("said"), F.col("mode"), F.col("context"), F.col("reindexing")).alias("a")).select("qid", "a.decision", "a.answer", "a.citations")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from marginalia import config as C
 from marginalia.functions import text as T
 from marginalia.operators import catalog, keyword, retrieval, vectors
+from marginalia.operators.numbering import numbered
 from marginalia.plans import chunk_sql as S
 from marginalia.plans.queries import _FLAT, _COS, _bm25_sql, _chunks, _t, query
 from marginalia.sources.scratch import kept
@@ -40,9 +41,9 @@ def sources_by_status(spark, d):
 
 @query(f"WITH {_SRC} SELECT notebook_id, max(updated_at) AS updated_at, row_number() OVER (ORDER BY max(updated_at) DESC, notebook_id) AS place FROM src GROUP BY notebook_id")
 def recent_notebooks(spark, d):
-    """Notebooks, last changed first: one row for each, after they are summed up."""
+    """Notebooks, last changed first: sorted by ranges, no task has them all."""
     books = _sources(spark, d).groupBy("notebook_id").agg(F.max("updated_at").alias("updated_at")).withColumn("all", F.lit(0))
-    return catalog.ordered(books, "all", F.desc("updated_at"), "notebook_id").select("notebook_id", "updated_at", F.col("place").cast("long").alias("place"))
+    return numbered(books, "all", [F.desc("updated_at"), F.asc("notebook_id")]).select("notebook_id", "updated_at", "place")
 
 
 @query("SELECT item_id AS qid, row_number() OVER (PARTITION BY item_id ORDER BY k) AS n, doc_id AS id, lang FROM benchmark, (SELECT unnest(range(12)) AS k), documents WHERE doc_id = (item_id * 31 + k * 997) % 3000")

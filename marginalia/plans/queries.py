@@ -207,38 +207,36 @@ def mmr(spark, d):
 # --- context --------------------------------------------------------------
 
 
-@query()
+def _pack_sql(key: str, order: str, forced: str, budget: int) -> str:
+    """Packing step by step over chunks ``c`` (key, chunk_id, ordinal, doc_id, text)."""
+    size = "length('[' || {n} || '] (Nguồn: doc-' || c.doc_id || ', trang —)' || chr(10) || c.text) + 2"
+    fits = f"({forced} OR n = 0 OR used + {size.format(n='n + 1')} <= {budget})"
+    return f"""c AS (SELECT {key} AS key, chunk_id, ordinal, doc_id, chunks.text, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS k, count(*) OVER (PARTITION BY {key}) AS total FROM chunks JOIN documents USING (doc_id)),
+p(key, k, used, n, ids) AS (SELECT DISTINCT key, 0::BIGINT, 0::BIGINT, 0::BIGINT, '' FROM c UNION ALL
+SELECT p.key, c.k, CASE WHEN {fits} THEN used + {size.format(n='n + 1')} ELSE used END, CASE WHEN {fits} THEN n + 1 ELSE n END, CASE WHEN {fits} THEN CASE WHEN n = 0 THEN '' ELSE ids || ',' END || chunk_id ELSE ids END FROM p JOIN c ON c.key = p.key AND c.k = p.k + 1)
+SELECT p.key AS {key}, n, used, ids, n < total AS truncated FROM p JOIN c ON c.key = p.key AND c.k = p.k WHERE p.k = total"""
+
+
+def _packed(rows, key, order, budget):
+    """n, used, ids, truncated of each group's packed chunks."""
+    title = F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))
+    sized = rows.select(key, *order, "force", F.col("chunk_id").alias("id"), packing.size_of(title, F.lit(None).cast("int"), F.col("text")).alias("size"))
+    taken, stats = packing.pack(sized, key, order, budget)
+    ids = taken.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "id"))), lambda x: x["id"]), ",").alias("ids"))
+    return stats.join(ids, key).select(key, "n", "used", "ids", "truncated")
+
+
+@query(S.CHUNKS + ", " + _pack_sql("doc_id", "ordinal", "false", CONTEXT_BUDGET))
 def context_pack(spark, d):
-    c = F.struct("ordinal", F.struct(F.lit(False).alias("force"), F.col("chunk_id").alias("id"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("title"), F.lit(None).cast("int").alias("page"), "text").alias("c"))
-    lists = _chunks(spark, d).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["c"]).alias("c"), F.count("*").alias("total"))
-    packed = lists.select("doc_id", "total", packing.packed(F.col("c"), CONTEXT_BUDGET).alias("p"))
-    return packed.select("doc_id", F.col("p.n").alias("n"), F.col("p.used").alias("used"), F.array_join("p.ids", ",").alias("ids"), (F.col("p.n") < F.col("total")).alias("truncated"))
-
-
-def _within_reach(chunks):
-    """Chunks of a notebook that the budget may still reach, with the number of all.
+    return _packed(_chunks(spark, d).withColumn("force", F.lit(False)), "doc_id", ["ordinal"], CONTEXT_BUDGET)
 
-    A later chunk is taken only if what is used and itself stay within the budget.  Used is at
-    least what all firsts take, so with little or nothing left only short chunks can follow.
-    """
-    least = F.length("text") + 2  # a block is longer than its text
-    firsts = chunks.groupBy("notebook_id").agg(F.sum(F.when(F.col("ordinal") == 0, least)).alias("used"), F.count("*").alias("total"))
-    return chunks.join(firsts, "notebook_id").where((F.col("ordinal") == 0) | (F.col("used") + least <= STUDIO_BUDGET))
 
-
-@query()
+@query(S.CHUNKS + ", " + _pack_sql("source", "ordinal, doc_id", "c.ordinal = 0", STUDIO_BUDGET).replace("p.key AS source", "p.key AS notebook_id"))
 def balanced_pack(spark, d):
-    """For each notebook its sources' chunks in rounds; the first of every source is taken in any case.
-
-    Only chunks that can be taken are gathered: the firsts, and those that fit into what the
-    firsts leave of the budget.
-    """
+    """For each notebook its sources' chunks in rounds; the first of every source is taken in any case."""
     owner = _t(spark, d, "documents").select("doc_id", F.col("source").alias("notebook_id"))
-    chunks = _within_reach(_chunks(spark, d).join(owner, "doc_id"))
-    c = F.struct("ordinal", "doc_id", F.struct((F.col("ordinal") == 0).alias("force"), F.col("chunk_id").alias("id"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("title"), F.lit(None).cast("int").alias("page"), "text").alias("c"))
-    lists = chunks.groupBy("notebook_id").agg(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["c"]).alias("c"), F.first("total").alias("total"))
-    packed = lists.select("notebook_id", "total", packing.packed(F.col("c"), STUDIO_BUDGET).alias("p"))
-    return packed.select("notebook_id", F.col("p.n").alias("n"), F.col("p.used").alias("used"), F.array_join("p.ids", ",").alias("ids"), (F.col("p.n") < F.col("total")).alias("truncated"))
+    rows = _chunks(spark, d).join(owner, "doc_id").withColumn("force", F.col("ordinal") == 0)
+    return _packed(rows, "notebook_id", ["ordinal", "doc_id"], STUDIO_BUDGET)
 
 
 # --- citations ------------------------------------------------------------

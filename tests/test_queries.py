@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from marginalia.plans import answer_queries, catalogue_queries, check_queries, records  # noqa: F401  (each registers its queries)
+from marginalia.plans import answer_queries, catalogue_queries, check_queries, notebook_queries, records  # noqa: F401  (each registers its queries)
 from marginalia.plans import queries as q
 
 SF = "/root/testdata/sf0.001"
