@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from marginalia.config import SIZE_ERROR
 from marginalia.functions import checks
 from marginalia.functions.text import cleaned
+from marginalia.sources.pdf import pdf_pages
 
 PAGES = "array<struct<page:int,text:string>>"
 TIMES = "array<struct<char_start:int,char_end:int,t_start:double,t_end:double>>"
@@ -55,43 +56,6 @@ def docx_pages(raw: bytes) -> list[tuple[int | None, str]]:
     return [(None, "\n\n".join(out))]
 
 
-_STRINGS = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|\b(?:Tj|TJ|Td|TD|T\*|'|\")")
-
-
-def pdf_pages(raw: bytes) -> list[tuple[int | None, str]]:
-    """Text of simple PDF files: page by page in file order, strings of plain or deflated content streams joined by a space.
-
-    Fonts with their own encodings are beyond it; such a file reads as an error when no text comes out.
-    """
-    import zlib
-
-    objects = {int(m[1]): m[2] for m in re.finditer(rb"(?s)\b(\d+)\s+\d+\s+obj\b(.*?)\bendobj", raw)}
-
-    def stream(number: int) -> bytes:
-        m = re.search(rb"(?s)^(.*?)stream\r?\n(.*?)\r?\n?endstream", objects.get(number, b""))
-        if not m:
-            return b""
-        return zlib.decompressobj().decompress(m[2]) if b"FlateDecode" in m[1] else m[2]
-
-    def shown(s: bytes) -> str:
-        if s.startswith(b"<"):
-            hexed = re.sub(rb"\s", b"", s[1:-1])
-            return bytes.fromhex((hexed + b"0" * (len(hexed) % 2)).decode()).decode("latin-1")
-        s = re.sub(rb"\\([0-7]{1,3})", lambda m: bytes([int(m[1], 8) & 255]), s[1:-1])
-        return re.sub(rb"\\(.)", lambda m: {b"n": b"\n", b"r": b"\r", b"t": b"\t"}.get(m[1], m[1]), s).decode("latin-1")
-
-    pages = []
-    for body in objects.values():
-        if re.search(rb"/Type\s*/Page\b(?!s)", body):
-            found = re.search(rb"/Contents\s*(?:\[([^\]]*)\]|(\d+\s+\d+\s+R))", body)
-            numbers = [int(n) for n in re.findall(rb"(\d+)\s+\d+\s+R", (found[1] or found[2]) if found else b"")]
-            items = [shown(x) for n in numbers for x in _STRINGS.findall(stream(n)) if x[:1] in b"(<"]
-            pages.append((len(pages) + 1, " ".join(x for x in items if x.strip())))
-    if not any(t for _, t in pages):
-        raise ValueError("no readable text")
-    return pages
-
-
 READERS: dict[str, Reader] = {"txt": text_pages, "md": text_pages, "docx": docx_pages, "pdf": pdf_pages}
 
 
@@ -230,19 +194,134 @@ class _Markdown(HTMLParser):
             self.parts.append(re.sub(r"\s+", " ", data))
 
 
+class _Node:
+    """An element of a page: where it is in the source, and what speaks for it being the main content."""
+
+    __slots__ = ("tag", "start", "end", "parent", "kids", "own", "commas", "text", "links", "score")
+
+    def __init__(self, tag: str, start: int, parent: _Node | None):
+        self.tag, self.start, self.end, self.parent, self.kids = tag, start, start, parent, []
+        self.own = self.commas = self.text = self.links = 0
+        self.score = 0.0
+
+
+class _Tree(HTMLParser):
+    """Block elements of a page with the size of their text, its commas and links; skipped elements count nothing."""
+
+    # HTML elements.
+    VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+    BLOCKS = _Markdown.BLOCKS | frozenset("body td th tr dl dt dd details address fieldset center".split())
+
+    def __init__(self, page: str):
+        super().__init__(convert_charrefs=True)
+        self.lines = [0, *(m.end() for m in re.finditer("\n", page))]
+        self.root = self.at = _Node("", 0, None)
+        self.page, self.nodes, self.skip, self.link = page, [], [], 0
+        self.feed(page)
+        self.close()
+        self.root.end = len(page)
+        while self.at is not self.root:
+            self._shut(len(page))
+
+    def _offset(self) -> int:
+        line, column = self.getpos()
+        return self.lines[line - 1] + column
+
+    def _shut(self, end: int) -> None:
+        self.at.end, self.at = end, self.at.parent
+
+    def handle_starttag(self, tag, attrs):
+        if tag in _Markdown.SKIPPED and tag != "head":
+            self.skip.append(tag)
+        elif tag == "a":
+            self.link += 1
+        elif tag in self.BLOCKS and not self.skip:
+            at = self._offset()
+            if tag in self.BLOCKS and self.at.tag == "p":  # a block ends a paragraph
+                self._shut(at)
+            if tag == "li" and self.at.tag == "li":
+                self._shut(at)
+            node = _Node(tag, at, self.at)
+            self.at.kids.append(node)
+            self.nodes.append(node)
+            self.at = node
+
+    def handle_endtag(self, tag):
+        if tag in self.skip:
+            while self.skip.pop() != tag:
+                pass
+        elif tag == "a":
+            self.link = max(0, self.link - 1)
+        elif tag in self.BLOCKS and not self.skip:
+            node = self.at
+            while node is not self.root and node.tag != tag:
+                node = node.parent
+            if node is not self.root:
+                at = self._offset()
+                while self.at is not node:
+                    self._shut(at)
+                close = self.page.find(">", at)
+                self._shut(close + 1 if close >= 0 else len(self.page))
+
+    def handle_data(self, data):
+        if not self.skip:
+            n = len(" ".join(data.split()))
+            self.at.own += n
+            self.at.commas += data.count(",") + data.count("，")
+            self.at.links += n * (self.link > 0)
+
+
+def main_content(page: str) -> list[str]:
+    """The parts of a page's source that hold its main content, in order; all of it if nothing stands out.
+
+    A block with text of its own gives its parent a score that grows with its length and its
+    commas, and half of it to its grandparent; an element's score is lessened by the share of
+    its text that lies in links.  What scores highest is taken with those of its siblings
+    that come near it or are plain paragraphs.
+    """
+    tree = _Tree(page)
+    for node in reversed(tree.nodes):  # children before parents
+        node.text += node.own
+        node.parent.text += node.text
+        node.parent.links += node.links
+    for node in tree.nodes:
+        if node.own >= 25:
+            points = 1 + node.commas + min(node.own // 100, 3)
+            node.parent.score += points
+            if node.parent.parent is not None:
+                node.parent.parent.score += points / 2
+    share = lambda n: n.links / n.text if n.text else 1.0
+    worth = {n: n.score * (1 - share(n)) for n in tree.nodes if n.score > 0}
+    if not worth:
+        return [page]
+    best = max(worth, key=worth.get)
+    least = max(10.0, 0.2 * worth[best])
+
+    def beside(n: _Node) -> bool:
+        plain = n.tag == "p" and (n.own > 80 and share(n) < 0.25 or 0 < n.own <= 80 and not n.links and page[n.start : n.end].rstrip("</p> \n").endswith((".", "!", "?")))
+        return n is best or worth.get(n, 0) >= least or plain or n.tag in ("h1", "h2", "h3") and n.own > 0 and share(n) < 0.25
+
+    if best.parent is tree.root:
+        return [page[best.start : best.end]]
+    return [page[n.start : n.end] for n in best.parent.kids if beside(n)]
+
+
 def markdown(html: Column) -> Column:
-    """struct<title,text> of web pages: the article (or the body) as Markdown; text null where nothing is left."""
+    """struct<title,text> of web pages: the main content as Markdown; text null where nothing is left."""
 
     @F.arrow_udf("struct<title:string,text:string>")
     def converted(pages: pa.Array) -> pa.Array:
         out = []
         for page in pages.to_pylist():
             title = re.search(r"(?is)<title[^>]*>(.*?)</title>", page or "")
-            body = re.search(r"(?is)<article\b.*?(?:</article>|\Z)", page or "") or re.search(r"(?is)<body\b.*", page or "")
-            p = _Markdown()
-            p.feed(body[0] if body else page or "")
-            p.close()
-            text = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]*\n[ \t]*", "\n", "".join(p.parts))).strip()
+            body = re.search(r"(?is)<body\b.*", page or "")
+            parts = []
+            for part in main_content(body[0] if body else page or ""):
+                p = _Markdown()
+                p.feed(part)
+                p.close()
+                parts.append("".join(p.parts))
+            text = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]*\n[ \t]*", "\n", "\n\n".join(parts))).strip()
             out.append({"title": _unescaped(title[1]) if title else None, "text": text or None})
         return pa.array(out, pa.struct([("title", pa.string()), ("text", pa.string())]))
 
