@@ -195,7 +195,23 @@ def rrf(spark, d):
     return vectors.rrf([_near(spark, d), other])
 
 
-@query()
+def _mmr_sql(candidates: str, n: int) -> str:
+    """WITH parts: picked(qid, ids) of candidates (qid, id, rank, v, q), one more in each step."""
+    like = _COS.format(a="a.v", b="b.v")
+    return f"""m AS ({candidates}), rel AS (SELECT qid, id, rank, {_COS.format(a='q', b='v')} AS rel FROM m),
+pairs AS (SELECT a.qid, a.id AS a, b.id AS b, {like} AS c FROM m a JOIN m b ON a.qid = b.qid AND a.id <> b.id),
+r(qid, step, ids) AS (SELECT DISTINCT qid, 0, []::BIGINT[] FROM m UNION ALL
+SELECT qid, step + 1, list_append(any_value(ids), arg_min(id, key)) FROM (
+SELECT r.qid, step, any_value(ids) AS ids, rel.id, round(-round(0.7 * any_value(rel) - 0.3 * greatest(0, coalesce(max(c), 0)), 10) * 1e10)::BIGINT * 100 + any_value(rank) AS key
+FROM r JOIN rel ON rel.qid = r.qid LEFT JOIN pairs ON pairs.qid = r.qid AND pairs.a = rel.id AND list_contains(r.ids, pairs.b)
+WHERE step < {n} AND NOT list_contains(r.ids, rel.id) GROUP BY r.qid, step, rel.id) GROUP BY qid, step),
+picked AS (SELECT qid, max_by(ids, step) AS ids FROM r GROUP BY qid)"""
+
+
+@query(
+    "WITH RECURSIVE " + _NEAR + ", " + _mmr_sql("SELECT near.qid, near.id, rank, v.embedding AS v, q.embedding AS q FROM near JOIN embeddings v ON v.vec_id = near.id JOIN embeddings q ON q.vec_id = near.qid", 6)
+    + " SELECT qid, (k - 1)::INT AS place, ids[k] AS id FROM (SELECT qid, ids, unnest(range(1, len(ids) + 1)) AS k FROM picked)"
+)
 def mmr(spark, d):
     e = _t(spark, d, "embeddings")
     near = _near(spark, d).join(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), "id")

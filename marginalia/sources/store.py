@@ -10,10 +10,12 @@ again before others.)  Marks are small values kept beside the tables.
 
 from __future__ import annotations
 
+import base64
 import json
+import urllib.parse
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -223,5 +225,24 @@ class Store:
 
 
 def export_markdown(answers: DataFrame, folder: str) -> None:
-    """One text file for each (name, content) row's name, below a folder of that name."""
-    answers.select("name", F.col("content").alias("value")).write.mode("overwrite").partitionBy("name").text(folder)
+    """One file ``<name>.md`` in ``folder`` for each (name, content); names are safe ones (``export_name``),
+    and those that several results share get a number.
+
+    Spark writes the texts; only names pass through the driver, which moves each file to its place.
+    """
+    spark, top = answers.sparkSession, folder.rstrip("/")
+    place = F.row_number().over(Window.partitionBy("name").orderBy("content"))
+    name = F.when(place > 1, F.concat("name", F.lit(" ("), place.cast("string"), F.lit(")"))).otherwise(F.col("name"))
+    named = answers.select("name", "content").withColumn("name", name).select(F.base64(F.col("name").cast("binary")).alias("of"), F.col("content").alias("value"))
+    named = named.withColumn("of", F.translate("of", "/+=", "_-."))  # any name is a folder's name so
+    named.repartition("of").write.mode("overwrite").option("lineSep", "\n").partitionBy("of").text(f"{top}/_new")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(top).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for one in fs.listStatus(path(f"{top}/_new")):
+        key = one.getPath().getName()
+        if key.startswith("of="):
+            to = base64.b64decode(urllib.parse.unquote(key[3:]).translate(str.maketrans("_-.", "/+="))).decode()
+            part = next(f.getPath() for f in fs.listStatus(one.getPath()) if f.getPath().getName().startswith("part-"))
+            fs.delete(path(f"{top}/{to}.md"), False)
+            fs.rename(part, path(f"{top}/{to}.md"))
+    scratch.delete(spark, f"{top}/_new")

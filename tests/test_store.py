@@ -142,6 +142,10 @@ def test_reindex_without_chunks(spark, tmp_path):
     assert store.reindex(none, None, MODEL_VERSION, MODEL_REINDEXING).count() == 0 and store.marked("index-version") == MODEL_VERSION
 
 
-def test_export(spark, tmp_path):
-    export_markdown(spark.createDataFrame([("x", "# text")], "name string, content string"), str(tmp_path / "out"))
-    assert spark.read.text(str(tmp_path / "out")).first().value == "# text"
+def test_export_gives_one_file_a_result(spark, tmp_path):
+    rows = [("Tóm tắt a+b=c", "# text\n\nmore\n"), ("x", "one"), ("x", "two"), ("y", "")]
+    out = tmp_path / "out"
+    for _ in range(2):  # again over the first
+        export_markdown(spark.createDataFrame(rows, "name string, content string"), str(out))
+        found = {f.name: f.read_text().removesuffix("\n") for f in out.iterdir() if f.suffix == ".md"}
+        assert found == {"Tóm tắt a+b=c.md": "# text\n\nmore\n", "x.md": "one", "x (2).md": "two", "y.md": ""}
