@@ -16,7 +16,8 @@ Words, transitions and states are distributed tables; words and n-grams are know
 hashes.  An n-gram that occurs ``LEAST`` times has parts that do, so level by level a pass over
 the texts tallies the n-grams whose parts pass a filter of bounded size (``KeyFilter``): each
 task sends 48 bits and a small count of each, which is all that the next filter needs.  Only
-n-grams that pass are then counted with their contexts, exactly.  Filters let others through
+n-grams that pass are then counted with their contexts, exactly; they too are sent as sorted
+runs of bytes.  Filters let others through
 as they fill up; that costs work, no result.  Documents are dealt to blocks of about ``BLOCK``
 tokens; a block asks for its distinct words and n-grams, the tables answer by a join, and the
 answers meet the block's documents again.  Blocks grow in number, not in size.
@@ -202,18 +203,37 @@ def _frequent(sent: DataFrame, part_bits: int) -> DataFrame:
     return sent.repartition(parts, "part").mapInArrow(tidy(merge), "key long")
 
 
-_COUNTED = "level byte, gram long, context long, shorter long, n long"
+_COUNTED = "part int, level byte, gram binary, context binary, shorter binary, n binary"
 
 
-def _count_grams(batches: Iterator[pa.RecordBatch], known: list[KeyFilter]) -> Iterator[pa.RecordBatch]:
-    """Counts of the (d + 1)-grams, d from 1, that pass their filter, with their first and last d words."""
+def _planes(v: np.ndarray) -> bytes:
+    """The bytes of some numbers, the lowest of all first: high bytes of small numbers then compress to nothing."""
+    return v.view(np.uint8).reshape(len(v), v.dtype.itemsize).T.tobytes()
+
+
+def _unplanes(raw: pa.Scalar, kind: type) -> np.ndarray:
+    return np.frombuffer(raw.as_buffer(), np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+
+
+def _count_grams(batches: Iterator[pa.RecordBatch], known: list[KeyFilter], part_bits: int) -> Iterator[pa.RecordBatch]:
+    """Counts of the (d + 1)-grams, d from 1, that pass their filter, with their first and last d words.
+
+    A task sends them in parts by their leading bits, ascending, as steps from one to the next.
+    """
     names = [x.split()[0] for x in _COUNTED.split(", ")]
     tallies = [Tally(3) for _ in known]
 
     def rows(d: int) -> Iterator[pa.RecordBatch]:
-        found, n = tallies[d - 1].sum()
-        for cols in _in_parts(100_000, *found, n):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), d, np.int8)), *cols], names)
+        (gram, *ends), n = tallies[d - 1].sum()
+        first = int(np.searchsorted(gram, 0))  # as signed numbers the upper half comes before
+        gram, n, *ends = (np.roll(v, -first) for v in (gram.view(np.uint64), n.astype(np.uint32), *ends))
+        bounds = np.append(np.searchsorted(gram, np.arange(1 << part_bits, dtype=np.uint64) << np.uint64(64 - part_bits)), len(gram)).tolist()
+        full = [(part, a, b) for part, (a, b) in enumerate(pairwise(bounds)) if b > a]
+        for at in range(0, len(full), 64):
+            some = full[at : at + 64]
+            cut = lambda v: pa.array([_planes(v[a:b]) for _, a, b in some], pa.binary())  # noqa: B023, E731
+            steps = pa.array([_planes(np.diff(gram[a:b], prepend=np.uint64(0))) for _, a, b in some], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in some], pa.int32()), pa.array([d] * len(some), pa.int8()), steps, *map(cut, ends), cut(n)], names)
 
     for batch in batches:
         for _, part in _texts(batch, 0):
@@ -228,68 +248,23 @@ def _count_grams(batches: Iterator[pa.RecordBatch], known: list[KeyFilter]) -> I
         yield from rows(d)
 
 
-_LOW = (1 << 20) - 1  # word numbers have 20 bits
-_THREE = 1 << 62  # marks codes of two words of context
-
+def _counted(sent: DataFrame) -> DataFrame:
+    """(level, gram, n, context, shorter) of the n-grams that all tasks together have ``LEAST`` times."""
 
-class SuffixTree:
-    """Retained contexts of one and two words of one small table: the method without Spark, for its tests.
-
-    ``level[d]`` has, in ascending order: codes of stored transitions, their log10
-    probabilities, codes of retained contexts, and the log10 factor on the parent's
-    probability of all other tokens.
-    """
-
-    def __init__(self, number: dict[bytes, int], root: np.ndarray, totals: np.ndarray, codes: np.ndarray, n: np.ndarray, least_context: float):
-        """``root`` and ``totals``: base probability and count of each numbered word, from number 1 on."""
-        self.number = number
-        root, totals = np.concatenate([[0.0], root]), np.concatenate([[0.0], totals])
-        order = np.argsort(codes)
-        codes, n = codes[order], n[order].astype(float)
-        pairs = codes < _THREE
-        self.level: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        c1, n1 = codes[pairs], n[pairs]
-        self._add(c1, n1, totals[c1 >> 20], root[c1 & _LOW])
-        c2, n2 = codes[~pairs] - _THREE, n[~pairs]
-        at = np.minimum(np.searchsorted(c1, c2 >> 20), max(0, len(c1) - 1))
-        total = np.where(c1[at] == c2 >> 20, n1[at], 0.0) if len(c1) else np.zeros(len(c2))
-        ok = total >= least_context
-        c2, n2, total = c2[ok], n2[ok], total[ok]
-        self._add(c2, n2, total, 10 ** self._extend(0, c2 & (1 << 40) - 1, np.log10(root[c2 & _LOW])))
-
-    def _add(self, codes: np.ndarray, n: np.ndarray, total: np.ndarray, parent: np.ndarray) -> None:
-        context = codes >> 20
-        states, first, owner, size = np.unique(context, return_index=True, return_inverse=True, return_counts=True)
-        p = n / (total + size[owner])
-        by = lambda v: np.bincount(owner, v, len(states))
-        rest = np.clip(1 - by(p), 1e-9, None) / np.clip(1 - by(parent), 1e-9, None)
-        left = np.clip(total[first] - by(n), 0, None) if len(first) else np.zeros(0)
-        gain = by(n * np.log(p / parent)) + left * np.log(rest)
-        keep = gain > PER_SYMBOL * (size + 1)
-        stay = keep[owner] if len(owner) else np.zeros(0, bool)
-        self.level.append((codes[stay], np.log10(p[stay]), states[keep], np.log10(rest[keep])))
-
-    def _extend(self, d: int, codes: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-        """log10 probabilities by level d where it has the context, else what the shorter context gives."""
-        stored_, value, states, rest = self.level[d]
-        out = shorter.copy()
-        if len(states):
-            at = np.minimum(np.searchsorted(states, codes >> 20), len(states) - 1)
-            here = states[at] == codes >> 20
-            out[here] += rest[at[here]]
-            at = np.minimum(np.searchsorted(stored_, codes), len(stored_) - 1)
-            here = stored_[at] == codes
-            out[here] = value[at[here]]
-        return out
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tallies: dict[tuple[int, int], Tally] = {}
+        for batch in batches:
+            for part, level, gram, context, shorter, n in zip(*(c.to_pylist() for c in batch.columns[:2]), *batch.columns[2:], strict=True):
+                keys = np.cumsum(_unplanes(gram, np.uint64), dtype=np.uint64).view(np.int64)
+                tallies.setdefault((part, level), Tally(3)).add(np.stack([keys, _unplanes(context, np.int64), _unplanes(shorter, np.int64)]), _unplanes(n, np.uint32).astype(np.int64))
+        for part, level in sorted(tallies):
+            (gram, context, shorter), n = tallies.pop((part, level)).sum()
+            often = n >= LEAST
+            for cols in _in_parts(100_000, gram[often], n[often], context[often], shorter[often]):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), level, np.int8)), *cols], ["level", "gram", "n", "context", "shorter"])
 
-    def score(self, words: np.ndarray, base: np.ndarray) -> np.ndarray:
-        """log10 probability of each token; ``words`` has numbers, 0 for others and -1 before each text."""
-        w = np.maximum(words, 0)
-        before = np.concatenate([[0], w[:-1]])
-        two = np.concatenate([[0], before[:-1]])
-        two = np.where(np.concatenate([[-1], words[:-1]]) < 0, 0, two)
-        one = self._extend(0, before << 20 | w, base)
-        return self._extend(1, np.where((two > 0) & (before > 0), two << 40 | before << 20 | w, 0), one)
+    parts = int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sent.repartition(parts, "part").mapInArrow(tidy(merge), "level byte, gram long, n long, context long, shorter long")
 
 
 def _states(train: DataFrame, words: DataFrame, divisor: float) -> DataFrame:
@@ -301,8 +276,7 @@ def _states(train: DataFrame, words: DataFrame, divisor: float) -> DataFrame:
     for d in range(1, DEPTH + 1):
         sent = train.mapInArrow(tidy(lambda b, d=d, mine=known[-1]: _tally_grams(b, d, mine, part_bits)), _SENT)
         known.append(KeyFilter(stored(_frequent(sent, part_bits))))
-    counted = train.mapInArrow(tidy(lambda b: _count_grams(b, known[1:])), _COUNTED)
-    counted = stored(counted.groupBy("level", "gram").agg(F.sum("n").alias("n"), F.first("context").alias("context"), F.first("shorter").alias("shorter")).where(F.col("n") >= LEAST))
+    counted = stored(_counted(train.mapInArrow(tidy(lambda b: _count_grams(b, known[1:], part_bits)), _COUNTED)))
     found, kept = None, [lower]
     for d in range(1, DEPTH + 1):
         # whatever occurs LEAST times has parts that do, so both joins find every row

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -138,12 +139,41 @@ def test_language_model(spark, rows):
     assert all(r.score <= 0 for r in got)
 
 
-def test_states_are_distributions():
-    words = {b"a": 1, b"b": 2, b"c": 3}
-    root, totals = np.array([0.5, 0.3, 0.15]), np.array([100.0, 60.0, 30.0])
-    tree = suffix_tree_lm.SuffixTree(words, root, totals, np.array([1 << 20 | 2, 1 << 20 | 1]), np.array([80, 10]), 3)
-    given_a = [10 ** tree.score(np.array([-1, 1, k]), np.log10(np.array([1.0, 0.5, p])))[2] for k, p in ((1, 0.5), (2, 0.3), (3, 0.15), (0, 0.05))]
-    assert abs(sum(given_a) - 1) < 1e-9 and given_a[1] > 0.7
+def test_states_are_distributions(spark):
+    """Of the stored tables: what a retained state has for its transitions and its share of the parent's rest make one."""
+    m, r = suffix_tree_lm, random.Random(8)
+    texts = [" ".join(r.choice(["a b c d", "b c a", "a a b", "d", "c d a b"]) for _ in range(r.randint(1, 9))) for _ in range(80)]
+    train = spark.createDataFrame([(t,) for t in texts], "text string")
+    count = Counter(w for t in texts for w in [*m.tokens(t), m.END])
+    divisor = count.total() + 0.1 * (len(count) + 1)
+    words = train.mapInArrow(m._count_words, "gram long, n long").groupBy("gram").sum("n").toDF("gram", "n")
+    states = {x.gram: (x.value, x.rest) for x in m._states(train, words, divisor).collect()}
+    lp = [{x.gram: math.log10((x.n + 0.1) / divisor) for x in words.collect()}]
+    assert abs(sum(10**v for v in lp[0].values()) + 0.1 / divisor - 1) < 1e-9
+    grams, left = m._grams(texts)
+    n_states = 0
+    for d in range(1, m.DEPTH + 1):
+        seen = {(int(grams[d - 1][k]), int(grams[d][k]), int(grams[d - 1][k + 1])) for k in np.flatnonzero(left > d)}
+        follow, lp_d = {}, {}
+        for context, gram, shorter in seen:
+            value, rest = states.get(gram, (None, None))[0], states.get(context, (None, None))[1]
+            parent = lp[-1][shorter]
+            lp_d[gram] = parent if rest is None else value if value is not None else rest + parent
+            if rest is not None and value is not None:
+                follow.setdefault(context, []).append((value, parent))
+        for context, both in follow.items():
+            rest = 10 ** states[context][1]
+            assert abs(sum(10**v for v, _ in both) + rest * (1 - sum(10**p for _, p in both)) - 1) < 1e-4  # kept as single floats
+            n_states += 1
+        lp.append(lp_d)
+    assert n_states > 10
+
+
+def test_counts_come_back_from_their_bytes():
+    m, r = suffix_tree_lm, np.random.default_rng(0)
+    for v in (r.integers(-(1 << 63), 1 << 63 - 1, 50), np.zeros(0, np.int64), np.array([5], np.uint32)):
+        raw = pa.array([m._planes(v)], pa.binary())[0]
+        assert (m._unplanes(raw, v.dtype.type) == v).all()
 
 
 def plain_scores(rows):
