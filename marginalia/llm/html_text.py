@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -99,22 +100,32 @@ def hint(named: str, inside: bool) -> int:
     return found
 
 
-def _raw_end(page: str, at: int, name: str) -> int:
-    """Where the content of a raw element that starts before ``at`` ends; a missing end tag ends script, style, textarea and title with the page."""
-    end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-    if end:
-        return end.end()
-    if name == "head":  # ends where the body starts
-        body = re.compile(r"<body", re.I).search(page, at)
-        return body.start() if body else len(page)
-    return len(page) if name in ("script", "style", "textarea", "title") else at
+class _RawEnds:
+    """Where raw elements of a page end; the end tags of each name are looked for once."""
+
+    def __init__(self, page: str):
+        self.page, self.found = page, {}
+
+    def __call__(self, at: int, name: str) -> int:
+        """End of the content that starts at ``at``; without an end tag script, style, textarea and title end with the page."""
+        if name not in self.found:
+            tags = [(m.start(), m.end()) for m in re.finditer(rf"</{re.escape(name)}\s*>", self.page, re.I)]
+            self.found[name] = ([a for a, _ in tags], [z for _, z in tags])
+        starts, ends = self.found[name]
+        k = bisect_left(starts, at)
+        if k < len(ends):
+            return ends[k]
+        if name == "head":  # ends where the body starts
+            body = re.compile(r"<body", re.I).search(self.page, at)
+            return body.start() if body else len(self.page)
+        return len(self.page) if name in ("script", "style", "textarea", "title") else at
 
 
 def blocks(page: str | None) -> list[Block]:
     """Flat text blocks in page order, white space already made single."""
     page = page or ""
     out: list[Block] = []
-    root = _Place("", None, {}, 0)
+    root, raw_end = _Place("", None, {}, 0), _RawEnds(page)
     open_tags: list[_Place] = []
     parts: list[str] = []
     linked, in_link, heading, number = 0, 0, False, 0
@@ -126,7 +137,10 @@ def blocks(page: str | None) -> list[Block]:
             if text:
                 place = open_tags[-1] if open_tags else root
                 block = Block(text, linked, heading, place)
-                if block.words <= 8 and LABEL.fullmatch(text):
+                within = next((x.name for x in reversed(open_tags) if x.name in CONTAINERS), "")
+                if within in ("article", "main"):
+                    pass  # the words of the article itself are no notices and no labels
+                elif block.words <= 8 and LABEL.fullmatch(text):
                     block.noted = True
                     for x in reversed(open_tags):  # it speaks for what follows in its container
                         x.noted = True
@@ -169,7 +183,7 @@ def blocks(page: str | None) -> list[Block]:
             if name in BLOCK_TAGS:
                 close_block()
             if not m[4].endswith("/"):
-                at = _raw_end(page, at, name)
+                at = raw_end(at, name)
             continue
         if name in SPACING:
             parts.append(" ")

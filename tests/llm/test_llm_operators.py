@@ -176,6 +176,32 @@ def test_counts_come_back_from_their_bytes():
         assert (m._unplanes(raw, v.dtype.type) == v).all()
 
 
+def test_html_words_of_the_article_stay():
+    """No single heading or phrase settles what lies in the article itself."""
+    p = "A sentence of plain prose that goes on for a while, with a clause in it. " * 2
+    kept = lambda page: html_text.main_text(page).split("\n")
+    assert kept(f"<body><nav><a href=x>Home</a></nav><article><h1>T</h1><p>{p}</p><p>All rights reserved.</p></article><footer><p>All rights reserved.</p></footer>") == ["T", p.strip(), "All rights reserved."]
+    assert kept(f"<article><h2>Comments</h2><p>{p}</p></article>") == ["Comments", p.strip()]
+    assert kept(f"<article><p>{p}</p><h2>Responses</h2><p>{p}</p></article>") == [p.strip(), "Responses", p.strip()]
+    assert kept(f"<article><p>We use cookies in our kitchen to teach</p><p>{p}</p></article>")[0].startswith("We use cookies")
+    assert kept(f"<article><p>{p}</p><div><p>We use cookies on these pages. {p}</p></div></article>") == [p.strip()]
+
+
+def test_html_tree_asks_for_neighbours():
+    def asked(tree):
+        return set() if tree.split is None else {html_text.FEATURES[tree.split[0]]} | asked(tree.split[2]) | asked(tree.split[3])
+
+    assert asked(html_text.default_tree()) & {"words before", "words after", "link density before", "link density after"}
+
+
+def test_html_raw_tags_without_an_end_take_linear_time():
+    import time
+
+    began = time.time()
+    assert html_text.main_text("<svg>" * 200_000 + "x" * 50) is not None  # a megabyte
+    assert time.time() - began < 5
+
+
 def plain_scores(rows):
     """Scores of the suffix tree over dicts."""
     m = suffix_tree_lm
