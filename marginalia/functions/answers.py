@@ -138,13 +138,15 @@ def transcript(segments: Column) -> Column:
     ``map`` has each segment's other fields with its place in the text (s, e).
     """
     squeezed = F.filter(F.transform(segments, lambda x: F.struct(trimmed(F.regexp_replace(x["text"], f"{SPACE}+", " ")).alias("t"), x.alias("x"))), lambda x: F.coalesce(x["t"], F.lit("")) != "")
-    sizes = F.transform(squeezed, lambda x: F.length(x["t"]) + 1)
+    entry = lambda at, x: F.struct(at.alias("s"), (at + F.length(x["t"])).alias("e"), x["x"].alias("of"))
+    none = F.slice(F.transform(squeezed, lambda x: entry(F.lit(0), x)), 1, 0)
 
-    def placed(x: Column, k: Column) -> Column:
-        s = F.aggregate(F.slice(sizes, F.lit(1), k), F.lit(0), lambda a, n: a + n)
-        return F.struct(s.alias("s"), (s + F.length(x["t"])).alias("e"), x["x"].alias("of"))
+    def add(state: Column, x: Column) -> Column:
+        """One pass: each segment starts where the one before it ends."""
+        return F.struct((state["at"] + F.length(x["t"]) + 1).alias("at"), F.concat(state["map"], F.array(entry(state["at"], x))).alias("map"))
 
-    return F.struct(F.array_join(F.transform(squeezed, lambda x: x["t"]), " ").alias("text"), F.transform(squeezed, placed).alias("map"))
+    placed = F.aggregate(squeezed, F.struct(F.lit(0).alias("at"), none.alias("map")), add, lambda s: s["map"])
+    return F.struct(F.array_join(F.transform(squeezed, lambda x: x["t"]), " ").alias("text"), placed.alias("map"))
 
 
 def _overlapping(entries: Column, start: Column, end: Column) -> Column:
