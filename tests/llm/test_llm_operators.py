@@ -401,6 +401,51 @@ def test_levenshtein_walk():
         assert trie.near(w) == near, w
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_levenshtein_walk_against_edit_distance():
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("ab") for _ in range(r.randint(toxicity.FUZZY_FROM - 1, 8)))
+    found = 0
+    for _ in range(300):
+        terms = [w for w in (word() for _ in range(r.randint(1, 6))) if len(w) >= toxicity.FUZZY_FROM]
+        trie = toxicity.Trie((), (), terms)
+        for w in (word() for _ in range(10)):
+            want = any(edit_distance(w, t) <= 1 for t in terms)
+            assert trie.near(w) == want, (w, terms)
+            found += want
+    assert 100 < found < 2900
+
+
+def test_quality_counts_against_plain_loops():
+    r = random.Random(9)
+    for _ in range(300):
+        text = "".join(r.choice(["a", "b", "# ", "*", "$%", "&|", "<>", " ", " ", "\n", "\n", "\t", "\x0b", "é", "日 ", "\x85", "!"]) for _ in range(r.randint(0, 120)))
+        words, at = [], ""
+        for c in text + " ":
+            if c in " \t\n\x0b\x0c\r":
+                words += [at] * bool(at)
+                at = ""
+            else:
+                at += c
+        seen, again = set(), 0
+        for line in text.split("\n"):
+            if any(c not in " \t\n\x0b\x0c\r" for c in line):
+                again += line in seen
+                seen.add(line)
+        windows = [words[k : k + 3] for k in range(len(words) - 2)]
+        inside = {k + j for k, w in enumerate(windows) if windows.count(w) > 1 for j in range(3)}
+        assert quality.measure(text)[:5] == (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), again, len(inside))
+    assert quality.measure(None) == (0,) * 8
+
+
 def test_quality(spark, rows):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
     got = {(r.doc_id, r.n_words): r for r in quality.verdicts(table(spark, rows), labels).collect()}
