@@ -349,7 +349,10 @@ def score_documents(docs: DataFrame) -> DataFrame:
                     for k in range(1, DEPTH + 1):
                         g = grams[k][mine & (left > k)]
                         found.append(np.unique(g[retained.passes(g)]))
-                    asked.setdefault(int(block), Tally(1)).add(np.concatenate(found)[None])
+                    tally = asked.setdefault(int(block), Tally(1))
+                    tally.add(np.concatenate(found)[None])
+                    if tally.size > SENT:  # what was asked for again takes no more room
+                        tally.add(tally.sum()[0])
         for block in list(asked):
             (keys,), _ = asked.pop(block).sum()
             for (part,) in _in_parts(100_000, keys):
