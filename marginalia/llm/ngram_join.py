@@ -42,6 +42,7 @@ HOT_LOCAL = 3  # documents of one task that make an n-gram known as shared
 HOT = 48  # documents, so counted, from which it is ordered last
 HOT_MOST = 200_000  # n-grams that are ordered last, at most: what is sent to all workers
 CHUNK = 2048  # nodes of one side when the nodes of a large n-gram are multiplied
+CHUNK_GRAMS = 1 << 22  # n-grams of all their sets, whose sketches have two bytes each
 ROWS, COLUMNS = 512, 2048  # of a block of their incidence
 
 
@@ -190,7 +191,9 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verified(docs: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges (a, b) whose whole sets reach the bound.  Sets are made anew for the nodes of edges only."""
-    wanted = KeyFilter(stored(edges.select(F.explode(F.array("a", "b")).alias("key")).distinct()))
+    keys = stored(edges.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+    wanted = KeyFilter(keys)
+    forget(keys)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         recent = Recent()
@@ -284,15 +287,17 @@ def _open_pairs(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
     ``rows`` (gram, node, n, c) are those of large grams that several components have.  Pairs that
     also share a small gram are settled elsewhere.  Rows of one gram are dealt to chunks of about
-    ``CHUNK`` nodes and every two chunks meet in one task, which multiplies the node by gram
+    ``CHUNK`` nodes (fewer where their sets are large) and every two chunks meet in one task, which multiplies the node by gram
     incidence of the two, some columns at a time.  Pairs that can reach the bound by their
     prefixes are then counted in the sketches of the whole sets, which never show less than the
     sets share; so hardly any pair leaves the task that is no link.
     """
     lists = rows.groupBy("node").agg(F.sort_array(F.collect_set("gram")).alias("large"))  # a prefix at most
-    chunks = rows.groupBy("gram").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    chunks = rows.groupBy("gram").agg(F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n") / CHUNK_GRAMS)).cast("int").alias("chunks"))
     dealt = rows.join(chunks, "gram").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).join(lists, "node")
-    dealt = dealt.join(_sketches(docs, stored(lists.select("node"))), "node")
+    nodes = stored(lists.select("node"))
+    dealt = dealt.join(_sketches(docs, nodes), "node")
+    forget(nodes)
     meeting = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other"))
 
     def multiply(table: pa.Table) -> pa.Table:
@@ -343,7 +348,7 @@ def _open_pairs(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def _later_edges(docs: DataFrame, shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """All pairs of nodes in different components that may reach the bound.
+    """All pairs of nodes in different components that may reach the bound, already written.
 
     Only grams that several components have take part: all that such a pair shares are among them.
     """
@@ -360,7 +365,9 @@ def _later_edges(docs: DataFrame, shared: DataFrame, labels: DataFrame) -> DataF
     summed = summed.withColumn("most", F.col("shared") + F.least(F.coalesce("large_a", F.lit(0)), F.coalesce("large_b", F.lit(0))))
     close = summed.where(f"most + {_REST} >= {_NEEDED}").select("a", "b")
     large = rows.where(F.col("f") > BIG)
-    return close.distinct() if large.isEmpty() else close.unionByName(_open_pairs(docs, large)).distinct()
+    edges = stored((close if large.isEmpty() else close.unionByName(_open_pairs(docs, large))).distinct())
+    forget(rows)
+    return edges
 
 
 def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -377,9 +384,12 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     prefixes = rows.select("text").mapInArrow(tidy(lambda b: _prefixes(b, sent.value)), "gram long, node long, n int")
     shared = stored(prefixes.repartition(parts, "gram").sortWithinPartitions("gram", "node").mapInArrow(tidy(_stars), _STAR))
-    links = stored(_verified(rows, stored(_first_edges(shared))))
-    more = stored(_verified(rows, stored(_later_edges(rows, shared, connected(links)))))
-    forget(shared)
+    first_edges = stored(_first_edges(shared))
+    links = stored(_verified(rows, first_edges))
+    labels = connected(links)
+    later_edges = _later_edges(rows, shared, labels)
+    more = stored(_verified(rows, later_edges))
+    forget(shared, first_edges, later_edges)
     return named, connected(links.unionByName(more))
 
 
