@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from marginalia.llm import bpe, decontaminate, line_dedup, ngram_join, toxicity
 from marginalia.llm.queries import BYTE_BPE
-from marginalia.llm.shared import stored
+from marginalia.llm.shared import forget, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -70,9 +70,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stored(docs)
+            if before is not None:
+                forget(before)
+            before = docs
     return docs
