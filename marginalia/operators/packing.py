@@ -24,6 +24,23 @@ def size_of(title: Column, page: Column, text: Column) -> Column:
     return F.length(block(F.lit(""), title, page, F.lit(""))) + F.length(text) + 2
 
 
+def packed(chunks: Column, budget: int) -> Column:
+    """struct<used,n,ids,parts> of array<struct<force,id,title,page,text>> in order, for the few chunks of one question.
+
+    A chunk that does not fit is skipped and later ones are still tried; chunks with
+    ``force`` are taken in any case, and so is the first.  Large groups go through ``pack``.
+    """
+
+    def add(state: Column, c: Column) -> Column:
+        b = block(state["n"] + 1, c["title"], c["page"], c["text"])
+        fits = c["force"] | (state["n"] == 0) | (state["used"] + F.length(b) + 2 <= budget)
+        more = F.struct((state["used"] + F.length(b) + 2).alias("used"), (state["n"] + 1).alias("n"), F.concat(state["ids"], F.array(c["id"])).alias("ids"), F.concat(state["parts"], F.array(b)).alias("parts"))
+        return F.when(fits, more).otherwise(state)
+
+    start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("n"), F.expr("cast(array() as array<string>)").alias("ids"), F.expr("cast(array() as array<string>)").alias("parts"))
+    return F.aggregate(chunks, start, add)
+
+
 def _digits(n: Column) -> Column:
     return F.length(n.cast("string"))
 

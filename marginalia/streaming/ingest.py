@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from marginalia.functions import checks
 from marginalia.functions.plugins import tried_embeddings
+from marginalia.functions.text import trimmed
 from marginalia.operators import catalog, chunking, intervals
 from marginalia.sources import files, scratch
 from marginalia.sources.store import Store
@@ -83,8 +84,13 @@ class Ingest:
     # --- one run ------------------------------------------------------------------
 
     def run(self, arrived: DataFrame, batch: int | None = None, now: Column | None = None) -> None:
-        """All steps for some sources; ``arrived`` rows may come again."""
+        """All steps for some sources; ``arrived`` rows may come again.
+
+        Rows without an id, a notebook or an origin are refused and never listed.
+        """
         store = self.store
+        for column in ("id", "notebook_id", "origin"):
+            arrived = arrived.where(trimmed(F.col(column)) != "")
         rows = scratch.kept(arrived.join(store.read("removed"), "id", "left_anti"))  # files are read once
         now = F.current_timestamp() if now is None else now
         self._add(rows, now)

@@ -160,3 +160,15 @@ def test_chunks_know_their_times_and_boxes(spark, world):
     x, y, w, h = got["sign.png-0"][2]
     assert (x, y) == (0.1, 0.1) and abs(w - 0.65) < 1e-12 and abs(h - 0.4) < 1e-12
     assert got["plain.txt-0"] == (None, None, None)
+
+
+def test_rows_without_a_notebook_are_refused_and_pages_give_their_title(spark, world):
+    world.put("a.txt", "text")
+    rows = files.scan(spark, str(world.folder), READERS)
+    named = lambda i, book, **more: rows.withColumns({"id": F.lit(i), "notebook_id": F.lit(book).cast("string"), **more})
+    page = named("p", "n", kind=F.lit("url"), title=F.lit("https://x.y/z"), origin=F.lit("https://x.y/z"))
+    run = world.ingest()
+    run.run(named("a", None).unionByName(named("b", "  ")).unionByName(named("c", "n", origin=F.lit(""))).unionByName(page))
+    assert world.states() == {"p": ("ready", None)} and world.store.read("source").first().title == "https://x.y/z"
+    run.run(page.withColumn("title", F.lit("The page's title")))
+    assert world.store.read("source").first().title == "The page's title" and world.states() == {"p": ("ready", None)}
