@@ -95,10 +95,10 @@ class Store:
     def _touched(self, keys: DataFrame, key: str) -> list[int]:
         return [r.bucket for r in keys.select(self._of(F.col(key)).alias("bucket")).distinct().collect()]  # ``buckets`` numbers at most
 
-    def _overwrite(self, table: str, rows: DataFrame, buckets: int) -> None:
-        rows.repartition(buckets, "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.folder}/{table}")
+    def _overwrite(self, table: str, rows: DataFrame, buckets: int, **options: int | str) -> None:
+        rows.repartition(buckets, "bucket").write.options(**options).mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.folder}/{table}")
 
-    def _replace(self, table: str, rows: DataFrame, buckets: list[int]) -> None:
+    def _replace(self, table: str, rows: DataFrame, buckets: list[int], **options: int | str) -> None:
         """``rows`` (with bucket) as the whole content of some buckets, one file for each.
 
         Dynamic overwrite leaves a partition alone that gets no rows, so buckets that are
@@ -106,10 +106,10 @@ class Store:
         """
         if not buckets:
             return
-        rows = scratch.kept(rows)
+        rows = scratch.kept(rows, **options)
         full = {r.bucket for r in rows.select("bucket").distinct().collect()}
         if full:
-            self._overwrite(table, rows, len(full))
+            self._overwrite(table, rows, len(full), **options)
         for bucket in set(buckets) - full:
             scratch.delete(self.spark, f"{self.folder}/{table}/bucket={bucket}")
         scratch.forget(rows)
@@ -192,7 +192,7 @@ class Store:
         units = chunks.select("bucket", scope.alias("scope"), F.col("chunk_id").alias("id"), "text")
         made = keyword.index(units, ("bucket", "scope"))
         self.create("index", StructType([f for f in made.schema if f.name != "bucket"]), "scope")
-        self._replace("index", made, list(range(self.buckets)) if buckets is None else buckets)
+        self._replace("index", made, list(range(self.buckets)) if buckets is None else buckets, **keyword.WRITTEN)
 
     def index(self) -> DataFrame:
         """What ``keyword.search`` reads."""
