@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from marginalia.config import DEFAULT_TITLE
@@ -30,22 +32,30 @@ class Quoting:
         found = (re.findall(r"(?m)^\[(\d+)\] \(.*\)\n\s*(\S+)", p) for p in prompts)
         return [" ".join(f"{word} [{n}]" for n, word in blocks) for blocks in found]
 
-    def embed(self, texts: list[str]) -> list[list[float]]:
+    def embed(self, texts: list[str]) -> list[np.ndarray]:
         return [_hashed_words(t) for t in texts]
 
 
-def _hashed_words(text: str, dim: int = 256) -> list[float]:
+def _hashed_words(text: str, dim: int = 256) -> np.ndarray:
     """How often the words of each hash occur."""
-    found = [0.0] * dim
-    for word in text.lower().split():
-        found[zlib.crc32(word.encode()) % dim] += 1
-    return found
+    return np.bincount(np.array([_hash(word) % dim for word in text.lower().split()], np.int64), minlength=dim).astype(float)
 
 
-def _notebooks(spark, d):
-    """Chunks with a page for each three and their notebook, vectors, titles, questions of the test items with a conversation before them."""
+@lru_cache(1 << 16)
+def _hash(word: str) -> int:
+    return zlib.crc32(word.encode())
+
+
+def _sources(spark, d):
+    """Chunks with a page for each three and their notebook, and the documents' notebooks and titles."""
     owner = _t(spark, d, "documents").select("doc_id", F.col("source").alias("notebook_id"), F.when(F.col("doc_id") % 5 > 0, F.concat("lang", F.lit(" "), F.col("doc_id").cast("string"))).alias("title"))
     chunks = kept(_chunks(spark, d).withColumn("page", F.expr("ordinal div 3 + 1")).join(owner, "doc_id"))
+    return chunks, owner
+
+
+def _notebooks(spark, d):
+    """Chunks, vectors, titles, questions of the test items with a conversation before them."""
+    chunks, owner = _sources(spark, d)
     known = chunks.select(F.col("chunk_id").alias("id"), plugins.embeddings(F.col("text"), "passage", Quoting().embed).alias("vector"), "notebook_id")
     turn = F.struct("turn", "role", F.col("text").alias("content"))
     talks = _t(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("t"))
@@ -77,7 +87,7 @@ def rag_answers(spark, d):
 @query()
 def studio_results(spark, d):
     """A result of all sources of every notebook, sources that are not ready left out."""
-    chunks, _, owner, _ = _notebooks(spark, d)
+    chunks, owner = _sources(spark, d)  # no vectors are needed
     status = F.when(F.col("doc_id") % 7 == 0, "error").otherwise("ready")
     sources = owner.select(F.col("doc_id").alias("id"), "title", "notebook_id", status.alias("status"))
     made = rag.studio(chunks.drop("title"), sources, F.lit("summary"), Quoting(), F.lit(1).cast("long"))
