@@ -8,9 +8,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from functools import lru_cache
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from marginalia.config import DEFAULT_TITLE
@@ -32,18 +30,16 @@ class Quoting:
         found = (re.findall(r"(?m)^\[(\d+)\] \(.*\)\n\s*(\S+)", p) for p in prompts)
         return [" ".join(f"{word} [{n}]" for n, word in blocks) for blocks in found]
 
-    def embed(self, texts: list[str]) -> list[np.ndarray]:
+    def embed(self, texts: list[str]) -> list[list[float]]:
         return [_hashed_words(t) for t in texts]
 
 
-def _hashed_words(text: str, dim: int = 256) -> np.ndarray:
+def _hashed_words(text: str, dim: int = 256) -> list[float]:
     """How often the words of each hash occur."""
-    return np.bincount(np.array([_hash(word) % dim for word in text.lower().split()], np.int64), minlength=dim).astype(float)
-
-
-@lru_cache(1 << 16)
-def _hash(word: str) -> int:
-    return zlib.crc32(word.encode())
+    found = [0.0] * dim
+    for word in text.lower().split():
+        found[zlib.crc32(word.encode()) % dim] += 1
+    return found
 
 
 def _sources(spark, d):
