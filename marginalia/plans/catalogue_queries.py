@@ -10,7 +10,7 @@ from marginalia.operators import catalog, keyword, retrieval, vectors
 from marginalia.operators.numbering import numbered
 from marginalia.plans import chunk_sql as S
 from marginalia.plans.queries import _FLAT, _COS, _bm25_sql, _chunks, _t, query
-from marginalia.sources.scratch import kept
+from marginalia.sources.scratch import TEXTS, kept
 
 _STATUS = f"{list(C.STATES)}[doc_id % 5 + 1]"
 _SRC = f"src AS (SELECT doc_id AS id, source AS notebook_id, lang AS kind, {_STATUS} AS status, CASE WHEN doc_id % 5 = 4 THEN 'x' END AS error_label, doc_id * 37 % 1009 AS created_at, doc_id * 37 % 1009 AS updated_at, sha256(text) AS content_hash FROM documents)"
@@ -184,7 +184,7 @@ def scoped_topk(spark, d):
 )
 def notebook_search(spark, d):
     """Search within a notebook; questions without a notebook are refused, titles are looked up and have a default."""
-    chunks = kept(_chunks(spark, d).join(_t(spark, d, "documents").select("doc_id", F.col("source").alias("scope")), "doc_id"))
+    chunks = kept(_chunks(spark, d).join(_t(spark, d, "documents").select("doc_id", F.col("source").alias("scope")), "doc_id"), **TEXTS)
     scope = F.when(F.col("item_id") % 3 > 0, F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")))
     asked = _t(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"), scope.alias("scope")).where("scope is not null")
     hits = keyword.bm25(chunks.select(F.col("chunk_id").alias("id"), "text", "scope"), asked, C.SEARCH_TOP_K)
