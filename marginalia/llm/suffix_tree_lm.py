@@ -123,6 +123,28 @@ class Tally:
         return self._summed(np.concatenate([np.zeros((self.width, 0), np.int64), *(r for r, _ in runs)], 1), np.concatenate([np.zeros(0, np.int64), *(n for _, n in runs)]))
 
 
+class Distinct:
+    """Distinct keys.  What came in is sorted in when it is as much as is held, ``HELD`` at least, so that no key is sorted again for every text."""
+
+    def __init__(self) -> None:
+        self.keys, self.new, self.waiting, self.sorted = np.zeros(0, np.int64), [], 0, 0
+
+    def add(self, keys: np.ndarray) -> None:
+        self.new.append(keys)
+        self.waiting += len(keys)
+        if self.waiting > max(HELD, len(self.keys)):
+            self.all()
+
+    def all(self) -> np.ndarray:
+        """In ascending order.  ``sorted`` counts the keys that were sorted so far."""
+        if self.new:
+            self.sorted += len(self.keys) + self.waiting
+            every = np.concatenate([self.keys, *self.new])
+            every.sort()
+            self.keys, self.new, self.waiting = every[_firsts(every)], [], 0
+        return self.keys
+
+
 def _firsts(ascending: np.ndarray) -> np.ndarray:
     """Where each distinct value starts."""
     return np.flatnonzero(np.concatenate([np.ones(1, bool), ascending[1:] != ascending[:-1]])) if len(ascending) else np.zeros(0, np.int64)
@@ -337,24 +359,23 @@ def score_documents(docs: DataFrame) -> DataFrame:
     dealt = flagged.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked: dict[int, Tally] = {}
+        asked: dict[int, Distinct] = {}
         for batch in batches:
             blocks_of = np.asarray(batch.column(3))
             for at, part in _texts(batch, 1):
                 grams, left = _grams(part)
                 owner = np.repeat(blocks_of[at : at + len(part)], np.diff(np.append(np.flatnonzero(np.concatenate([np.ones(1, bool), left[:-1] == 1])), len(left))))
-                for block in np.unique(owner):
-                    mine = owner == block
-                    found = [np.unique(grams[0][mine])]
-                    for k in range(1, DEPTH + 1):
-                        g = grams[k][mine & (left > k)]
-                        found.append(np.unique(g[retained.passes(g)]))
-                    tally = asked.setdefault(int(block), Tally(1))
-                    tally.add(np.concatenate(found)[None])
-                    if tally.size > SENT:  # what was asked for again takes no more room
-                        tally.add(tally.sum()[0])
+                here = np.ones(len(left), bool)
+                for k, g in enumerate(grams):
+                    ok = left > k if k else here
+                    if k:
+                        ok &= retained.passes(g)
+                    for block in np.unique(owner):
+                        keys = g[ok & (owner == block)]
+                        keys.sort()
+                        asked.setdefault(int(block), Distinct()).add(keys[_firsts(keys)])
         for block in list(asked):
-            (keys,), _ = asked.pop(block).sum()
+            keys = asked.pop(block).all()
             for (part,) in _in_parts(100_000, keys):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block, np.int32)), part], ["block", "gram"])
 

@@ -169,6 +169,17 @@ def test_states_are_distributions(spark):
     assert n_states > 10
 
 
+def test_distinct_keys_are_not_sorted_again_and_again(monkeypatch):
+    """Work on the n-grams of a block grows with them, however many are distinct."""
+    monkeypatch.setattr(suffix_tree_lm, "HELD", 100)
+    rng, found, seen = np.random.default_rng(1), suffix_tree_lm.Distinct(), []
+    for _ in range(2000):
+        seen.append(rng.integers(-(1 << 40), 1 << 40, 50))
+        found.add(seen[-1])
+    assert np.array_equal(found.all(), np.unique(np.concatenate(seen))) and found.sorted < 4 * 100_000
+    assert len(suffix_tree_lm.Distinct().all()) == 0
+
+
 def test_counts_come_back_from_their_bytes():
     m, r = suffix_tree_lm, np.random.default_rng(0)
     for v in (r.integers(-(1 << 63), 1 << 63 - 1, 50), np.zeros(0, np.int64), np.array([5], np.uint32)):
