@@ -46,9 +46,14 @@ def stored(df: DataFrame) -> DataFrame:
     df.write.parquet(folder)
     found = spark.read.schema(df.schema).parquet(folder)
     found._stored_in = folder
+    forget_shuffles(spark)
+    return found
+
+
+def forget_shuffles(spark: SparkSession) -> None:
+    """Ask the driver to collect its garbage, and with it the shuffle files of plans that nobody refers to."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return found
 
 
 def forget(*tables: DataFrame) -> None:

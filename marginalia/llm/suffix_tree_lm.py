@@ -19,8 +19,10 @@ task sends 48 bits and a small count of each, which is all that the next filter
 n-grams that pass are then counted with their contexts, exactly; they too are sent as sorted
 runs of bytes.  Filters let others through
 as they fill up; that costs work, no result.  Documents are dealt to blocks of about ``BLOCK``
-tokens; a block asks for its distinct words and n-grams, the tables answer by a join, and the
-answers meet the block's documents again.  Blocks grow in number, not in size.
+tokens; a block asks for its distinct words and n-grams, the tables answer, and the answers
+meet the block's documents again.  Questions and answers are dealt by the leading bits of the
+hashes (shards) and sent as sorted runs of bytes, one row for each block and shard.  Blocks and
+shards grow in number, not in size.
 
 Null texts count as empty: one token, the end.  Rows without doc_id are held out.  Rows that
 share a doc_id are scored each for itself; an empty table gives an empty one.
@@ -37,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.shared import KeyFilter, forget, stored, tidy
+from marginalia.llm.shared import KeyFilter, forget, forget_shuffles, stored, tidy
 from marginalia.llm.units import slices
 from marginalia.llm.words import P, Words
 
@@ -237,36 +239,58 @@ def _unplanes(raw: pa.Scalar, kind: type) -> np.ndarray:
     return np.frombuffer(raw.as_buffer(), np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
 
 
+def _steps(ascending: np.ndarray) -> bytes:
+    """Unsigned keys as steps from one to the next."""
+    return _planes(np.diff(ascending, prepend=np.uint64(0)))
+
+
+def _unsteps(raw: pa.Scalar) -> np.ndarray:
+    return np.cumsum(_unplanes(raw, np.uint64), dtype=np.uint64)
+
+
+def _unsigned(ascending: np.ndarray, *others: np.ndarray) -> list[np.ndarray]:
+    """Keys ascending as unsigned numbers, and what belongs to them: of signed ones the upper half comes before."""
+    first = int(np.searchsorted(ascending, 0))
+    return [np.roll(v, -first) for v in (ascending.view(np.uint64), *others)]
+
+
+def _cuts(ascending: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
+    """Parts by the leading bits of unsigned keys that are not empty: number, first and last place."""
+    bounds = np.append(np.searchsorted(ascending, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(ascending)).tolist()
+    return [(part, a, b) for part, (a, b) in enumerate(pairwise(bounds)) if b > a]
+
+
 def _count_grams(batches: Iterator[pa.RecordBatch], known: list[KeyFilter], part_bits: int) -> Iterator[pa.RecordBatch]:
-    """Counts of the (d + 1)-grams, d from 1, that pass their filter, with their first and last d words.
+    """Counts of the (d + 1)-grams, d from 1, that pass their filter and whose parts do, with their first and last d words.
 
     A task sends them in parts by their leading bits, ascending, as steps from one to the next.
     """
     names = [x.split()[0] for x in _COUNTED.split(", ")]
-    tallies = [Tally(3) for _ in known]
+    tallies = [Tally(3) for _ in known[1:]]
 
     def rows(d: int) -> Iterator[pa.RecordBatch]:
         (gram, *ends), n = tallies[d - 1].sum()
-        first = int(np.searchsorted(gram, 0))  # as signed numbers the upper half comes before
-        gram, n, *ends = (np.roll(v, -first) for v in (gram.view(np.uint64), n.astype(np.uint32), *ends))
-        bounds = np.append(np.searchsorted(gram, np.arange(1 << part_bits, dtype=np.uint64) << np.uint64(64 - part_bits)), len(gram)).tolist()
-        full = [(part, a, b) for part, (a, b) in enumerate(pairwise(bounds)) if b > a]
+        gram, n, *ends = _unsigned(gram, n.astype(np.uint32), *ends)
+        full = _cuts(gram, part_bits)
         for at in range(0, len(full), 64):
             some = full[at : at + 64]
             cut = lambda v: pa.array([_planes(v[a:b]) for _, a, b in some], pa.binary())  # noqa: B023, E731
-            steps = pa.array([_planes(np.diff(gram[a:b], prepend=np.uint64(0))) for _, a, b in some], pa.binary())
+            steps = pa.array([_steps(gram[a:b]) for _, a, b in some], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in some], pa.int32()), pa.array([d] * len(some), pa.int8()), steps, *map(cut, ends), cut(n)], names)
 
     for batch in batches:
         for _, part in _texts(batch, 0):
             grams, left = _grams(part)
-            for d, mine in enumerate(known, 1):
-                i = np.flatnonzero(left > d)
+            ok = known[0].passes(grams[0])
+            for d, mine in enumerate(known[1:], 1):
+                i = np.flatnonzero(ok & np.append(ok[1:], False) & (left > d))
                 i = i[mine.passes(_short(grams[d][i]))]
+                ok = np.zeros(len(left), bool)
+                ok[i] = True
                 tallies[d - 1].add(np.stack([grams[d][i], grams[d - 1][i], grams[d - 1][i + 1]]))
                 if tallies[d - 1].size > SENT // 3:
                     yield from rows(d)
-    for d in range(1, len(known) + 1):
+    for d in range(1, len(known)):
         yield from rows(d)
 
 
@@ -277,7 +301,7 @@ def _counted(sent: DataFrame) -> DataFrame:
         tallies: dict[tuple[int, int], Tally] = {}
         for batch in batches:
             for part, level, gram, context, shorter, n in zip(*(c.to_pylist() for c in batch.columns[:2]), *batch.columns[2:], strict=True):
-                keys = np.cumsum(_unplanes(gram, np.uint64), dtype=np.uint64).view(np.int64)
+                keys = _unsteps(gram).view(np.int64)
                 tallies.setdefault((part, level), Tally(3)).add(np.stack([keys, _unplanes(context, np.int64), _unplanes(shorter, np.int64)]), _unplanes(n, np.uint32).astype(np.int64))
         for part, level in sorted(tallies):
             (gram, context, shorter), n = tallies.pop((part, level)).sum()
@@ -297,8 +321,10 @@ def _states(train: DataFrame, words: DataFrame, divisor: float) -> DataFrame:
     known = [KeyFilter(lower.select(F.col("gram").alias("key")))]
     for d in range(1, DEPTH + 1):
         sent = train.mapInArrow(tidy(lambda b, d=d, mine=known[-1]: _tally_grams(b, d, mine, part_bits)), _SENT)
-        known.append(KeyFilter(stored(_frequent(sent, part_bits))))
-    counted = stored(_counted(train.mapInArrow(tidy(lambda b: _count_grams(b, known[1:], part_bits)), _COUNTED)))
+        frequent = stored(_frequent(sent, part_bits))
+        known.append(KeyFilter(frequent))
+        forget(frequent)
+    counted = stored(_counted(train.mapInArrow(tidy(lambda b: _count_grams(b, known, part_bits)), _COUNTED)))
     found, kept = None, [lower]
     for d in range(1, DEPTH + 1):
         # whatever occurs LEAST times has parts that do, so both joins find every row
@@ -318,28 +344,111 @@ def _states(train: DataFrame, words: DataFrame, divisor: float) -> DataFrame:
     return found
 
 
+def _wanted(grams: list[np.ndarray], left: np.ndarray, contexts: KeyFilter, followed: KeyFilter) -> list[np.ndarray]:
+    """Which n-grams to look up: all words, retained contexts, and what follows these; filters let some others through."""
+    masks, context = [np.ones(len(left), bool)], contexts.passes(grams[0])
+    for k in range(1, len(grams)):
+        here, wanted = left > k, np.zeros(len(left), bool)
+        i = np.flatnonzero(here & context)
+        wanted[i[followed.passes(grams[k][i])]] = True
+        if k < len(grams) - 1:
+            context = contexts.passes(grams[k])
+            wanted |= here & context
+        masks.append(wanted)
+    return masks
+
+
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Batches of about a third of ``SENT`` rows in all."""
+    some, rows = [], 0
+    for batch in batches:
+        some.append(batch)
+        rows += batch.num_rows
+        if rows >= SENT // 3:
+            yield some
+            some, rows = [], 0
+    if some:
+        yield some
+
+
 class Answers:
-    """What the tables told a block: values and factors of its n-grams."""
-
-    def __init__(self, gram: np.ndarray, value: np.ndarray, rest: np.ndarray):
-        order = np.argsort(gram)
-        self.gram, self.value, self.rest = gram[order], value[order], rest[order]
-
-    def look(self, gram: np.ndarray, of: np.ndarray) -> np.ndarray:
-        """Values, nan where there is none."""
-        if not len(self.gram):
-            return np.full(len(gram), np.nan)
-        at = np.minimum(np.searchsorted(self.gram, gram), len(self.gram) - 1)
-        return np.where(self.gram[at] == gram, of[at], np.nan)
-
-    def score(self, grams: list[np.ndarray], left: np.ndarray, base: np.ndarray) -> np.ndarray:
-        """log10 probability of each token by its longest retained context."""
-        out = base.copy()
+    """What the tables told a block: training counts of its words, values and factors of its n-grams.
+
+    Keys ascend as unsigned numbers; what a table does not have is nan.  One more row answers for keys that are not there.
+    """
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, value: np.ndarray, rest: np.ndarray):
+        self.none = len(keys)
+        self.keys = np.append(keys, np.uint64((1 << 64) - 1))
+        self.n, self.value, self.rest = (np.append(v, v.dtype.type(np.nan)) for v in (n, value, rest))
+        self.bits = max(1, len(keys).bit_length())
+        self.first = np.searchsorted(keys, np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits))
+
+    @classmethod
+    def of_tables(cls, model: pa.Table) -> Answers:
+        """Of rows of both tables, words with n."""
+        is_word = model.column("n").is_valid()
+        tables = [model.filter(m) for m in (is_word, pc.invert(is_word))]
+        grams = [t.column("gram").to_numpy().view(np.uint64) for t in tables]
+        keys = np.unique(np.concatenate(grams))
+        words, states = (np.searchsorted(keys, g) for g in grams)
+        n = np.full(len(keys), np.nan)
+        n[words] = tables[0].column("n").to_numpy()
+        value, rest = np.full((2, len(keys)), np.nan, np.float32)
+        value[states], rest[states] = (tables[1].column(c).to_numpy() for c in ("value", "rest"))
+        return cls(keys, n, value, rest)
+
+    @classmethod
+    def of_rows(cls, rows: pa.Table) -> Answers:
+        """Of what ``sent`` made for one block or shard; a key may come twice, with its count and with the rest."""
+        join = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
+        keys = join(map(_unsteps, rows.column("keys")), np.uint64)
+        has = join((np.frombuffer(x.as_buffer(), np.uint8) for x in rows.column("has")), np.uint8)
+        cols = []
+        for bit, name, kind in ((1, "n", np.int64), (2, "value", np.float32), (4, "rest", np.float32)):
+            col = np.full(len(keys), np.nan, np.float64 if name == "n" else np.float32)
+            col[has & bit != 0] = join((_unplanes(x, kind) for x in rows.column(name)), kind)
+            cols.append(col)
+        every, place = np.unique(keys, return_inverse=True)
+        merged = [np.full(len(every), np.nan, c.dtype) for c in cols]
+        for to, c in zip(merged, cols, strict=True):
+            there = ~np.isnan(c)
+            to[place[there]] = c[there]
+        return cls(every, *merged)
+
+    def sent(self, keys: np.ndarray) -> list[bytes]:
+        """Keys of those asked for (ascending) that are there, what each has, and that."""
+        at = np.searchsorted(self.keys[:-1], keys)
+        at = at[self.keys.take(at) == keys]
+        at = at[at < self.none]
+        n, value, rest = (v.take(at) for v in (self.n, self.value, self.rest))
+        there = [~np.isnan(v) for v in (n, value, rest)]
+        has = there[0] | there[1].astype(np.uint8) << 1 | there[2].astype(np.uint8) << 2
+        return [_steps(self.keys.take(at)), has.astype(np.uint8).tobytes(), _planes(n[there[0]].astype(np.int64)), _planes(value[there[1]]), _planes(rest[there[2]])]
+
+    def find(self, grams: np.ndarray) -> np.ndarray:
+        """Row of each key: hashes are spread evenly, so few share their leading bits."""
+        key = grams.view(np.uint64)
+        at = self.first.take((key >> np.uint64(64 - self.bits)).view(np.int64))
+        on = np.flatnonzero(self.keys.take(at) < key)
+        while len(on):
+            at[on] += 1
+            on = on[self.keys.take(at.take(on)) < key.take(on)]
+        return np.where(self.keys.take(at) == key, at, self.none)
+
+    def score(self, grams: list[np.ndarray], wanted: list[np.ndarray], left: np.ndarray, words: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """log10 probability of each token by its longest retained context; ``words``: their rows."""
+        out, at = base.copy(), words
         for d in range(1, DEPTH + 1):
-            i = np.flatnonzero(left > d)  # the token d places on is in the same text
-            factor, value = self.look(grams[d - 1][i], self.rest), self.look(grams[d][i], self.value)
-            out[i + d] += np.where(np.isnan(factor), 0.0, factor)
-            out[i + d] = np.where(np.isnan(value), out[i + d], value)
+            factor = self.rest.take(at)
+            i = np.flatnonzero((left > d) & ~np.isnan(factor))  # the token d places on is in the same text
+            out[i + d] += factor[i]
+            i = np.flatnonzero(wanted[d])
+            at = np.full(len(left), self.none)
+            at[i] = self.find(grams[d][i])
+            value = self.value.take(at)
+            i = np.flatnonzero(~np.isnan(value))
+            out[i + d] = value[i]
         return out
 
 
@@ -352,10 +461,23 @@ def score_documents(docs: DataFrame) -> DataFrame:
     n_all, n_distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     divisor = n_all + 0.1 * (n_distinct + 1)
     states = _states(train, words, divisor)
-    retained = KeyFilter(states.select(F.col("gram").alias("key")))
+    contexts, followed = (KeyFilter(states.where(f"{c} is not null").select(F.col("gram").alias("key"))) for c in ("rest", "value"))
+    blocks = max(1, -(-n_all // BLOCK))
+    shard_bits = min(16, max(3, (8 * blocks - 1).bit_length()))
+    forget_shuffles(spark)
     none = F.lit(None).cast("float")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in map(pa.Table.from_batches, _together(batches)):
+            found = Answers.of_tables(table)
+            keys = found.keys[:-1]
+            yield pa.RecordBatch.from_pylist([dict(zip(names, (shard, *found.sent(keys[a:b])), strict=True)) for shard, a, b in _cuts(keys, shard_bits)], schema)
+
+    names = ["shard", "keys", "has", "n", "value", "rest"]
+    schema = pa.schema([("shard", pa.int32()), *((x, pa.binary()) for x in names[1:])])
+    binaries = ", ".join(f"{x} binary" for x in names[1:])
     model = words.select("gram", "n", none.alias("value"), none.alias("rest")).unionByName(states.select("gram", F.lit(None).cast("long").alias("n"), "value", "rest"))
-    blocks = max(1, -(-n_all // BLOCK))
+    model = model.mapInArrow(tidy(pack), f"shard int, {binaries}")
     dealt = flagged.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,37 +487,41 @@ def score_documents(docs: DataFrame) -> DataFrame:
             for at, part in _texts(batch, 1):
                 grams, left = _grams(part)
                 owner = np.repeat(blocks_of[at : at + len(part)], np.diff(np.append(np.flatnonzero(np.concatenate([np.ones(1, bool), left[:-1] == 1])), len(left))))
-                here = np.ones(len(left), bool)
-                for k, g in enumerate(grams):
-                    ok = left > k if k else here
-                    if k:
-                        ok &= retained.passes(g)
-                    for block in np.unique(owner):
-                        keys = g[ok & (owner == block)]
-                        keys.sort()
-                        asked.setdefault(int(block), Distinct()).add(keys[_firsts(keys)])
+                wanted = _wanted(grams, left, contexts, followed)
+                for block in np.unique(owner):
+                    mine = owner == block
+                    keys = np.concatenate([g[w & mine] for g, w in zip(grams, wanted, strict=True)])
+                    keys.sort()
+                    asked.setdefault(int(block), Distinct()).add(keys[_firsts(keys)])
         for block in list(asked):
-            keys = asked.pop(block).all()
-            for (part,) in _in_parts(100_000, keys):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block, np.int32)), part], ["block", "gram"])
-
-    asked = dealt.mapInArrow(tidy(ask), "block int, gram long")  # all columns: so both uses share one exchange
-    answers = asked.join(model, "gram").select("block", "gram", "n", "value", "rest")
+            (keys,) = _unsigned(asked.pop(block).all())
+            full = _cuts(keys, shard_bits)
+            for at in range(0, len(full), 64):
+                some = full[at : at + 64]
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(some), pa.int32()), pa.array([k for k, _, _ in some], pa.int32()), pa.array([_steps(keys[a:b]) for _, a, b in some], pa.binary())], ["block", "shard", "keys"])
+
+    def answer(asked: pa.Table, model: pa.Table) -> pa.Table:
+        found = Answers.of_rows(model)
+        rows = [(block, shard, *found.sent(_unsteps(keys))) for block, shard, keys in zip(asked.column("block").to_pylist(), asked.column("shard").to_pylist(), asked.column("keys"), strict=True)]
+        return pa.Table.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), *[pa.binary()] * 5))], ["block", "shard", "keys", "has", "n", "value", "rest"])
+
+    asked = dealt.mapInArrow(tidy(ask), "block int, shard int, keys binary")
+    answers = asked.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(answer, f"block int, shard int, {binaries}")
+    answers = stored(answers)  # so what they were made of goes before texts are scored
+    forget(words, states)
 
     def score(texts: pa.Table, answered: pa.Table) -> pa.Table:
-        is_word = answered.column("n").is_valid()
-        of_words, of_grams = answered.filter(is_word), answered.filter(pc.invert(is_word))
-        as_float = lambda t, c: t.column(c).to_numpy().astype(float)
-        counts = Answers(of_words.column("gram").to_numpy(), as_float(of_words, "n"), as_float(of_words, "n"))
-        model = Answers(of_grams.column("gram").to_numpy(), as_float(of_grams, "value"), as_float(of_grams, "rest"))
+        model = Answers.of_rows(answered)
+        known_of = ~np.isnan(model.n)
+        base_of = np.log10((np.where(known_of, model.n, 0) + 0.1) / divisor)
         cols: list[list[np.ndarray]] = [[], [], [], []]
         for part in slices(texts.column("text")):
             grams, left = _grams(part)
-            c = counts.look(grams[0], counts.value)
-            known = ~np.isnan(c)
-            base = np.log10((np.where(known, c, 0) + 0.1) / divisor)
+            at = model.find(grams[0])
+            known, base = known_of[at], base_of[at]
+            full = model.score(grams, _wanted(grams, left, contexts, followed), left, at, base)
             starts = np.flatnonzero(np.concatenate([np.ones(1, bool), left[:-1] == 1]))
-            for col, v in zip(cols, (left[starts], np.add.reduceat(known.astype(np.int64), starts), np.add.reduceat(base, starts), np.add.reduceat(model.score(grams, left, base), starts)), strict=True):
+            for col, v in zip(cols, (left[starts], np.add.reduceat(known.astype(np.int64), starts), np.add.reduceat(base, starts), np.add.reduceat(full, starts)), strict=True):
                 col.append(v)
         held = [not t for t in texts.column("train").to_pylist()]
         n_tokens, n_known, base_score, full = (pa.array(np.concatenate(c)) for c in cols)

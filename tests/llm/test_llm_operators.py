@@ -206,6 +206,29 @@ def test_distinct_keys_are_not_sorted_again_and_again(monkeypatch):
     assert len(suffix_tree_lm.Distinct().all()) == 0
 
 
+def test_blocks_ask_in_runs_of_bytes(spark, rows):
+    """No row for each n-gram that a block asks for: they were joined and sent row by row."""
+    plan = suffix_tree_lm.score_documents(table(spark, rows))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan and "gram" not in plan.split("FlatMapCoGroupsInArrow")[1]
+
+
+def test_answers_find_what_is_there():
+    m, r = suffix_tree_lm, np.random.default_rng(4)
+    top = (1 << 64) - 1
+    for keys in (np.unique(r.integers(0, top, 5000, dtype=np.uint64)), np.array([0, 1, 2, 3, top - 1, top], np.uint64), np.zeros(0, np.uint64)):
+        model = {int(k): v for k, v in zip(keys, r.choice([np.nan, 1.0, 2.0], (len(keys), 3)), strict=True) if not np.isnan(v).all()}
+        held = m.Answers(np.array(list(model), np.uint64), *(np.array([v[k] for v in model.values()], kind) for k, kind in enumerate((float, np.float32, np.float32))))
+        asked = np.unique(np.concatenate([keys[::2], np.array([0, top], np.uint64), r.integers(0, top, 50, dtype=np.uint64)]))
+        names = ["keys", "has", "n", "value", "rest"]
+        parts = [(shard, *held.sent(part)) for shard, part in ((1, asked[len(asked) // 2 :]), (0, asked[: len(asked) // 2]))]
+        rows = pa.table([pa.array([x[0] for x in parts]), *(pa.array([x[k] for x in parts], pa.binary()) for k in range(1, 6))], ["shard", *names])
+        got = m.Answers.of_rows(rows)
+        assert got.keys[:-1].tolist() == [k for k in asked.tolist() if k in model]
+        at = got.find(asked.view(np.int64))
+        for k, col in enumerate((got.n, got.value, got.rest)):
+            np.testing.assert_array_equal(col[at].astype(float), [model.get(x, [np.nan] * 3)[k] for x in asked.tolist()])
+
+
 def test_counts_come_back_from_their_bytes():
     m, r = suffix_tree_lm, np.random.default_rng(0)
     for v in (r.integers(-(1 << 63), 1 << 63 - 1, 50), np.zeros(0, np.int64), np.array([5], np.uint32)):
