@@ -36,6 +36,7 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -401,13 +402,15 @@ class Answers:
     @classmethod
     def of_rows(cls, rows: pa.Table) -> Answers:
         """Of what ``sent`` made for one block or shard; a key may come twice, with its count and with the rest."""
+        unzip = zstandard.ZstdDecompressor().decompress
+        column = lambda name: (pa.scalar(unzip(x.as_buffer()), pa.binary()) for x in rows.column(name))
         join = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
-        keys = join(map(_unsteps, rows.column("keys")), np.uint64)
-        has = join((np.frombuffer(x.as_buffer(), np.uint8) for x in rows.column("has")), np.uint8)
+        keys = join(map(_unsteps, column("keys")), np.uint64)
+        has = join((np.frombuffer(x.as_buffer(), np.uint8) for x in column("has")), np.uint8)
         cols = []
         for bit, name, kind in ((1, "n", np.int64), (2, "value", np.float32), (4, "rest", np.float32)):
             col = np.full(len(keys), np.nan, np.float64 if name == "n" else np.float32)
-            col[has & bit != 0] = join((_unplanes(x, kind) for x in rows.column(name)), kind)
+            col[has & bit != 0] = join((_unplanes(x, kind) for x in column(name)), kind)
             cols.append(col)
         every, place = np.unique(keys, return_inverse=True)
         merged = [np.full(len(every), np.nan, c.dtype) for c in cols]
@@ -424,7 +427,8 @@ class Answers:
         n, value, rest = (v.take(at) for v in (self.n, self.value, self.rest))
         there = [~np.isnan(v) for v in (n, value, rest)]
         has = there[0] | there[1].astype(np.uint8) << 1 | there[2].astype(np.uint8) << 2
-        return [_steps(self.keys.take(at)), has.astype(np.uint8).tobytes(), _planes(n[there[0]].astype(np.int64)), _planes(value[there[1]]), _planes(rest[there[2]])]
+        packed = [_steps(self.keys.take(at)), has.astype(np.uint8).tobytes(), _planes(n[there[0]].astype(np.int64)), _planes(value[there[1]]), _planes(rest[there[2]])]
+        return list(map(zstandard.ZstdCompressor(level=1).compress, packed))
 
     def find(self, grams: np.ndarray) -> np.ndarray:
         """Row of each key: hashes are spread evenly, so few share their leading bits."""
@@ -509,6 +513,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     answers = asked.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(answer, f"block int, shard int, {binaries}")
     answers = stored(answers)  # so what they were made of goes before texts are scored
     forget(words, states)
+    forget_shuffles(spark)
 
     def score(texts: pa.Table, answered: pa.Table) -> pa.Table:
         model = Answers.of_rows(answered)
