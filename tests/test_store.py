@@ -154,6 +154,9 @@ def test_questions_and_blocks_of_a_kind_meet(spark, monkeypatch):
         scores = [(-round(sum(c * idf[x] * b[x] * 2.2 / (b[x] + 1.2 * (0.25 + 0.75 * size / mean)) for x, c in bags[q][1].items() if x in b), 6), k) for k, b, size in bags if not b.keys().isdisjoint(bags[q][1])]
         assert [(i, r) for _, i, r in got[q]] == [(k, r) for r, (_, k) in enumerate(sorted(scores)[:5])]
         assert all(abs(a - b) < 2e-6 for (a, *_), (b, _) in zip(got[q], sorted(scores), strict=False))
+    monkeypatch.setattr(keyword, "TRIED", 0)  # with scores that units must reach, from half of the blocks
+    monkeypatch.setattr(keyword, "TRY", 2)
+    assert sorted(map(tuple, keyword.bm25(units, asked, 5).collect())) == sorted(map(tuple, found.collect()))
     group = [{int(q) % 3 for q in found} for found in _groups(keyword._Asked(_weighted(bags)))]
     assert len(group) == 5 and sum(len(g) > 1 for g in group) <= 3
 
